@@ -42,9 +42,9 @@ def first_bad_position(data: Column) -> Column:
     return F.array_position(F.transform(data, element_is_bad), True)
 
 
-def kept_elements(data: Column) -> Column:
+def kept_elements(data: Column, first_bad: Column | None = None) -> Column:
     """Prefix of ``data`` before the first bad element (X11)."""
-    p = first_bad_position(data)
+    p = first_bad_position(data) if first_bad is None else first_bad
     return F.when(p == 0, data).otherwise(F.slice(data, F.lit(1), p - 1))
 
 

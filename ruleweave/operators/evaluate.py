@@ -28,24 +28,40 @@ DYNAMIC_DETAIL = "满1000打骨折"
 
 @dataclass
 class RuleSet:
-    """A version table with its conditions analysed."""
+    """A version table with its conditions analysed.
+
+    ``local`` is true when the table was small enough to be held as a local
+    relation (it is then broadcast to the tasks, like the reference's
+    broadcast rule state); ``rows`` are its rows in that case.
+    """
     versions: DataFrame
     n_versions: int
     codes: list = field(default_factory=list)
     rejected: dict = field(default_factory=dict)
+    local: bool = False
+    rows: list = field(default_factory=list)
 
     @property
     def matches(self) -> Column:
         return match_column(self.codes)
 
 
-def compile_rules(spark: SparkSession, versions: DataFrame) -> RuleSet:
-    """Count the versions and analyse each distinct condition once.
+def compile_rules(spark: SparkSession, versions: DataFrame,
+                  broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> RuleSet:
+    """Size-check the version table, and analyse each distinct condition once.
 
-    One small job: the version table grouped by condition text.  Conditions
-    that do not compile, are not boolean or call functions outside the
-    allow-list are rejected: their versions never match.
+    One bounded job: at most ``broadcast_rows + 1`` rows are fetched.  When
+    the table fits, it continues as a local relation, so the plans that use
+    it neither recompute the change-feed pipeline nor re-count it.  A larger
+    table stays distributed (its distinct conditions are fetched by one
+    aggregation).  Conditions that do not compile, are not boolean or call
+    functions outside the allow-list are rejected: their versions never match.
     """
+    head = versions.limit(broadcast_rows + 1).collect()
+    if len(head) <= broadcast_rows:
+        local = spark.createDataFrame(head, versions.schema) if head else versions.limit(0)
+        ok, bad = split_valid(spark, [r["code"] for r in head])
+        return RuleSet(local, len(head), ok, bad, local=True, rows=head)
     per_code = versions.groupBy("code").count().collect()
     n = sum(r["count"] for r in per_code)
     ok, bad = split_valid(spark, [r["code"] for r in per_code])

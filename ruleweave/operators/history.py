@@ -62,8 +62,9 @@ def history_counts(keys: DataFrame, history: DataFrame, bounds: tuple | None = N
 
 def range_bounds(versions: DataFrame) -> tuple | None:
     """Overall ``(min start, max end)`` of the rule ranges: one scalar
-    aggregate over the (small) version table.  Rows without a usable range
-    cannot match any history row and do not widen the bounds."""
+    aggregate over the version table (a local relation when small, then
+    computed without a job).  Rows without a usable range cannot match any
+    history row and do not widen the bounds."""
     row = versions.agg(F.min(_ts("start_time")).alias("lo"), F.max(_ts("end_time")).alias("hi")).first()
     if row is None or row["lo"] is None or row["hi"] is None:
         return None

@@ -34,14 +34,18 @@ def parse_cdc(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``rejects``: ``topic_offset, pos, reason`` for records or elements that
     the reference would lose to an exception (pos null for whole records).
     """
+    # The envelope is parsed once; every later use refers to its columns.
+    # No Filter sits between the parse and the explode: a filter would be
+    # pushed below the projection and parse the JSON a second time.
     env = lines.select("topic_offset", "commit_ts", "value",
                        cdc.envelope(F.col("value")).alias("__env"))
     op, data = F.col("__env.type"), F.col("__env.data")
-    kept = env.where(op.isin(*cdc.KEPT_OPS) & data.isNotNull())
+    env = env.withColumn("__p", cdc.first_bad_position(data))
+    kept_data = F.when(op.isin(*cdc.KEPT_OPS), cdc.kept_elements(data, F.col("__p")))
 
-    elements = kept.select(
+    elements = env.select(
         "topic_offset", "commit_ts",
-        F.posexplode(cdc.kept_elements(data)).alias("pos", "__e"))
+        F.posexplode(kept_data).alias("pos", "__e"))
     e = F.col("__e")
     changes = elements.select(
         "topic_offset", F.col("pos").cast("int").alias("pos"), "commit_ts",
@@ -52,20 +56,27 @@ def parse_cdc(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         cdc.as_int(e["status"]).alias("status"),
     ).withColumn("action", cdc.action_of(F.col("status")))
 
+    # Rejects are generated per record (0..n rows) rather than filtered, for
+    # the same reason: one parse per record.
     is_object = F.json_object_keys(F.col("value")).isNotNull()
-    record_rejects = env.where(~is_object | (op.isin(*cdc.KEPT_OPS) & data.isNull())).select(
-        "topic_offset", F.lit(None).cast("int").alias("pos"),
-        F.when(~is_object, F.lit("not_a_json_object"))
-         .otherwise(F.lit("data_not_an_array")).alias("reason"))
-    first_bad = cdc.first_bad_position(data)
-    lost = (kept.where(first_bad > 0)
-            .select("topic_offset", first_bad.alias("__p"),
-                    F.posexplode(data).alias("__i", "__e"))
-            .where(F.col("__i") >= F.col("__p") - 1)
-            .select("topic_offset", F.col("__i").cast("int").alias("pos"),
-                    F.when(F.col("__i") == F.col("__p") - 1, F.lit("bad_element"))
-                     .otherwise(F.lit("after_bad_element")).alias("reason")))
-    return changes, record_rejects.unionByName(lost)
+    kept_op = op.isin(*cdc.KEPT_OPS)
+    entry = lambda pos, reason: F.struct(pos.cast("int").alias("pos"),
+                                         F.lit(reason).alias("reason"))
+    none = F.array().cast("array<struct<pos:int,reason:string>>")
+    record_level = (F.when(~is_object, F.array(entry(F.lit(None), "not_a_json_object")))
+                    .when(kept_op & data.isNull(), F.array(entry(F.lit(None), "data_not_an_array")))
+                    .otherwise(none))
+    lost = F.filter(
+        F.transform(data, lambda x, i: F.struct(
+            i.cast("int").alias("pos"),
+            F.when(i == F.col("__p") - 1, F.lit("bad_element"))
+             .otherwise(F.lit("after_bad_element")).alias("reason"))),
+        lambda r: r["pos"] >= F.col("__p") - 1)
+    element_level = F.when(kept_op & (F.col("__p") > 0), lost).otherwise(none)
+    rejects = (env.select("topic_offset",
+                          F.explode(F.concat(record_level, element_level)).alias("__r"))
+               .select("topic_offset", "__r.pos", "__r.reason"))
+    return changes, rejects
 
 
 def current_rules(changes: DataFrame) -> DataFrame:
@@ -80,19 +91,21 @@ def current_rules(changes: DataFrame) -> DataFrame:
                     F.col("__last.commit_ts").alias("valid_from")))
 
 
-def rule_versions(changes: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
+def rule_versions(changes: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE,
+                  single_block: bool = False) -> DataFrame:
     """Every upsert becomes a version valid from its commit time until the next
     change (of any kind) to the same id (D2); ``valid_to`` null = still open."""
     with_next = neighbor(changes.where(F.col("id").isNotNull()), ["id"], CHANGE_ORDER,
                          ["commit_ts"], "__next", "next", block_col="topic_offset",
-                         block_size=block_size)
+                         block_size=block_size, single_block=single_block)
     return (with_next.where(F.col("action") == "UPSERT")
             .select(*RULE_COLUMNS, "topic_offset", "pos",
                     F.col("commit_ts").alias("valid_from"),
                     F.col("__next.commit_ts").alias("valid_to")))
 
 
-def rule_state_trace(changes: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
+def rule_state_trace(changes: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE,
+                     single_block: bool = False) -> DataFrame:
     """Number of active rules after each change (D3), in arrival order.
 
     Per change the active-set delta is +1 (id becomes active), -1 (active id
@@ -103,12 +116,13 @@ def rule_state_trace(changes: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE) -
     """
     with_prev = neighbor(changes.where(F.col("id").isNotNull()), ["id"], CHANGE_ORDER,
                          ["action"], "__prev", "prev", block_col="topic_offset",
-                         block_size=block_size)
+                         block_size=block_size, single_block=single_block)
     was_active = F.coalesce(F.col("__prev.action") == "UPSERT", F.lit(False))
     delta = (F.when((F.col("action") == "UPSERT") & ~was_active, 1)
              .when((F.col("action") == "REMOVE") & was_active, -1).otherwise(0))
     traced = running_sum(with_prev.withColumn("delta", delta), [], CHANGE_ORDER, "n_active",
-                         value=F.col("delta"), block_col="topic_offset", block_size=block_size)
+                         value=F.col("delta"), block_col="topic_offset", block_size=block_size,
+                         single_block=single_block)
     return traced.select("topic_offset", "pos", "id", "action", "delta", "n_active")
 
 

@@ -37,13 +37,25 @@ def _block(order_col: str, block_size: int) -> Column:
     return F.expr(f"CAST(`{order_col}` AS BIGINT) div {int(block_size)}")
 
 
+def fits_one_block(df: DataFrame, block_col: str, block_size: int = DEFAULT_BLOCK_SIZE) -> bool:
+    """True when every row of ``df`` falls into the same block of
+    ``block_col``.  Then each key has a single block, and the plain window is
+    exactly the blocked one, with the same bound of ``block_size`` rows per
+    window partition.  One scalar aggregate over one column; on a Parquet
+    scan with aggregate push-down it is answered from the file footers."""
+    b = _block(block_col, block_size)
+    row = df.agg(F.min(b).alias("lo"), F.max(b).alias("hi")).first()
+    return row is None or row["lo"] is None or row["lo"] == row["hi"]
+
+
 def _key_window(keys: Sequence[str]) -> Window:
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
                 value: Column | None = None, block_col: str | None = None,
-                block_size: int = DEFAULT_BLOCK_SIZE, keep_block: str | None = None) -> DataFrame:
+                block_size: int = DEFAULT_BLOCK_SIZE, keep_block: str | None = None,
+                single_block: bool = False) -> DataFrame:
     """Add ``out`` = sum of ``value`` over rows of the same key up to and
     including this one in ``order``.  ``value`` defaults to 1 (running count).
 
@@ -57,6 +69,11 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: s
     keys, order = list(keys), list(order)
     block_col = block_col or order[0]
     val = F.lit(1).cast("long") if value is None else value.cast("long")
+    if single_block:  # caller checked fits_one_block: one pass, no summaries
+        w = (_key_window(keys).orderBy(*order)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        result = df.withColumn(out, F.sum(val).over(w))
+        return result.withColumn(keep_block, _block(block_col, block_size)) if keep_block else result
     data = df.withColumn(_BLK, _block(block_col, block_size)).withColumn("__val", val)
 
     per_block = data.groupBy(*keys, _BLK).agg(F.sum("__val").alias("__s"))
@@ -77,14 +94,16 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: s
 
 
 def running_count(df: DataFrame, keys: Sequence[str], order: str = "seq", out: str = "cnt",
-                  block_size: int = DEFAULT_BLOCK_SIZE, keep_block: str | None = None) -> DataFrame:
+                  block_size: int = DEFAULT_BLOCK_SIZE, keep_block: str | None = None,
+                  single_block: bool = False) -> DataFrame:
     """Running count per key in arrival order, the current row included."""
-    return running_sum(df, keys, [order], out, block_size=block_size, keep_block=keep_block)
+    return running_sum(df, keys, [order], out, block_size=block_size, keep_block=keep_block,
+                       single_block=single_block)
 
 
 def neighbor(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str],
              out: str, direction: str, block_col: str | None = None,
-             block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
+             block_size: int = DEFAULT_BLOCK_SIZE, single_block: bool = False) -> DataFrame:
     """Add struct column ``out`` holding ``values`` of the previous
     (``direction='prev'``) or next (``'next'``) row of the same key in
     ``order``; null when there is none.  Same block scheme as ``running_sum``.
@@ -93,6 +112,10 @@ def neighbor(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: S
         raise ValueError("direction must be 'prev' or 'next'")
     keys, order, values = list(keys), list(order), list(values)
     block_col = block_col or order[0]
+    if single_block:  # caller checked fits_one_block
+        step = F.lag if direction == "prev" else F.lead
+        carry = F.struct(*[F.col(v) for v in values])
+        return df.withColumn(out, step(carry).over(_key_window(keys).orderBy(*order)))
     data = (df.withColumn(_BLK, _block(block_col, block_size))
             .withColumn(_CARRY, F.struct(*[F.col(v) for v in values]))
             .withColumn("__ord", F.struct(*[F.col(o) for o in order])))

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from ..functions.conditions import EXACT_NTH_RULE
 from ..operators import evaluate, history, rules
 from ..operators.parse import parse_lines
-from ..operators.sequence import running_count
+from ..operators.sequence import fits_one_block, running_count
+from ..session import ensure_checkpoint_dir
 from ..sources import cdc as cdc_src
 from ..sources import events as ev_src
 
@@ -37,9 +38,19 @@ LOOKUP_PARAMS = ["7", "c1", "view", "2024-01-01 00:00:00", "2024-01-31 00:00:00"
 
 # ---------------------------------------------------------------- building blocks
 
-def counted_events(spark: SparkSession, sf_dir: str, keep_block: bool = False) -> DataFrame:
-    return running_count(ev_src.load_events(spark, sf_dir), EVENT_KEY,
-                         keep_block=BLOCK if keep_block else None)
+def one_block(spark: SparkSession, sf_dir: str) -> bool:
+    """Whether the arrival order of the events table (``event_id``, which is
+    also the change feed's offset) spans a single block; read from the scan
+    directly so Parquet footers can answer it."""
+    raw = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    return fits_one_block(raw, "event_id")
+
+
+def counted_events(spark: SparkSession, sf_dir: str, keep_block: bool = False,
+                   keys=None) -> DataFrame:
+    return running_count(ev_src.load_events(spark, sf_dir), keys or EVENT_KEY,
+                         keep_block=BLOCK if keep_block else None,
+                         single_block=one_block(spark, sf_dir))
 
 
 def derived_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -47,8 +58,10 @@ def derived_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
 
 def demo_rule_set(spark: SparkSession) -> evaluate.RuleSet:
-    changes, _ = rules.parse_cdc(cdc_src.demo_rule_lines(spark))
-    return evaluate.compile_rules(spark, rules.rule_versions(changes))
+    lines = cdc_src.demo_rule_lines(spark)
+    changes, _ = rules.parse_cdc(lines)
+    versions = rules.rule_versions(changes, single_block=fits_one_block(lines, "topic_offset"))
+    return evaluate.compile_rules(spark, versions)
 
 
 def _histories(spark: SparkSession, sf_dir: str) -> dict:
@@ -86,7 +99,8 @@ def q05_current_rules(spark, sf_dir):
 
 
 def q06_rule_versions(spark, sf_dir):
-    return rules.rule_versions(derived_changes(spark, sf_dir)[0])
+    return rules.rule_versions(derived_changes(spark, sf_dir)[0],
+                               single_block=one_block(spark, sf_dir))
 
 
 def q07_keyed_running_count(spark, sf_dir):
@@ -135,6 +149,12 @@ def history_decisions(spark, sf_dir):
     rs, pairs = _strict_candidates(spark, sf_dir)
     cand = pairs.select("seq", "uid", "cid", "type", "cnt", F.col("id").alias("rule_id"),
                         "sql", "start_time", "end_time", "counts")
+    # The candidates feed both the lookup keys and the decisions: write them
+    # once to the shared checkpoint folder instead of recomputing the running
+    # count for each use (and cut the lineage, so a lost executor does not
+    # replay it).
+    ensure_checkpoint_dir(spark)
+    cand = cand.checkpoint(eager=True)
     return history.history_gate(cand, _histories(spark, sf_dir), history.range_bounds(rs.versions))
 
 
@@ -153,13 +173,14 @@ def q17_parameterized_lookup(spark, sf_dir):
 
 def q18_daily_threshold(spark, sf_dir):
     ev = ev_src.load_events(spark, sf_dir).withColumn("day", F.to_date("ts"))
-    daily = running_count(ev, [*EVENT_KEY, "day"])
+    daily = running_count(ev, [*EVENT_KEY, "day"], single_block=one_block(spark, sf_dir))
     return daily.where((F.col("type") == "view") & (F.col("cnt") > 2)).select(
         "seq", "uid", "cid", "type", "day", "cnt")
 
 
 def q19_rule_state_trace(spark, sf_dir):
-    return rules.rule_state_trace(derived_changes(spark, sf_dir)[0])
+    return rules.rule_state_trace(derived_changes(spark, sf_dir)[0],
+                                  single_block=one_block(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

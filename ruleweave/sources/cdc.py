@@ -62,10 +62,19 @@ def _rule_json(rid: Column, status: Column, etype: Column, k: Column, day: Colum
 
 
 def cdc_lines_from_events(raw_events: DataFrame) -> DataFrame:
-    """``events`` table → ``(topic_offset, commit_ts, value)`` change records."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    rid = F.floor(k / F.lit(4)).cast("int")
-    etype, day = F.col("event_type"), F.to_date("ts")
+    """``events`` table → ``(topic_offset, commit_ts, value)`` change records.
+
+    ``k`` and the rule id are computed in their own projection: they are
+    referenced many times by the record text, and Catalyst does not inline a
+    non-trivial expression into several consumers, so the JSON of ``props``
+    is read once per row.
+    """
+    base = raw_events.select(
+        F.col("event_id").alias("topic_offset"), F.col("ts").alias("commit_ts"),
+        F.col("event_type").alias("et"), F.to_date("ts").alias("day"),
+        F.get_json_object("props", "$.k").cast("int").alias("k"))
+    base = base.withColumn("rid", F.floor(F.col("k") / F.lit(4)).cast("int"))
+    k, rid, etype, day = F.col("k"), F.col("rid"), F.col("et"), F.col("day")
     nxt = lambda d: F.pmod(rid + d, F.lit(N_DERIVED_RULES))
     rule = lambda r, s: _rule_json(r, F.lit(s) if isinstance(s, int) else s, etype, k, day)
     record = lambda op, *elems: F.concat(
@@ -79,12 +88,11 @@ def cdc_lines_from_events(raw_events: DataFrame) -> DataFrame:
              .when(etype == "purchase",
                    record("UPDATE", rule(rid, F.pmod(k, F.lit(2)) + 1), bad, rule(nxt(2), 1)))
              .when(etype == "signup", record("DELETE", rule(rid, 3)))
-             .when(e == 0, F.concat(_q("not json "), F.col("event_id").cast("string")))
+             .when(e == 0, F.concat(_q("not json "), F.col("topic_offset").cast("string")))
              .when(e == 1, _q('{"type":"UPDATE","data":null}'))
              .when(e == 2, record("insert", rule(rid, 1)))
              .otherwise(record("INSERT", numeric)))
-    return raw_events.select(F.col("event_id").alias("topic_offset"),
-                             F.col("ts").alias("commit_ts"), value.alias("value"))
+    return base.select("topic_offset", "commit_ts", value.alias("value"))
 
 
 def load_cdc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

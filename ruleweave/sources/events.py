@@ -20,8 +20,23 @@ from pyspark.sql import functions as F
 HISTORY_DURATION = "INTERVAL 1 MINUTE"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster when the input has fewer splits
+    than task slots (a file of one row group, a topic with few partitions).
+
+    The parse and key derivation that follow are row-local and costly
+    (JSON); with few splits they would run on few cores.  At scale the input
+    has far more splits than slots and nothing is added.  Filters and column
+    pruning still reach the scan through the repartition.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def category_of(props: Column) -> Column:
