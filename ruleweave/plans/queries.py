@@ -23,13 +23,16 @@ from pyspark.sql import functions as F
 from ..functions.conditions import EXACT_NTH_RULE
 from ..operators import evaluate, history, rules
 from ..operators.parse import parse_lines
-from ..operators.sequence import fits_one_block, running_count
+from ..operators.sequence import DEFAULT_BLOCK_SIZE, fits_one_block, running_count
 from ..session import ensure_checkpoint_dir
 from ..sources import cdc as cdc_src
 from ..sources import events as ev_src
 
 EVENT_KEY = ["uid", "cid", "type"]
 BLOCK = "blk"  # block column kept by the running count for co-partitioned follow-ups
+# Rows of arrival order per block of the skew-safe operators (tests lower it
+# to drive the multi-block path on small data).
+BLOCK_SIZE = DEFAULT_BLOCK_SIZE
 
 # The parameters of the single lookup query (q17), bound in the
 # reference's order uid, cid, type, range start, range end.
@@ -43,13 +46,13 @@ def one_block(spark: SparkSession, sf_dir: str) -> bool:
     also the change feed's offset) spans a single block; read from the scan
     directly so Parquet footers can answer it."""
     raw = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-    return fits_one_block(raw, "event_id")
+    return fits_one_block(raw, "event_id", BLOCK_SIZE)
 
 
 def counted_events(spark: SparkSession, sf_dir: str, keep_block: bool = False,
                    keys=None) -> DataFrame:
     return running_count(ev_src.load_events(spark, sf_dir), keys or EVENT_KEY,
-                         keep_block=BLOCK if keep_block else None,
+                         keep_block=BLOCK if keep_block else None, block_size=BLOCK_SIZE,
                          single_block=one_block(spark, sf_dir))
 
 
@@ -60,7 +63,8 @@ def derived_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 def demo_rule_set(spark: SparkSession) -> evaluate.RuleSet:
     lines = cdc_src.demo_rule_lines(spark)
     changes, _ = rules.parse_cdc(lines)
-    versions = rules.rule_versions(changes, single_block=fits_one_block(lines, "topic_offset"))
+    versions = rules.rule_versions(changes, block_size=BLOCK_SIZE,
+                                   single_block=fits_one_block(lines, "topic_offset", BLOCK_SIZE))
     return evaluate.compile_rules(spark, versions)
 
 
@@ -99,7 +103,7 @@ def q05_current_rules(spark, sf_dir):
 
 
 def q06_rule_versions(spark, sf_dir):
-    return rules.rule_versions(derived_changes(spark, sf_dir)[0],
+    return rules.rule_versions(derived_changes(spark, sf_dir)[0], block_size=BLOCK_SIZE,
                                single_block=one_block(spark, sf_dir))
 
 
@@ -173,13 +177,14 @@ def q17_parameterized_lookup(spark, sf_dir):
 
 def q18_daily_threshold(spark, sf_dir):
     ev = ev_src.load_events(spark, sf_dir).withColumn("day", F.to_date("ts"))
-    daily = running_count(ev, [*EVENT_KEY, "day"], single_block=one_block(spark, sf_dir))
+    daily = running_count(ev, [*EVENT_KEY, "day"], block_size=BLOCK_SIZE,
+                          single_block=one_block(spark, sf_dir))
     return daily.where((F.col("type") == "view") & (F.col("cnt") > 2)).select(
         "seq", "uid", "cid", "type", "day", "cnt")
 
 
 def q19_rule_state_trace(spark, sf_dir):
-    return rules.rule_state_trace(derived_changes(spark, sf_dir)[0],
+    return rules.rule_state_trace(derived_changes(spark, sf_dir)[0], block_size=BLOCK_SIZE,
                                   single_block=one_block(spark, sf_dir))
 
 

@@ -116,8 +116,10 @@ def demo_rule_records(changes=DEMO_RULE_CHANGES) -> list[tuple[int, str, str]]:
     for offset, (ts, rid, status, code, start, end, counts) in enumerate(changes):
         elem = {"id": str(rid), "name": f"rule-{rid}", "status": str(status)}
         if code is not None:
-            elem.update(code=code, sql=HISTORY_METRIC, start_time=start, end_time=end,
-                        counts=str(counts))
+            elem.update(code=code, sql=HISTORY_METRIC)
+        for key, val in (("start_time", start), ("end_time", end), ("counts", counts)):
+            if val is not None:
+                elem[key] = str(val)
         op = "INSERT" if offset == 0 else "UPDATE"
         out.append((offset, ts, json.dumps({"type": op, "data": [elem]}, ensure_ascii=False)))
     return out
