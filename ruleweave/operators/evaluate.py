@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.conditions import THRESHOLD_RULE, condition, match_column, split_valid
+from ..functions.conditions import THRESHOLD_RULE, match_column, split_valid
 from .asof import DEFAULT_BROADCAST_ROWS, join_active
 
 # Offer texts of the reference.  Level 1 (static rule) and
@@ -77,8 +77,14 @@ def offers(df: DataFrame, action: str = DYNAMIC_ACTION, detail: str = DYNAMIC_DE
 
 
 def static_rule(counted: DataFrame, code: str = THRESHOLD_RULE) -> DataFrame:
-    """Counted events that satisfy one fixed condition (F1)."""
-    return counted.where(condition(code))
+    """Counted events that satisfy one fixed condition (F1).
+
+    The bare expression is used as the filter (a null outcome drops the row
+    anyway), so Catalyst can split its conjuncts: a conjunct on the count's
+    key columns (``type = 'view'``) moves below the window, into the Parquet
+    scan, and the other types are neither read nor shuffled.
+    """
+    return counted.where(F.expr(code))
 
 
 def static_offers(counted: DataFrame, code: str = THRESHOLD_RULE) -> DataFrame:

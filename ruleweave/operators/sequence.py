@@ -70,9 +70,12 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: s
     block_col = block_col or order[0]
     val = F.lit(1).cast("long") if value is None else value.cast("long")
     if single_block:  # caller checked fits_one_block: one pass, no summaries
-        w = (_key_window(keys).orderBy(*order)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        result = df.withColumn(out, F.sum(val).over(w))
+        w = _key_window(keys).orderBy(*order)
+        # a plain count is row_number, which lets Catalyst add a per-group
+        # limit (WindowGroupLimit) under filters like cnt = k or cnt <= k
+        agg = (F.row_number().over(w) if value is None
+               else F.sum(val).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        result = df.withColumn(out, agg.cast("long"))
         return result.withColumn(keep_block, _block(block_col, block_size)) if keep_block else result
     data = df.withColumn(_BLK, _block(block_col, block_size)).withColumn("__val", val)
 
