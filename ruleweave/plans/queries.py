@@ -24,7 +24,7 @@ from ..functions.conditions import EXACT_NTH_RULE
 from ..operators import evaluate, history, rules
 from ..operators.parse import parse_lines
 from ..operators.sequence import DEFAULT_BLOCK_SIZE, fits_one_block, running_count
-from ..session import ensure_checkpoint_dir
+from ..session import configure_runtime, ensure_checkpoint_dir
 from ..sources import cdc as cdc_src
 from ..sources import events as ev_src
 
@@ -73,6 +73,7 @@ def _histories(spark: SparkSession, sf_dir: str) -> dict:
 
 
 def _strict_candidates(spark: SparkSession, sf_dir: str):
+    configure_runtime(spark)  # AQE skew split of the history join
     rs = demo_rule_set(spark)
     pairs = evaluate.matched_pairs(counted_events(spark, sf_dir), rs)
     return rs, pairs

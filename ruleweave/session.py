@@ -19,6 +19,9 @@ _DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a skewed join partition even when that costs a shuffle after it
+    # (the history count is partially aggregated before that shuffle)
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     # min/max/count of a bare Parquet scan from the footers (block-span check)
     "spark.sql.parquet.aggregatePushdown": "true",
@@ -49,6 +52,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+# Runtime SQL settings the skew handling relies on; applied to any session
+# the library's jobs run in (they can be changed on a live session).
+RUNTIME_CONF = {k: v for k, v in _DEFAULT_CONF.items()
+                if k.startswith("spark.sql.adaptive.")}
+
+
+def configure_runtime(spark: SparkSession) -> None:
+    for k, v in RUNTIME_CONF.items():
+        spark.conf.set(k, v)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
