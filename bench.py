@@ -3,7 +3,9 @@
 Runs every registered query on ``$BENCH_SF_DIR`` (default sf0.1) with
 ``local[$BENCH_CPUS]``; each query is executed in full through the ``noop``
 sink (no driver collect), once as warm-up and then ``$BENCH_REPEAT`` times
-(default 3); the median is reported.  Prints ONE JSON line on stdout.
+(default 3); the median is reported.  With ``BENCH_STREAMS=1`` (default)
+the streaming jobs S1 and S3 are also timed (events/s, field ``streams``).
+Prints ONE JSON line on stdout.
 """
 
 from __future__ import annotations
@@ -15,6 +17,41 @@ import sys
 import time
 
 
+def bench_streams(spark, sf_dir: str) -> dict:
+    """Events/s of S1 (running count) and S3 (offers, demo rules loaded
+    ahead), the events table cut into four files by arrival order."""
+    import tempfile
+
+    from pyspark.sql import functions as F
+
+    from ruleweave.schemas import CDC_LINE
+    from ruleweave.sources.cdc import demo_rule_lines
+    from ruleweave.sources.events import events_from_table
+    from ruleweave.streaming.jobs import start_counts, start_offers, start_rule_changes
+
+    run = tempfile.mkdtemp(prefix="ruleweave-bench-", dir="/tmp")
+    src = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n = src.count()
+    (src.withColumn("part", (F.col("event_id") * 4 / F.lit(max(n, 1))).cast("int"))
+     .write.partitionBy("part").parquet(f"{run}/in"))
+
+    def stream():
+        raw = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1)
+        return events_from_table(raw.parquet(f"{run}/in/*"))
+
+    out = {}
+    t0 = time.perf_counter()
+    start_counts(stream(), f"{run}/s1", f"{run}/s1-ckpt").awaitTermination()
+    out["s1_events_per_sec"] = round(n / (time.perf_counter() - t0), 1)
+    demo_rule_lines(spark).coalesce(1).write.json(f"{run}/cdc")
+    start_rule_changes(spark.readStream.schema(CDC_LINE).json(f"{run}/cdc"), f"{run}/rules",
+                       f"{run}/rules-ckpt").awaitTermination()
+    t0 = time.perf_counter()
+    start_offers(stream(), f"{run}/rules", f"{run}/s3", checkpoint=f"{run}/s3-ckpt").awaitTermination()
+    out["s3_events_per_sec"] = round(n / (time.perf_counter() - t0), 1)
+    return out
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -38,6 +75,12 @@ def main() -> None:
             if i:  # first run is the warm-up
                 runs.append(time.perf_counter() - t0)
         times[name] = round(statistics.median(runs), 3)
+    streams = {}
+    if os.environ.get("BENCH_STREAMS", "1") == "1":
+        try:
+            streams = bench_streams(spark, sf_dir)
+        except Exception as exc:  # the query metric must still be reported
+            streams = {"error": type(exc).__name__}
     sf = os.path.basename(sf_dir).removeprefix("sf")
     print(json.dumps({
         "metric": "sum_of_median_query_seconds",
@@ -47,6 +90,7 @@ def main() -> None:
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "cpus": int(cpus),
         "repeat": repeat,
+        "streams": streams,
     }))
     spark.stop()
 
