@@ -68,6 +68,16 @@ def compile_rules(spark: SparkSession, versions: DataFrame,
     return RuleSet(versions, n, ok, bad)
 
 
+def current_rule_set(spark: SparkSession, current: DataFrame,
+                     broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> RuleSet:
+    """The current rule table (e.g. ``rules.current_rules``) as a rule set in
+    force for every event, with no time travel (E2): each rule becomes one
+    version open on both sides."""
+    versions = (current.withColumn("valid_from", F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
+                .withColumn("valid_to", F.lit(None).cast("timestamp_ntz")))
+    return compile_rules(spark, versions, broadcast_rows)
+
+
 def offers(df: DataFrame, action: str = DYNAMIC_ACTION, detail: str = DYNAMIC_DETAIL,
            rule_col: str | None = "id") -> DataFrame:
     cols = [F.col("seq"), F.col("uid")]

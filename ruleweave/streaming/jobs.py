@@ -75,6 +75,16 @@ def counted_stream(events: DataFrame) -> DataFrame:
             .transformWithStateInPandas(RunningCount(), COUNTED_EVENT, "append", "none"))
 
 
+def read_count_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Current content of S1's count state (C3) as ``(uid, cid, type, cnt)``,
+    read with Spark's state-store data source from the query checkpoint."""
+    st = spark.read.format("statestore").option("stateVarName", "counts").load(checkpoint)
+    entry = F.explode(F.arrays_zip("value.cids", "value.types", "value.cnts")).alias("e")
+    return st.select(F.col("key.uid").alias("uid"), entry).select(
+        "uid", F.col("e.cids").alias("cid"), F.col("e.types").alias("type"),
+        F.col("e.cnts").alias("cnt"))
+
+
 def checkpoint_location(spark: SparkSession, name: str) -> str:
     """A query's checkpoint folder under the shared ``spark.checkpoint.dir``."""
     return os.path.join(ensure_checkpoint_dir(spark), "streams", name)
@@ -154,4 +164,5 @@ def start_counts(events: DataFrame, out_path: str, checkpoint: str | None = None
 
 
 __all__ = ["RunningCount", "counted_stream", "start_counts", "start_rule_changes",
-           "start_offers", "offers_for_batch", "read_rule_changes", "checkpoint_location"]
+           "start_offers", "offers_for_batch", "read_rule_changes", "read_count_state",
+           "checkpoint_location"]

@@ -86,3 +86,16 @@ def test_independent_of_partitioning(spark, counted, rule_set):
     base = evaluate.dynamic_rules(counted, rule_set, "sticky")
     shuffled = evaluate.dynamic_rules(counted.repartition(13, "seq"), rule_set, "sticky")
     assert base.exceptAll(shuffled).count() == 0 and shuffled.exceptAll(base).count() == 0
+
+
+def test_current_rules_without_time_travel(spark, counted):
+    from ruleweave.operators.rules import current_rules
+    changes, _ = parse_cdc(demo_rule_lines(spark))
+    rs = evaluate.current_rule_set(spark, current_rules(changes))
+    got = evaluate.dynamic_rules(counted, rs, "strict")
+    # after all changes: rule 1 = view and cnt >= 3, rule 3 = purchase and cnt >= 1
+    want1 = counted.where("type = 'view' AND cnt >= 3").count()
+    want3 = counted.where("type = 'purchase' AND cnt >= 1").count()
+    assert got.where("rule_id = 1").count() == want1
+    assert got.where("rule_id = 3").count() == want3
+    assert got.count() == want1 + want3

@@ -10,7 +10,8 @@ from ruleweave.plans import queries as Q
 from ruleweave.schemas import CDC_LINE
 from ruleweave.sources.cdc import demo_rule_lines
 from ruleweave.sources.events import events_from_table
-from ruleweave.streaming.jobs import read_rule_changes, start_counts, start_offers, start_rule_changes
+from ruleweave.streaming.jobs import (read_count_state, read_rule_changes, start_counts,
+                                     start_offers, start_rule_changes)
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +45,10 @@ def test_s1_equals_batch(spark, run_dir, event_files):
     got = spark.read.parquet(f"{out}/out")
     assert _same(got, Q.counted_events(spark, SF0001))
     assert got.where("type = 'view' AND cnt >= 2").count() == 122
+    # the count state itself (C3) equals the batch count per key
+    state = read_count_state(spark, f"{out}/ckpt")
+    assert state.count() == 348
+    assert _same(state, Q.q08_keyed_count_state(spark, SF0001))
 
 
 def test_s1_restart_same_checkpoint(spark, run_dir, event_files):
