@@ -74,6 +74,24 @@ def split_valid(spark: SparkSession, codes: Iterable[str | None]) -> tuple[list[
     return ok, bad
 
 
+_TYPE_GUARD = re.compile(r"^\s*type\s*=\s*'([^'\\]*)'\s*(?:AND\s+(.*))?$", re.IGNORECASE | re.DOTALL)
+_OR = re.compile(r"\bOR\b|\|\|", re.IGNORECASE)
+
+
+def type_guard(code: str) -> str | None:
+    """The event type a condition requires, when it has the form
+    ``type = '<t>'`` or ``type = '<t>' AND <rest>`` with no OR in ``<rest>``
+    (AND binds tighter than OR only, so the equality is then a top-level
+    conjunct).  None when no such guard is certain."""
+    m = _TYPE_GUARD.match(code or "")
+    if not m:
+        return None
+    rest = m.group(2)
+    if rest is not None and _OR.search(_STRING_LITERAL.sub("''", rest)):
+        return None
+    return m.group(1)
+
+
 def condition(code: str) -> Column:
     """One condition as a column; an unknown (null) outcome does not match."""
     return F.coalesce(F.expr(code), F.lit(False))

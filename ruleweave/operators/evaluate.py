@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.conditions import THRESHOLD_RULE, match_column, split_valid
+from ..functions.conditions import THRESHOLD_RULE, match_column, split_valid, type_guard
 from .asof import DEFAULT_BROADCAST_ROWS, join_active
 
 # Offer texts of the reference.  Level 1 (static rule) and
@@ -105,9 +105,40 @@ def matched_pairs(counted: DataFrame, rules: RuleSet,
                   broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """(event, version) pairs where the version is in force and its condition
     holds: the strict hits.  The condition is part of the join condition, so
-    non-matching pairs are never materialised."""
-    return join_active(counted, rules.versions, condition=rules.matches,
-                       n_versions=rules.n_versions, broadcast_rows=broadcast_rows)
+    non-matching pairs are never materialised.
+
+    Versions whose condition starts with a top-level ``type = '<t>'`` are
+    joined on ``type`` (an equi-join: broadcast hash join, each event meets
+    only the rules of its type); the others by the interval test alone.
+    ``counted`` must be counted per a key that includes ``type`` (as the
+    running count of this library is).
+    """
+    guards = {c: type_guard(c) for c in rules.codes}
+    guarded = sorted(c for c, g in guards.items() if g is not None)
+    unguarded = sorted(c for c, g in guards.items() if g is None)
+    parts = []
+    if guarded:
+        guard = F.lit(None).cast("string")
+        for c in guarded:
+            guard = F.when(F.col("code") == c, F.lit(guards[c])).otherwise(guard)
+        versions = rules.versions.withColumn("__guard", guard).where(F.col("__guard").isNotNull())
+        cond = (F.col("type") == F.col("__guard")) & match_column(guarded)
+        # ``type`` is part of the count key: dropping other types removes
+        # whole keys and changes no count, so Catalyst may push this filter
+        # below the running count into the scan.
+        events = counted.where(F.col("type").isin(sorted(set(guards[c] for c in guarded))))
+        parts.append(join_active(events, versions, condition=cond, n_versions=rules.n_versions,
+                                 broadcast_rows=broadcast_rows).drop("__guard"))
+    if unguarded:
+        versions = rules.versions.where(F.col("code").isin(unguarded))
+        parts.append(join_active(counted, versions, condition=match_column(unguarded),
+                                 n_versions=rules.n_versions, broadcast_rows=broadcast_rows))
+    if not parts:  # no usable condition: nothing matches
+        return join_active(counted, rules.versions.where(F.lit(False)), n_versions=0)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def sticky_pairs(counted: DataFrame, rules: RuleSet, partition_cols: list[str] | None = None,

@@ -38,3 +38,14 @@ def test_match_column(spark):
         "code STRING, type STRING, cnt BIGINT")
     got = df.select(match_column(ok).alias("m"))
     assert [r.m for r in got.collect()] == [True, False, False, False, False]
+
+
+def test_type_guard_is_conservative():
+    from ruleweave.functions.conditions import type_guard
+    assert type_guard("type = 'view' AND cnt >= 2") == "view"
+    assert type_guard("TYPE='click'") == "click"
+    assert type_guard("type = 'view' AND cid = 'or'") == "view"       # OR inside a literal
+    assert type_guard("type = 'view' AND cnt >= 2 OR cnt = 1") is None  # OR binds looser
+    assert type_guard("type = 'view' AND (cnt = 1 OR cnt = 3)") is None
+    assert type_guard("cnt >= 2 AND type = 'view'") is None            # not leading: no guard
+    assert type_guard("type = 'a''b' AND cnt = 1") is None

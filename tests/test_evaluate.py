@@ -99,3 +99,18 @@ def test_current_rules_without_time_travel(spark, counted):
     assert got.where("rule_id = 1").count() == want1
     assert got.where("rule_id = 3").count() == want3
     assert got.count() == want1 + want3
+
+
+def test_mixed_guarded_and_unguarded_rules(spark, counted):
+    from ruleweave.functions.conditions import match_column
+    changes = [("2024-01-01 00:00:00", 1, 1, "type = 'view' AND cnt >= 2", None, None, None),
+               ("2024-01-03 00:00:00", 2, 1, "cnt = 3 AND cid = 'c1'", None, None, None),
+               ("2024-01-05 00:00:00", 3, 1, "type = 'click' AND cnt = 1 OR type = 'error'", None, None, None),
+               ("2024-01-20 00:00:00", 1, 3, None, None, None, None)]
+    ch, _ = parse_cdc(demo_rule_lines(spark, changes))
+    rs = evaluate.compile_rules(spark, rule_versions(ch))
+    got = evaluate.matched_pairs(counted, rs).select("seq", "id")
+    want = join_active(counted, rs.versions, condition=match_column(rs.codes),
+                       n_versions=rs.n_versions).select("seq", "id")
+    assert want.count() > 0
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
