@@ -68,6 +68,21 @@ def compile_rules(spark: SparkSession, versions: DataFrame,
     return RuleSet(versions, n, ok, bad)
 
 
+def rejected_rules(spark: SparkSession, versions: DataFrame) -> DataFrame:
+    """Versions whose condition cannot be used (B15), with the reason:
+    ``(id, topic_offset, pos, code, reason)``.  Each distinct condition text
+    is analysed once on the driver (the same step that compiles the rules);
+    the verdicts go back as a small table joined on the condition text."""
+    codes = [r["code"] for r in versions.select("code").distinct().collect()]
+    _, bad = split_valid(spark, codes)
+    verdicts = [(c, reason) for c, reason in bad.items()]
+    if any(c is None for c in codes):
+        verdicts.append((None, "empty condition"))
+    table = spark.createDataFrame(verdicts, "rejected_code STRING, reason STRING")
+    return (versions.join(F.broadcast(table), F.col("code").eqNullSafe(F.col("rejected_code")))
+            .select("id", "topic_offset", "pos", "code", "reason"))
+
+
 def current_rule_set(spark: SparkSession, current: DataFrame,
                      broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> RuleSet:
     """The current rule table (e.g. ``rules.current_rules``) as a rule set in

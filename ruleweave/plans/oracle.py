@@ -228,6 +228,9 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT seq, uid, cid, type, day, cnt FROM (SELECT *, CAST(ts AS DATE) AS day, "
           "CAST(row_number() OVER (PARTITION BY uid, cid, type, CAST(ts AS DATE) ORDER BY seq) AS BIGINT) AS cnt "
           "FROM ev) WHERE type = 'view' AND cnt > 2",
+        "q20_rejected_rules": cdc_base
+        + "SELECT id, topic_offset, pos, code, 'empty condition' AS reason FROM changes "
+          "WHERE action = 'UPSERT' AND (code IS NULL OR trim(code) = '')",
         "q19_rule_state_trace": cdc_base
         + "SELECT topic_offset, pos, id, action, delta, CAST(sum(delta) OVER (ORDER BY topic_offset, pos "
           "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS n_active FROM ("

@@ -11,6 +11,7 @@ Levels of the reference and where they live:
 * level 3 (+ history check):  q14 (history counts), q15 (decisions),
                               q16 (offers), q17 (single parameterised lookup)
 * daily count (commented intent of the reference, not its code): q18
+* rule texts that cannot be compiled (B15): q20
 """
 
 from __future__ import annotations
@@ -190,6 +191,12 @@ def q19_rule_state_trace(spark, sf_dir):
                                   single_block=one_block(spark, sf_dir))
 
 
+def q20_rejected_rules(spark, sf_dir):
+    versions = rules.rule_versions(derived_changes(spark, sf_dir)[0], block_size=BLOCK_SIZE,
+                                   single_block=one_block(spark, sf_dir))
+    return evaluate.rejected_rules(spark, versions)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q01_parse_event_lines": q01_parse_event_lines,
     "q02_malformed_event_lines": q02_malformed_event_lines,
@@ -210,4 +217,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q17_parameterized_lookup": q17_parameterized_lookup,
     "q18_daily_threshold": q18_daily_threshold,
     "q19_rule_state_trace": q19_rule_state_trace,
+    "q20_rejected_rules": q20_rejected_rules,
 }

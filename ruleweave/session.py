@@ -18,6 +18,8 @@ from pyspark.sql import SparkSession
 _DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join partition even when that costs a shuffle after it
     # (the history count is partially aggregated before that shuffle)

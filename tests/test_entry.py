@@ -11,4 +11,4 @@ def test_entry_smoke(spark):
 
 def test_contract_keys():
     q, o = entry_mod.queries(), entry_mod.oracle_sql()
-    assert len(q) == 19 and set(q) == set(o)
+    assert len(q) == 20 and set(q) == set(o)
