@@ -1,7 +1,7 @@
 """History check of level 3.
 
 The reference runs, for every (event, hitting rule), one JDBC query
-``SELECT count(*) counts FROM tb_user_event WHERE uid=? AND cid=? AND type=?
+``SELECT count(*) counts FROM <history table> WHERE uid=? AND cid=? AND type=?
 AND start_time >= ? AND end_time <= ? GROUP BY uid, cid`` and emits the offer
 when the count (0 when no row) reaches the rule's ``counts``.
 

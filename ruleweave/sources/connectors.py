@@ -79,7 +79,7 @@ def read_kafka_lines(spark: SparkSession, conf: dict[str, str], topics: str | No
                       F.col("value").cast("string").alias("value"))
 
 
-def read_kafka_cdc(spark: SparkSession, conf: dict[str, str], topics: str = "droolsRules") -> DataFrame:
+def read_kafka_cdc(spark: SparkSession, conf: dict[str, str], topics: str) -> DataFrame:
     """The rule-table change feed from Kafka as ``CDC_LINE`` rows."""
     lines = read_kafka_lines(spark, conf, topics)
     return lines.select(F.col("seq").alias("topic_offset"), F.col("ts").alias("commit_ts"), "value")

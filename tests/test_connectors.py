@@ -36,6 +36,6 @@ def test_stream_settings():
 
 
 def test_jdbc_history_is_one_parallel_scan():
-    o = jdbc_history_options("jdbc:x://h/db", "tb_user_event", "2024-01-01", "2024-02-01", 32)
+    o = jdbc_history_options("jdbc:x://h/db", "user_events", "2024-01-01", "2024-02-01", 32)
     assert o["numPartitions"] == "32" and o["partitionColumn"] == "start_time"
     assert "start_time >= '2024-01-01'" in o["dbtable"]
