@@ -4,8 +4,10 @@ The reference compiles each rule's text with a rule engine when the rule
 arrives.  Here a rule's ``code`` is a Spark SQL boolean expression over the
 counted event (``uid, cid, type, cnt``, also ``seq``, ``ts``).  Each distinct
 condition is analysed once against the event schema, checked against an
-allow-list, and all of them become one ``CASE code WHEN ... END`` column that
-Catalyst evaluates inside whole-stage codegen.  Nothing is evaluated in Python.
+allow-list, and all of them become one ``CASE`` column that Catalyst
+evaluates inside whole-stage codegen.  Conditions that differ only in their
+literals share one compiled template (``templates.py``).  Nothing is
+evaluated in Python.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import COUNTED_EVENT
+from .templates import TEMPLATE_SCHEMA, template_expr
 
 # The first two conditions are the static rules of the reference
 # (threshold and exact-nth); they are also the default rule texts.
@@ -42,8 +45,9 @@ _STRING_LITERAL = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"")
 
 
 def rejection_reason(spark: SparkSession, code: str | None,
-                     schema: T.StructType = COUNTED_EVENT) -> str | None:
-    """None when ``code`` is a usable condition, else why it is rejected."""
+                     schema: T.StructType = COUNTED_EVENT, compiled: str | None = None) -> str | None:
+    """None when ``code`` is a usable condition, else why it is rejected.
+    ``compiled`` is the SQL actually analysed (a template's expansion)."""
     if code is None or not code.strip():
         return "empty condition"
     bare = _STRING_LITERAL.sub("''", code)
@@ -54,7 +58,8 @@ def rejection_reason(spark: SparkSession, code: str | None,
         if low not in _KEYWORDS and low not in ALLOWED_FUNCTIONS:
             return f"function not allowed: {name}"
     try:
-        dtype = spark.createDataFrame([], schema).select(F.expr(code).alias("m")).schema["m"].dataType
+        expr = F.expr(compiled or code)
+        dtype = spark.createDataFrame([], schema).select(expr.alias("m")).schema["m"].dataType
     except Exception as exc:  # ParseException, AnalysisException
         return f"does not compile: {type(exc).__name__}"
     if not isinstance(dtype, T.BooleanType):
@@ -97,13 +102,29 @@ def condition(code: str) -> Column:
     return F.coalesce(F.expr(code), F.lit(False))
 
 
-def match_column(codes: Iterable[str], code_col: str = "code") -> Column:
-    """True where the row's rule condition (named by ``code_col``) holds.
+def split_valid_templates(spark: SparkSession, templates: Iterable[str]) -> tuple[list[str], list[str]]:
+    """Distinct templates → (usable, not usable); the rows of unusable ones
+    fall back to their literal text."""
+    ok, bad = [], []
+    for t in sorted(set(templates)):
+        reason = rejection_reason(spark, t, TEMPLATE_SCHEMA, compiled=template_expr(t))
+        (ok if reason is None else bad).append(t)
+    return ok, bad
+
+
+def match_column(codes: Iterable[str], code_col: str = "code",
+                 templates: Iterable[str] = ()) -> Column:
+    """True where the row's rule condition holds: by its template when that
+    is among ``templates``, else by its text when that is among ``codes``.
 
-    ``codes`` must be validated conditions; rows whose code is not among them
-    (rejected rules) never match.
+    Both must be validated; rows matching neither (rejected rules) never
+    match.
     """
     result = None
+    for t in sorted(set(templates)):
+        hit = F.col("__tpl") == F.lit(t)
+        cond = F.coalesce(F.expr(template_expr(t)), F.lit(False))
+        result = F.when(hit, cond) if result is None else result.when(hit, cond)
     for code in sorted(set(codes)):
         hit = F.col(code_col) == F.lit(code)
         result = (F.when(hit, condition(code)) if result is None

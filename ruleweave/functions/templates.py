@@ -1,0 +1,80 @@
+"""Condition templates: rules whose conditions differ only in literals share
+one compiled expression.
+
+A rule table may hold very many rules of few shapes (``type = 'view' AND
+cnt >= 2``, ``... >= 3``, ...).  Compiling one ``CASE`` branch per distinct
+text would grow the expression, and the driver's work, with the rule table.
+Instead each version row carries, computed by Spark:
+
+* ``__tpl``: the condition with string literals replaced by ``__S__`` and
+  integer literals by ``__N__``;
+* ``__strs`` / ``__nums``: the literals, in order.
+
+Only the distinct templates are compiled; placeholder k reads the k-th
+literal of the row (``element_at``), integers typed INT like Spark's own
+integer literals.  Conditions that cannot be templated without changing
+their meaning keep the per-text path: quote escapes, integers of ten or more
+digits, and templates that do not compile (e.g. a function that needs a
+constant argument).
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..schemas import COUNTED_EVENT
+
+S, N = "__S__", "__N__"
+TEMPLATE_COLUMNS = ("__tpl", "__strs", "__nums")
+
+# Java regular expressions (evaluated by Spark on the version rows).
+_STRING = r"'([^'\\]*)'"
+_INT = r"(?<![\w.])(\d{1,9})(?![\w.])"
+_UNSAFE = r"\\|''|(?<![\w.])\d{10,}"
+
+# The schema a template is analysed against: the event plus the literal arrays.
+TEMPLATE_SCHEMA = T.StructType(COUNTED_EVENT.fields + [
+    T.StructField("__strs", T.ArrayType(T.StringType())),
+    T.StructField("__nums", T.ArrayType(T.StringType())),
+])
+
+
+def template_columns(code: Column) -> dict[str, Column]:
+    no_strings = F.regexp_replace(code, _STRING, S)
+    template = F.regexp_replace(no_strings, _INT, N)
+    return {
+        "__tpl": F.when(code.isNull() | code.rlike(_UNSAFE), F.lit(None).cast("string"))
+                  .otherwise(template),
+        "__strs": F.regexp_extract_all(code, F.lit(_STRING), 1),
+        "__nums": F.regexp_extract_all(no_strings, F.lit(_INT), 1),
+    }
+
+
+def template_expr(template: str) -> str:
+    """SQL of a template: placeholders read the row's literal arrays."""
+    out, si, ni = [], 0, 0
+    for part in re.split(f"({S}|{N})", template):
+        if part == S:
+            si += 1
+            out.append(f"element_at(__strs, {si})")
+        elif part == N:
+            ni += 1
+            out.append(f"CAST(element_at(__nums, {ni}) AS INT)")
+        else:
+            out.append(part)
+    return "".join(out)
+
+
+_GUARD = re.compile(rf"^\s*type\s*=\s*{S}\s*(?:AND\s+(.*))?$", re.IGNORECASE | re.DOTALL)
+_OR = re.compile(r"\bOR\b|\|\|", re.IGNORECASE)
+
+
+def template_guarded(template: str) -> bool:
+    """True when the template starts with a top-level ``type = __S__``: the
+    rule's first string literal is then the event type it requires."""
+    m = _GUARD.match(template)
+    return bool(m) and not (m.group(1) and _OR.search(m.group(1)))

@@ -15,7 +15,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.conditions import THRESHOLD_RULE, match_column, split_valid, type_guard
+from ..functions.conditions import (THRESHOLD_RULE, match_column, split_valid,
+                                    split_valid_templates, type_guard)
+from ..functions.templates import template_columns, template_guarded
 from .asof import DEFAULT_BROADCAST_ROWS, join_active
 
 # Offer texts of the reference.  Level 1 (static rule) and
@@ -30,42 +32,78 @@ DYNAMIC_DETAIL = "满1000打骨折"
 class RuleSet:
     """A version table with its conditions analysed.
 
-    ``local`` is true when the table was small enough to be held as a local
-    relation (it is then broadcast to the tasks, like the reference's
-    broadcast rule state); ``rows`` are its rows in that case.
+    ``templates`` are the usable condition templates, ``codes`` the usable
+    condition texts of rows that are not templated; ``rejected`` maps
+    unusable texts to the reason.  ``local`` is true when the table was small
+    enough to be held as a local relation (it is then broadcast to the tasks,
+    like the reference's broadcast rule state).
     """
     versions: DataFrame
     n_versions: int
     codes: list = field(default_factory=list)
     rejected: dict = field(default_factory=dict)
+    templates: list = field(default_factory=list)
     local: bool = False
     rows: list = field(default_factory=list)
 
     @property
     def matches(self) -> Column:
-        return match_column(self.codes)
+        return match_column(self.codes, templates=self.templates)
+
+    def guard(self) -> Column:
+        """The event type a version requires (null when none is certain)."""
+        g = F.lit(None).cast("string")
+        for t in self.templates:
+            if template_guarded(t):
+                g = F.when(F.col("__tpl") == t, F.element_at("__strs", 1)).otherwise(g)
+        untemplated = F.col("__tpl").isNull() | ~F.col("__tpl").isin(self.templates)
+        for c in self.codes:
+            if type_guard(c) is not None:
+                g = F.when(untemplated & (F.col("code") == c), F.lit(type_guard(c))).otherwise(g)
+        return g
+
+    def local_guards(self) -> list:
+        """Guard of each version row (local rule sets only), same rule as
+        ``guard()``."""
+        out = []
+        for r in self.rows:
+            tpl = r["__tpl"]
+            if tpl in self.templates:
+                out.append(r["__strs"][0] if template_guarded(tpl) else None)
+            elif r["code"] in self.codes:
+                out.append(type_guard(r["code"]))
+            else:
+                out.append(None)
+        return out
 
 
 def compile_rules(spark: SparkSession, versions: DataFrame,
                   broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> RuleSet:
-    """Size-check the version table, and analyse each distinct condition once.
-
-    One bounded job: at most ``broadcast_rows + 1`` rows are fetched.  When
-    the table fits, it continues as a local relation, so the plans that use
-    it neither recompute the change-feed pipeline nor re-count it.  A larger
-    table stays distributed (its distinct conditions are fetched by one
-    aggregation).  Conditions that do not compile, are not boolean or call
-    functions outside the allow-list are rejected: their versions never match.
+    """Size-check the version table and analyse its conditions.
+
+    Conditions are reduced to templates by Spark (``templates.py``); only the
+    distinct templates, and the texts of rows that cannot be templated, are
+    analysed on the driver.  At most ``broadcast_rows + 1`` version rows are
+    fetched: when the table fits, it continues as a local relation, so the
+    plans that use it neither recompute the change-feed pipeline nor re-count
+    it.  A larger table stays distributed.  Conditions that do not compile,
+    are not boolean or call functions outside the allow-list are rejected:
+    their versions never match.
     """
+    versions = versions.withColumns(template_columns(F.col("code")))
     head = versions.limit(broadcast_rows + 1).collect()
     if len(head) <= broadcast_rows:
         local = spark.createDataFrame(head, versions.schema) if head else versions.limit(0)
-        ok, bad = split_valid(spark, [r["code"] for r in head])
-        return RuleSet(local, len(head), ok, bad, local=True, rows=head)
-    per_code = versions.groupBy("code").count().collect()
-    n = sum(r["count"] for r in per_code)
-    ok, bad = split_valid(spark, [r["code"] for r in per_code])
-    return RuleSet(versions, n, ok, bad)
+        ok_t, bad_t = split_valid_templates(spark, {r["__tpl"] for r in head if r["__tpl"]})
+        loose = {r["code"] for r in head if r["__tpl"] is None or r["__tpl"] in bad_t}
+        ok, bad = split_valid(spark, loose)
+        return RuleSet(local, len(head), ok, bad, ok_t, local=True, rows=head)
+    n = versions.count()
+    ok_t, bad_t = split_valid_templates(
+        spark, [r[0] for r in versions.select("__tpl").distinct().collect() if r[0]])
+    loose = versions.where(F.col("__tpl").isNull() | F.col("__tpl").isin(bad_t))
+    ok, bad = split_valid(spark, [r[0] for r in loose.select("code").distinct().collect()])
+    return RuleSet(versions, n, ok, bad, ok_t)
 
 
 def rejected_rules(spark: SparkSession, versions: DataFrame) -> DataFrame:
@@ -128,32 +166,35 @@ def matched_pairs(counted: DataFrame, rules: RuleSet,
     ``counted`` must be counted per a key that includes ``type`` (as the
     running count of this library is).
     """
-    guards = {c: type_guard(c) for c in rules.codes}
-    guarded = sorted(c for c, g in guards.items() if g is not None)
-    unguarded = sorted(c for c, g in guards.items() if g is None)
+    versions = rules.versions.withColumn("__guard", rules.guard())
+    matches = rules.matches
+    guarded = versions.where(F.col("__guard").isNotNull())
+    if rules.local:  # decided from the collected rows, no job
+        guards = rules.local_guards()
+        types = sorted({g for g in guards if g is not None})
+        any_unguarded = any(g is None for g in guards)
+    else:
+        types = [r[0] for r in guarded.select("__guard").distinct().collect()]
+        any_unguarded = True
     parts = []
-    if guarded:
-        guard = F.lit(None).cast("string")
-        for c in guarded:
-            guard = F.when(F.col("code") == c, F.lit(guards[c])).otherwise(guard)
-        versions = rules.versions.withColumn("__guard", guard).where(F.col("__guard").isNotNull())
-        cond = (F.col("type") == F.col("__guard")) & match_column(guarded)
+    if types:
         # ``type`` is part of the count key: dropping other types removes
         # whole keys and changes no count, so Catalyst may push this filter
         # below the running count into the scan.
-        events = counted.where(F.col("type").isin(sorted(set(guards[c] for c in guarded))))
-        parts.append(join_active(events, versions, condition=cond, n_versions=rules.n_versions,
-                                 broadcast_rows=broadcast_rows).drop("__guard"))
-    if unguarded:
-        versions = rules.versions.where(F.col("code").isin(unguarded))
-        parts.append(join_active(counted, versions, condition=match_column(unguarded),
+        events = counted.where(F.col("type").isin(sorted(types)))
+        cond = (F.col("type") == F.col("__guard")) & matches
+        parts.append(join_active(events, guarded, condition=cond, n_versions=rules.n_versions,
+                                 broadcast_rows=broadcast_rows))
+    if any_unguarded and rules.n_versions > 0:
+        rest = versions.where(F.col("__guard").isNull())
+        parts.append(join_active(counted, rest, condition=matches,
                                  n_versions=rules.n_versions, broadcast_rows=broadcast_rows))
-    if not parts:  # no usable condition: nothing matches
-        return join_active(counted, rules.versions.where(F.lit(False)), n_versions=0)
+    if not parts:
+        return join_active(counted, versions.where(F.lit(False)), n_versions=0).drop("__guard")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.drop("__guard")
 
 
 def sticky_pairs(counted: DataFrame, rules: RuleSet, partition_cols: list[str] | None = None,

@@ -49,3 +49,23 @@ def test_type_guard_is_conservative():
     assert type_guard("type = 'view' AND (cnt = 1 OR cnt = 3)") is None
     assert type_guard("cnt >= 2 AND type = 'view'") is None            # not leading: no guard
     assert type_guard("type = 'a''b' AND cnt = 1") is None
+
+
+def test_templates(spark):
+    from pyspark.sql import functions as F
+    from ruleweave.functions.conditions import split_valid_templates
+    from ruleweave.functions.templates import template_columns, template_expr, template_guarded
+    df = spark.createDataFrame([("type = 'view' AND cnt >= 2",), ("type = 'click' AND cnt >= 13",),
+                                ("cid = 'c1' AND cnt = 3",), ("type = 'a''b'",),
+                                ("cnt > 12345678901",), (None,)], "code STRING")
+    got = [tuple(r) for r in df.select(*[c.alias(n) for n, c in template_columns(F.col("code")).items()]).collect()]
+    assert got[0] == ("type = __S__ AND cnt >= __N__", ["view"], ["2"])
+    assert got[1] == ("type = __S__ AND cnt >= __N__", ["click"], ["13"])
+    assert got[2] == ("cid = __S__ AND cnt = __N__", ["c1"], ["3"])
+    assert got[3][0] is None and got[4][0] is None and got[5][0] is None   # kept literal
+    assert template_expr("type = __S__ AND cnt >= __N__") == \
+        "type = element_at(__strs, 1) AND cnt >= CAST(element_at(__nums, 1) AS INT)"
+    assert template_guarded("type = __S__ AND cnt >= __N__")
+    assert not template_guarded("cid = __S__ AND cnt = __N__")
+    ok, bad = split_valid_templates(spark, ["type = __S__ AND cnt >= __N__", "round(cnt, __N__) > 1"])
+    assert ok == ["type = __S__ AND cnt >= __N__"] and bad == ["round(cnt, __N__) > 1"]

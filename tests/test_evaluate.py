@@ -102,7 +102,6 @@ def test_current_rules_without_time_travel(spark, counted):
 
 
 def test_mixed_guarded_and_unguarded_rules(spark, counted):
-    from ruleweave.functions.conditions import match_column
     changes = [("2024-01-01 00:00:00", 1, 1, "type = 'view' AND cnt >= 2", None, None, None),
                ("2024-01-03 00:00:00", 2, 1, "cnt = 3 AND cid = 'c1'", None, None, None),
                ("2024-01-05 00:00:00", 3, 1, "type = 'click' AND cnt = 1 OR type = 'error'", None, None, None),
@@ -110,7 +109,28 @@ def test_mixed_guarded_and_unguarded_rules(spark, counted):
     ch, _ = parse_cdc(demo_rule_lines(spark, changes))
     rs = evaluate.compile_rules(spark, rule_versions(ch))
     got = evaluate.matched_pairs(counted, rs).select("seq", "id")
-    want = join_active(counted, rs.versions, condition=match_column(rs.codes),
+    want = join_active(counted, rs.versions, condition=rs.matches,
                        n_versions=rs.n_versions).select("seq", "id")
     assert want.count() > 0
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_many_rules_few_templates(spark, counted):
+    """Rules that differ only in literals compile to one template; rows the
+    template cannot carry fall back to their text; results equal brute force."""
+    from ruleweave.functions.conditions import condition
+    changes = [("2024-01-01 00:00:00", i, 1, f"type = '{t}' AND cnt >= {k}", None, None, None)
+               for i, (t, k) in enumerate([(t, k) for t in ("view", "click", "error") for k in (1, 2, 3)], 1)]
+    changes += [("2024-01-02 00:00:00", 20, 1, "round(cnt, 0) = 2 AND type = 'view'", None, None, None),
+                ("2024-01-02 00:00:00", 21, 1, "cid = 'c1' OR cnt = 4", None, None, None)]
+    ch, _ = parse_cdc(demo_rule_lines(spark, changes))
+    rs = evaluate.compile_rules(spark, rule_versions(ch))
+    assert rs.templates == ["cid = __S__ OR cnt = __N__", "type = __S__ AND cnt >= __N__"]
+    assert rs.codes == ["round(cnt, 0) = 2 AND type = 'view'"]
+    got = evaluate.matched_pairs(counted, rs).select("seq", "id")
+    want = None
+    for ts, rid, _, code, *_ in changes:
+        part = (counted.where(F.col("ts") >= F.lit(ts).cast("timestamp_ntz")).where(condition(code))
+                .select("seq", F.lit(rid).alias("id")))
+        want = part if want is None else want.unionByName(part)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
