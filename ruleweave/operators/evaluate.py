@@ -108,17 +108,23 @@ def compile_rules(spark: SparkSession, versions: DataFrame,
 
 def rejected_rules(spark: SparkSession, versions: DataFrame) -> DataFrame:
     """Versions whose condition cannot be used (B15), with the reason:
-    ``(id, topic_offset, pos, code, reason)``.  Each distinct condition text
-    is analysed once on the driver (the same step that compiles the rules);
-    the verdicts go back as a small table joined on the condition text."""
-    codes = [r["code"] for r in versions.select("code").distinct().collect()]
-    _, bad = split_valid(spark, codes)
-    verdicts = [(c, reason) for c, reason in bad.items()]
-    if any(c is None for c in codes):
-        verdicts.append((None, "empty condition"))
+    ``(id, topic_offset, pos, code, reason)``.
+
+    The same analysis as ``compile_rules``: templates first, then the texts
+    that cannot be templated; only those reach the driver.  The verdicts go
+    back as a table joined on the condition text (AQE picks the join by its
+    measured size).
+    """
+    rs = compile_rules(spark, versions)
+    verdicts = list(rs.rejected.items())
+    usable = F.col("code").isin(rs.codes) | F.col("__tpl").isin(rs.templates)
     table = spark.createDataFrame(verdicts, "rejected_code STRING, reason STRING")
-    return (versions.join(F.broadcast(table), F.col("code").eqNullSafe(F.col("rejected_code")))
-            .select("id", "topic_offset", "pos", "code", "reason"))
+    flagged = (rs.versions.where(F.col("code").isNotNull() & ~usable)
+               .join(table, F.col("code") == F.col("rejected_code"))
+               .select("id", "topic_offset", "pos", "code", "reason"))
+    empty = (rs.versions.where(F.col("code").isNull() | (F.trim("code") == ""))
+             .select("id", "topic_offset", "pos", "code", F.lit("empty condition").alias("reason")))
+    return flagged.where(F.trim("code") != "").unionByName(empty)
 
 
 def current_rule_set(spark: SparkSession, current: DataFrame,
