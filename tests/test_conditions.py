@@ -1,6 +1,5 @@
 """Rule conditions as SQL."""
 
-from conftest import rows
 from ruleweave.functions.conditions import (EXACT_NTH_RULE, THRESHOLD_RULE, match_column,
                                             rejection_reason, split_valid)
 from ruleweave.operators.evaluate import static_rule
