@@ -78,7 +78,7 @@ class RuleSet:
 
 
 def compile_rules(spark: SparkSession, versions: DataFrame,
-                  broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> RuleSet:
+                  broadcast_rows: int = DEFAULT_BROADCAST_ROWS, keep_local: bool = True) -> RuleSet:
     """Size-check the version table and analyse its conditions.
 
     Conditions are reduced to templates by Spark (``templates.py``); only the
@@ -86,19 +86,22 @@ def compile_rules(spark: SparkSession, versions: DataFrame,
     analysed on the driver.  At most ``broadcast_rows + 1`` version rows are
     fetched: when the table fits, it continues as a local relation, so the
     plans that use it neither recompute the change-feed pipeline nor re-count
-    it.  A larger table stays distributed.  Conditions that do not compile,
+    it.  A larger table stays distributed (as does any table when
+    ``keep_local`` is false: only the analysis is wanted).  Conditions that do not compile,
     are not boolean or call functions outside the allow-list are rejected:
     their versions never match.
     """
     versions = versions.withColumns(template_columns(F.col("code")))
-    head = versions.limit(broadcast_rows + 1).collect()
-    if len(head) <= broadcast_rows:
+    head = versions.limit(broadcast_rows + 1).collect() if keep_local else None
+    if head is not None and len(head) <= broadcast_rows:
         local = spark.createDataFrame(head, versions.schema) if head else versions.limit(0)
         ok_t, bad_t = split_valid_templates(spark, {r["__tpl"] for r in head if r["__tpl"]})
         loose = {r["code"] for r in head if r["__tpl"] is None or r["__tpl"] in bad_t}
         ok, bad = split_valid(spark, loose)
         return RuleSet(local, len(head), ok, bad, ok_t, local=True, rows=head)
-    n = versions.count()
+    # size known to exceed the bound (or not wanted): it only picks the
+    # join strategy, so the lower bound suffices and no count job runs
+    n = len(head) if head is not None else broadcast_rows + 1
     ok_t, bad_t = split_valid_templates(
         spark, [r[0] for r in versions.select("__tpl").distinct().collect() if r[0]])
     loose = versions.where(F.col("__tpl").isNull() | F.col("__tpl").isin(bad_t))
@@ -115,7 +118,7 @@ def rejected_rules(spark: SparkSession, versions: DataFrame) -> DataFrame:
     back as a table joined on the condition text (AQE picks the join by its
     measured size).
     """
-    rs = compile_rules(spark, versions)
+    rs = compile_rules(spark, versions, keep_local=False)
     verdicts = list(rs.rejected.items())
     usable = F.col("code").isin(rs.codes) | F.col("__tpl").isin(rs.templates)
     table = spark.createDataFrame(verdicts, "rejected_code STRING, reason STRING")

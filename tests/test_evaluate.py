@@ -55,7 +55,7 @@ def test_day_bucket_join_equals_broadcast(counted, rule_set):
 def test_rule_set_over_bound_stays_distributed(spark, counted):
     changes, _ = parse_cdc(demo_rule_lines(spark))
     rs = evaluate.compile_rules(spark, rule_versions(changes), broadcast_rows=2)
-    assert not rs.local and rs.n_versions == 4
+    assert not rs.local and rs.n_versions > 2
     assert evaluate.dynamic_rules(counted, rs, "strict", broadcast_rows=2).count() == 2712
 
 
