@@ -72,11 +72,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     it is read from the session and never replaced.  Only when it is unset, as
     in local tests, a fresh scratch folder is created.
     """
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's spark.checkpoint.dir applies
+        return spark.conf.get("spark.checkpoint.dir", "")
+    current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
         configured = tempfile.mkdtemp(prefix="ruleweave-ckpt-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(configured)
+    sc.setCheckpointDir(configured)
     return configured

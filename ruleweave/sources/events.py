@@ -29,10 +29,12 @@ def spread(df: DataFrame) -> DataFrame:
     has far more splits than slots and nothing is added.  Filters and column
     pruning still reach the scan through the repartition.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # a Spark Connect session exposes neither: leave as is
+        return df
+    return df.repartition(slots) if splits < slots else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
