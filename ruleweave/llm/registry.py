@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, token_counts
+from . import (
+    exact_dedup,
+    mixing,
+    sharding,
+    token_counts,
+)
 
 QUERIES = {
+    "op5_minimax_shards": sharding.op5_minimax_shards,
+    "op6_mix_to_targets": mixing.op6_mix_to_targets,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
 }
