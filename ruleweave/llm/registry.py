@@ -5,13 +5,17 @@ from __future__ import annotations
 from . import (
     exact_dedup,
     mixing,
+    quality_rules,
     sharding,
     token_counts,
+    url_filters,
 )
 
 QUERIES = {
+    "op1_quality_llr": quality_rules.op1_quality_llr,
     "op5_minimax_shards": sharding.op5_minimax_shards,
     "op6_mix_to_targets": mixing.op6_mix_to_targets,
+    "op8_url_filter": url_filters.op8_url_filter,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
 }
