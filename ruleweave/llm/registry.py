@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from . import (
     exact_dedup,
+    language_id,
     mixing,
+    ngram_join,
     quality_rules,
     sharding,
     token_counts,
@@ -13,8 +15,10 @@ from . import (
 
 QUERIES = {
     "op1_quality_llr": quality_rules.op1_quality_llr,
+    "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op5_minimax_shards": sharding.op5_minimax_shards,
     "op6_mix_to_targets": mixing.op6_mix_to_targets,
+    "op7_language_id": language_id.op7_language_id,
     "op8_url_filter": url_filters.op8_url_filter,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
