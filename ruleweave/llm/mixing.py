@@ -141,7 +141,9 @@ def _members(rows: DataFrame) -> DataFrame:
                .agg(F.sum("words").alias("w")).orderBy(F.desc("w"), "pattern")
                .limit(MAX_PATTERNS).collect())
     kept = [r["pattern"] for r in several]
-    named = rows.join(per_text.drop("words").where("instr(pattern, ',') > 0"), ["key1", "key2"], "left")
+    # written first: the join then has an exchange of its own, which AQE can split for a hot text
+    shared = staged(per_text.drop("words").where("instr(pattern, ',') > 0"), "mix-patterns")
+    named = rows.join(shared, ["key1", "key2"], "left")
     own = F.col("s").cast("string")
     return named.withColumn("pattern", F.when(F.col("pattern").isin(kept), F.col("pattern")).otherwise(own)
                             if kept else own)
