@@ -96,7 +96,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                           & (F.coalesce("toxic", F.lit(0)) == 0)).alias("trusted"))
                .where("trusted"))
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-            .join(trusted, "id", "left")
+            # the same join at every size: labels grow with the documents
+            .join(trusted.hint("merge"), "id", "left")
             .select(F.coalesce("trusted", F.lit(False)).cast("long").alias("t"),
                     F.explode(let(_hashes(F.col("text")), _ngrams)).alias("b")))
     raw, good = [0] * BUCKETS, [0] * BUCKETS
