@@ -104,7 +104,7 @@ def _reader(words: int, num: int, den: int, wanted=None):
             names=["rid", "doc_id", "n", "k1", "k2", "head"])
 
     def whole(b: pa.RecordBatch) -> pa.RecordBatch:
-        at = b.column("rid").to_numpy() % BITMAP_BITS
+        at = b.column("at").to_numpy()
         hit = (wanted.value[at >> 6] >> (at & 63)) & 1 == 1
         b = b.filter(pa.array(hit))
         sets = [shingles(x, words) for x in b.column("text").to_pylist()]
@@ -149,9 +149,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             .where(f"{den} * o >= {num} * (nx + ny - o)").select("x", "y"))
 
 
+def _bit():
+    return F.pmod(F.xxhash64("rid"), F.lit(BITMAP_BITS)).alias("at")
+
+
 def _bitmap(rids: DataFrame):
-    at = F.pmod("rid", F.lit(BITMAP_BITS))
-    got = (rids.select(F.floor(at / 64).cast("long").alias("w"), F.pmod(at, F.lit(64)).cast("int").alias("bit"))
+    at = F.col("at")
+    got = (rids.select(_bit()).select(F.floor(at / 64).cast("long").alias("w"), F.pmod(at, F.lit(64)).cast("int").alias("bit"))
            .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("v")).toPandas())
     bits = np.zeros(BITMAP_BITS // 64 + 1, np.int64)
     bits[got["w"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64)
@@ -205,7 +209,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int =
     slim = staged(map_arrow(rows, _reader(words, num, den),
                             "rid long, doc_id long, n long, k1 long, k2 long, head array<long>"), "ngram-rows")
     rids, freq = _survivors(slim, num, den)
-    sets = staged(map_arrow(rows.select("rid", "text"), _reader(words, num, den, _bitmap(rids)),
+    sets = staged(map_arrow(rows.select("rid", _bit(), "text"), _reader(words, num, den, _bitmap(rids)),
                             "rid long, n long, head array<long>, parts array<binary>"), "ngram-sets")
     postings = staged(_postings(sets, freq, num, den), "ngram-postings")
 
