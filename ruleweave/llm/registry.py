@@ -8,6 +8,7 @@ from . import (
     mixing,
     ngram_join,
     quality_rules,
+    sentencepiece_dropout,
     sharding,
     token_counts,
     url_filters,
@@ -16,6 +17,7 @@ from . import (
 QUERIES = {
     "op1_quality_llr": quality_rules.op1_quality_llr,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
+    "op4_sentencepiece_dropout": sentencepiece_dropout.op4_sentencepiece_dropout,
     "op5_minimax_shards": sharding.op5_minimax_shards,
     "op6_mix_to_targets": mixing.op6_mix_to_targets,
     "op7_language_id": language_id.op7_language_id,
