@@ -10,6 +10,7 @@ from . import (
     quality_rules,
     sentencepiece_dropout,
     sharding,
+    suffix_dedup,
     token_counts,
     url_filters,
 )
@@ -17,6 +18,7 @@ from . import (
 QUERIES = {
     "op1_quality_llr": quality_rules.op1_quality_llr,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
+    "op3_suffix_array_dedup": suffix_dedup.op3_suffix_array_dedup,
     "op4_sentencepiece_dropout": sentencepiece_dropout.op4_sentencepiece_dropout,
     "op5_minimax_shards": sharding.op5_minimax_shards,
     "op6_mix_to_targets": mixing.op6_mix_to_targets,
