@@ -1,13 +1,100 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: five stages, each over all documents the one before kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next stage's ``docs``.  All but the
+last return the columns of ``documents``.
+
+1. language ID: drops documents without a letter and those whose best language
+   has a mean marginal below ``LEAST_SCORE``;
+2. exact dedup: of equal normalised texts, one row stays;
+3. n-gram Jaccard join (five words, 0.8): one row of each component stays, the
+   one that the exact stage would prefer (most code points, least doc_id);
+4. mixing: a document is repeated as often as the mix takes it as a whole; what
+   is left over (a part of one document per cell) counts from one half on;
+5. SentencePiece: ids of every document the mix took.
+
+A null or clashing column doesn't matter to any stage: decisions are joined to
+rows by row number, and every column of ``docs`` is passed on.  An empty table
+passes through all stages.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL: str | None = None
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ruleweave.llm import exact_dedup, language_id, mixing, ngram_join, sentencepiece_dropout
+from ruleweave.llm.common import staged, table
+from ruleweave.llm.token_counts import vocabulary_path
+
+LEAST_SCORE = 0.3
+NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
+ORACLE_SQL: str | None = None   # three stages rest on hashes and a learned model
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("__row", F.monotonically_increasing_id())
+
+
+def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose numbers are in ``rows``."""
+    return _numbered(docs).join(rows.select("__row"), "__row", "left_semi").drop("__row")
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language_id.fit(docs)
+    rows = docs.select(F.struct(*docs.columns).alias("__all"), F.col("text").alias("__said"))
+    kept = language_id.predict(rows, model, ["__all"], text_col="__said")
+    return kept.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("__all.*")
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = exact_dedup.exact_dedup(docs).where("kept")
+    return _only(docs, kept.withColumnRenamed("rid", "__row"))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    linked = ngram_join.jaccard_join(docs, NEAR_WORDS, NEAR_NUM, NEAR_DEN).select("rid", "root")
+    sizes = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("id"),
+                        F.coalesce(F.char_length("text"), F.lit(0)).alias("n"))
+    order = F.struct((-F.col("n")).alias("short"), F.col("id").isNull().alias("no_id"), "id", "rid")
+    best = linked.join(sizes, "rid").groupBy("root").agg(F.min(order).alias("best"))
+    return _only(docs, best.select(F.col("best.rid").alias("__row")))
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # rows that agree in id, source and text are dealt alike, whichever is which
+    same = ["doc_id", "source", "key1", "key2"]
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy("taken"))
+    dealt = mixing.mix(docs).select(*same, F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")))
+                                    .otherwise(0).cast("int").alias("times"), "taken").withColumn("nth", nth)
+    text = F.col("text").cast("string")
+    mine = docs.select(
+        F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("key1"),
+        F.xxhash64(F.lit(mixing.SEED), text).alias("key2")).withColumn(
+        "nth", F.row_number().over(Window.partitionBy(*same).orderBy("__row")))
+    pair = dealt.alias("a").join(mine.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*same, "nth")])
+    times = pair.select("b.__row", "a.times").where("times > 0")
+    return (_numbered(docs).join(times, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+            .select(*docs.columns))
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sentencepiece_dropout.encode(docs, vocabulary_path(sentencepiece_dropout.VOCABULARY))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("mixing", mix_stage),
+    ("sentencepiece", encode_stage),
+]
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -54,8 +54,8 @@ _MIX = tuple(np.uint64(x) for x in (
 
 
 def bands(num: int = NUM, den: int = DEN) -> int:
-    """Bands of the order: band 0 holds about twice as many n-grams as a prefix."""
-    return max(1, den // (2 * (den - num))) if num < den else 8
+    """Bands of the order: band 0 holds about 5/3 as many n-grams as a prefix."""
+    return max(1, 2 * den // (3 * (den - num))) if num < den else 8
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
