@@ -10,18 +10,24 @@ documents link when their Jaccard similarity reaches ``num / den``.
    many as hold its prefix (n - ceil(t n) + 1 n-grams).
 3. A class that has more than n - ceil(t n) n-grams of band 0 for itself can't
    link with another one, and leaves.  That takes the bulk of a corpus out.
-4. Two linked documents share an n-gram of their prefixes.  First round: each
-   document of a prefix n-gram (and length class) is paired with the least one;
-   components of the links found are formed.  Second round: the documents of a
-   prefix n-gram that lie in *different* components are paired.  A link within
-   a component changes nothing, so no link that matters is lost, and a large
-   group of near copies isn't expanded into all its pairs.
-5. Each pair is verified on vertical fragments: every document's set is cut by
+4. Of the classes that stay, all n-grams are counted, and those of one class
+   alone (``own``) bound what it can share: a pair whose sizes and own n-grams
+   rule a link out is never formed, and a class that no pair can save leaves.
+5. Two linked documents share an n-gram of their prefixes.  First round: each
+   document of a prefix n-gram (and length class) is paired with the one that
+   has the fewest n-grams of its own, the original of a group of near copies;
+   components of the links found are formed.  Second round: the
+   documents of a prefix n-gram that lie in *different* components are paired,
+   at the first n-gram that their prefixes share, unless what each lacks of a
+   common centre rules a link out.  A link within a component changes nothing,
+   so no link that matters is lost, and a large group of near copies isn't
+   expanded into all its pairs.
+6. Each pair is verified on vertical fragments: every document's set is cut by
    hash into ``FRAGMENTS`` fragments, overlaps are counted per (pair, fragment)
    and summed per pair.
 
 What survives step 3 is looked up by a bitmap of fixed size (``BITMAP_BITS``)
-in a second pass over the table; a false hit adds a row that step 5 judges like
+in a second pass over the table; a false hit adds a row that step 6 judges like
 any other.  The table must be a scan (or otherwise read the same way twice).
 
 Edge cases: a null or blank text has the empty set and links with nothing, its
@@ -48,6 +54,7 @@ from .components import components
 WORDS, NUM, DEN = 3, 90, 100
 FRAGMENTS = 4
 BITMAP_BITS = 67_108_859   # a prime near 2**26: 8 MB at any input size
+_FEW = 24    # n-grams of a fragment that a document may lack of its centre's for the list to be kept
 _SLICE_BYTES = 8 << 20
 _MIX = tuple(np.uint64(x) for x in (
     0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
@@ -109,11 +116,16 @@ def _reader(words: int, num: int, den: int, wanted=None):
         b = b.filter(pa.array(hit))
         sets = [shingles(x, words) for x in b.column("text").to_pylist()]
         cuts = np.array([(k << 64) // FRAGMENTS for k in range(1, FRAGMENTS)], np.uint64)
-        parts = [[x.tobytes() for x in np.split(s, np.searchsorted(s, cuts))] for s in sets]
+        ends = [0]
+        for s in sets:
+            ends += (np.append(np.searchsorted(s, cuts), len(s)) + ends[-1]).tolist()
+        flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+        parts = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * FRAGMENTS),
+                                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
         return pa.RecordBatch.from_arrays(
             [b.column("rid"), pa.array([len(s) for s in sets], pa.int64()),
              _longs([_head(s, _prefix(len(s), num, den), n_bands) for s in sets]),
-             pa.array(parts, pa.list_(pa.binary()))], names=["rid", "n", "head", "parts"])
+             parts], names=["rid", "n", "head", "parts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -127,26 +139,39 @@ def _key(s: np.ndarray) -> tuple[int, int]:
     return d >> 64, d & (1 << 64) - 1
 
 
+def _slices(lists: pa.ListArray) -> list[np.ndarray]:
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
+    return [values[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial overlap of each (pair, fragment)."""
+    """Partial overlap of each (pair, fragment), and what y lacks of x, if little."""
     for b in batches:
-        counts = [len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), True))
-                  for p, q in zip(b.column("p").to_pylist(), b.column("q").to_pylist(), strict=True)]
+        counts, lacks = [], []
+        for p, q in zip(_slices(b.column("p")), _slices(b.column("q")), strict=True):
+            shared = np.intersect1d(p, q, True)
+            counts.append(len(shared))
+            lacks.append(np.setdiff1d(p, shared, True) if len(p) - len(shared) <= _FEW else None)
         yield pa.RecordBatch.from_arrays(
-            [*(b.column(c) for c in ("x", "y", "nx", "ny")), pa.array(counts, pa.int64())],
-            names=["x", "y", "nx", "ny", "partial"])
+            [*(b.column(c) for c in ("x", "y", "nx", "ny")), pa.array(counts, pa.int64()),
+             pa.array(lacks, pa.list_(pa.int64()))], names=["x", "y", "nx", "ny", "partial", "lacks"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (x, y) that link: partial overlaps by fragment, summed by pair."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(x, y, nx, ny, o, lacks) of the pairs: partial overlaps by fragment, summed
+    by pair; lacks is null where y lacks much of x."""
     parts = sets.select("rid", "n", F.posexplode("parts").alias("f", "part"))
     left = parts.select(F.col("rid").alias("x"), F.col("n").alias("nx"), "f", F.col("part").alias("p"))
     right = parts.select(F.col("rid").alias("y"), F.col("n").alias("ny"), "f", F.col("part").alias("q"))
     met = pairs.select("x", "y").join(left, "x").join(right, ["y", "f"]).select("x", "y", "nx", "ny", "p", "q")
-    counted = map_arrow(met, _overlaps, "x long, y long, nx long, ny long, partial long")
-    both = F.sum("partial")
-    return (counted.groupBy("x", "y", "nx", "ny").agg(both.alias("o"))
-            .where(f"{den} * o >= {num} * (nx + ny - o)").select("x", "y"))
+    counted = map_arrow(met, _overlaps, "x long, y long, nx long, ny long, partial long, lacks array<long>")
+    return counted.groupBy("x", "y", "nx", "ny").agg(
+        F.sum("partial").alias("o"),
+        F.when(F.count("lacks") == FRAGMENTS, F.flatten(F.collect_list("lacks"))).alias("lacks"))
+
+
+def _linked(num: int, den: int) -> str:
+    return f"{den} * o >= {num} * (nx + ny - o)"
 
 
 def _bit():
@@ -184,18 +209,42 @@ def _survivors(slim: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFram
     return staged(rids, "ngram-survivors"), grams.where("g IS NOT NULL").select("g", "df")
 
 
+def _judged_sets(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(rid, n, own, head) of the sets that some pair could still link; ``own``
+    counts the n-grams that no other one of them has."""
+    alone = (sets.select("rid", F.explode(F.flatten("parts")).alias("g")).groupBy("g")
+             .agg(F.min("rid").alias("rid"), F.max("rid").alias("last")).where("rid = last")
+             .groupBy("rid").agg(F.count(F.lit(1)).alias("own")))
+    return (sets.select("rid", "n", "head").join(alone, "rid", "left")
+            .withColumn("own", F.coalesce("own", F.lit(0))).where(f"own <= (n * {den - num}) div {den}"))
+
+
 def _postings(sets: DataFrame, freq: DataFrame, num: int, den: int) -> DataFrame:
-    """(g, rid, n) of the n-grams in each document's prefix that others have."""
-    heads = sets.select("rid", "n", F.explode("head").alias("g")).join(freq, "g", "left")
-    ordered = heads.groupBy("rid", "n").agg(F.sort_array(F.collect_list(F.struct(
+    """(g, rid, n, own, prefix) of the n-grams in each document's prefix that
+    others have, in order, and that list itself."""
+    heads = sets.select("rid", "n", "own", F.explode("head").alias("g")).join(freq, "g", "left")
+    ordered = heads.groupBy("rid", "n", "own").agg(F.sort_array(F.collect_list(F.struct(
         _band(F.col("g"), num, den).alias("band"), F.coalesce("df", F.lit(1)).alias("df"), "g"))).alias("o"))
-    prefix = F.expr(f"slice(o, 1, cast((n * {den - num}) div {den} + 1 AS int))")
-    return (ordered.select("rid", "n", F.explode(prefix).alias("o")).where("o.df > 1")
-            .select("o.g", "rid", "n"))
+    prefix = F.filter(F.expr(f"slice(o, 1, cast((n * {den - num}) div {den} + 1 AS int))"), lambda x: x["df"] > 1)
+    listed = ordered.select("rid", "n", "own", F.transform(prefix, lambda x: x["g"]).alias("prefix"))
+    return listed.select(F.explode("prefix").alias("g"), "rid", "n", "own", "prefix")
+
+
+def _possible(x: str, y: str, num: int, den: int) -> str:
+    """Whether sizes and own n-grams let x and y link: they share at most what
+    neither has alone."""
+    most = f"least({x}.n - {x}.own, {y}.n - {y}.own)"
+    return f"{den} * {most} >= {num} * ({x}.n + {y}.n - {most})"
 
 
-def _in_reach(a: str, b: str, num: int, den: int) -> str:
-    return f"{den} * {a} >= {num} * {b} AND {den} * {b} >= {num} * {a}"
+def _alike(x: str, y: str, num: int, den: int) -> str:
+    """Whether x and y, compared with the same centre, can link: they differ in
+    what either has alone, and in each n-gram of the centre that one of them
+    lacks and the other has."""
+    apart = (f"({x}.own + {y}.own + size({x}.lacks) + size({y}.lacks) "
+             f"- 2 * size(array_intersect({x}.lacks, {y}.lacks)))")
+    return (f"(coalesce({x}.centre <> {y}.centre, true) "
+            f"OR {den + num} * {apart} <= {den - num} * ({x}.n + {y}.n))")
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN,
@@ -210,31 +259,38 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int =
                             "rid long, doc_id long, n long, k1 long, k2 long, head array<long>"), "ngram-rows")
     rids, freq = _survivors(slim, num, den)
     sets = staged(map_arrow(rows.select("rid", _bit(), "text"), _reader(words, num, den, _bitmap(rids)),
-                            "rid long, n long, head array<long>, parts array<binary>"), "ngram-sets")
-    postings = staged(_postings(sets, freq, num, den), "ngram-postings")
+                            "rid long, n long, head array<long>, parts array<array<long>>"), "ngram-sets")
+    judged = staged(_judged_sets(sets, num, den), "ngram-judged")
+    postings = staged(_postings(judged, freq, num, den), "ngram-postings")
 
-    # first round: each document of an n-gram and length class with the least one
+    # first round: each document of an n-gram and length class with its likely original
     length = F.floor(F.log("n") / math.log(den / num)) if num < den else F.col("n")
-    near = postings.withColumn("size", length)
-    least = near.groupBy("g", "size").agg(F.min("rid").alias("x"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    first = staged(near.join(least, ["g", "size"]).where("rid <> x")
-                   .select("x", F.col("rid").alias("y")).distinct(), "ngram-pairs")
-    links = staged(_verified(first, sets, num, den), "ngram-links")
+    near = postings.select("g", "rid", "n", "own", length.alias("size"))
+    middle = near.groupBy("g", "size").agg(F.min(F.struct("own", "rid", "n")).alias("m"), F.count(F.lit(1)).alias("k"))
+    middle = middle.where("k > 1").select("g", "size", "m.*").alias("x")
+    first = staged(near.alias("y").join(middle, ["g", "size"])
+                   .where(f"x.rid <> y.rid AND {_possible('x', 'y', num, den)}")
+                   .select(F.col("x.rid").alias("x"), F.col("y.rid").alias("y")).distinct(), "ngram-pairs")
+    compared = staged(_compared(first, sets), "ngram-compared")
+    links = compared.where(_linked(num, den)).select("x", "y")
     found = staged(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "ngram-components")
+    centres = compared.where("lacks IS NOT NULL").groupBy("y").agg(
+        F.max(F.struct("o", "x", "lacks")).alias("c")).select(
+        F.col("y").alias("of"), F.col("c.x").alias("centre"), F.col("c.lacks").alias("lacks"))
 
     # second round: documents of an n-gram that lie in different components
-    placed = (postings.join(found, postings.rid == found.node, "left")
-              .select("g", "rid", "n", F.coalesce("root", "rid").alias("c")))
-    mixed = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
-    open_ = staged(placed.join(mixed, "g"), "ngram-open")
-    owners = open_.select("g", "c").distinct()
-    met = owners.withColumnRenamed("c", "cx").join(owners.withColumnRenamed("c", "cy"), "g").where("cx < cy")
-    x = open_.select("g", F.col("c").alias("cx"), F.col("rid").alias("rx"), F.col("n").alias("nx"))
-    y = open_.select("g", F.col("c").alias("cy"), F.col("rid").alias("ry"), F.col("n").alias("ny"))
-    second = (met.join(x, ["g", "cx"]).join(y, ["g", "cy"]).where(_in_reach("nx", "ny", num, den))
-              .select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y")).distinct())
-    second = staged(second.join(first, ["x", "y"], "left_anti"), "ngram-pairs")
-    more = _verified(second, sets, num, den)
+    placed = (postings.join(found, postings.rid == found.node, "left").drop("node")
+              .withColumn("root", F.coalesce("root", "rid")))
+    mixed = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g")
+    open_ = placed.join(mixed, "g")
+    open_ = staged(open_.join(centres, open_.rid == centres.of, "left").drop("of"), "ngram-open")
+    second = (open_.alias("x").join(open_.alias("y"), F.expr(
+        f"x.g = y.g AND x.root < y.root AND {_possible('x', 'y', num, den)} "
+        f"AND array_intersect(x.prefix, y.prefix)[0] = x.g AND {_alike('x', 'y', num, den)}"))
+        .select(F.least("x.rid", "y.rid").alias("x"), F.greatest("x.rid", "y.rid").alias("y")))
+    tested = first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    second = staged(second.join(tested, ["x", "y"], "left_anti"), "ngram-pairs")
+    more = _compared(second, sets).where(_linked(num, den)).select("x", "y")
     found = staged(components(links.unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b"))),
                    "ngram-components")
 
