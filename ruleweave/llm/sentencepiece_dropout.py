@@ -11,7 +11,7 @@ vocabulary crosses units, so a text is the sequence of its units.  Each
 occurrence of a unit uses one of ``DRAWS`` segmentations, chosen by the keyed
 hash of (seed, doc_id, position): the same document is always encoded alike,
 and the same word varies within and between documents.  Workers remember the
-segmentations of recent units, up to ``CACHE_UNITS``.
+segmentations of recent units, in two generations of ``CACHE_UNITS``.
 
 Decoding is lossless: characters outside the vocabulary, line ends, and a
 literal U+2581 (the vocabulary's mark for a space) are encoded as byte pieces.
@@ -38,7 +38,7 @@ from .common import byte_slices, map_arrow, table
 
 VOCABULARY = "piece_bpe_32k.model"
 RATE, SEED, DRAWS = 0.1, 17, 4
-CACHE_UNITS = 600_000   # of all draws, per worker
+CACHE_UNITS = 600_000   # per generation, of all draws, per worker
 _CACHED_CHARS = 48      # longer units aren't remembered
 _SLICE_BYTES = 4 << 20
 _CELLS = 1 << 19        # symbols whose agendas are worked off side by side
@@ -88,6 +88,7 @@ class Codec:
         self.code = np.uint16 if n <= 1 << 16 else np.uint32
         self.literal = self._bytes(SPACE)
         self.known: list[dict[str, bytes]] = [{} for _ in range(draws)]
+        self.older: list[dict[str, bytes]] = [{} for _ in range(draws)]
         self.room = CACHE_UNITS
 
     def _bytes(self, text: str) -> bytes:
@@ -198,8 +199,8 @@ class Codec:
         found: list[tuple[list, list]] = []   # per text: what isn't known, ids or None
         wanted: dict[tuple, bytes] = {}
         if self.room <= 0:
-            self.known, self.room = [{} for _ in range(self.draws)], CACHE_UNITS
-        known = self.known
+            self.older, self.known, self.room = self.known, [{} for _ in range(self.draws)], CACHE_UNITS
+        known, older = self.known, self.older
         for text, doc_id in zip(texts, ids, strict=True):
             units: list = []
             for k, part in enumerate((" " + text).split(SPACE) if text else ()):
@@ -212,12 +213,12 @@ class Codec:
             got = [known[d].get(u) for u, d in zip(units, draws, strict=True)]
             holes = [(i, draws[i], units[i]) for i, x in enumerate(got) if x is None]
             for _, d, u in holes:
-                wanted[d, u] = self.literal if u is None else b""
+                wanted[d, u] = self.literal if u is None else older[d].get(u)
             found.append((holes, got))
-        fresh = [x for x in wanted if x[1] is not None]
-        for (d, u), x in zip(fresh, self.segment(fresh), strict=True):
-            wanted[d, u] = x
-            if len(u) <= _CACHED_CHARS and self.room > 0:
+        fresh = [x for x, ids_ in wanted.items() if ids_ is None]
+        wanted.update(zip(fresh, self.segment(fresh), strict=True))
+        for (d, u), x in wanted.items():
+            if u is not None and len(u) <= _CACHED_CHARS and self.room > 0:
                 known[d][u] = x
                 self.room -= 1
         for holes, got in found:
