@@ -264,7 +264,9 @@ def repeated_intervals(rows: DataFrame, length: int = LENGTH, gram: int = GRAM,
     as binary)."""
     found = staged(map_arrow(rows.select("rid", "text"), _anchor_rows(length, gram),
                              "rid long, key long, context long, first long, size long"), "suffix-anchors")
-    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # written first: the join then has exchanges of its own, which AQE can split for a hot anchor
+    often = staged(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"),
+                   "suffix-often")
     shared = staged(found.join(often, "key"), "suffix-shared")
 
     contexts = staged(shared.groupBy("key", "context").agg(
