@@ -18,8 +18,7 @@ documents link when their Jaccard similarity reaches ``num / den``.
    has the fewest n-grams of its own, the original of a group of near copies;
    components of the links found are formed.  Second round: the
    documents of a prefix n-gram that lie in *different* components are paired,
-   at the first n-gram that their prefixes share, unless what each lacks of a
-   common centre rules a link out.  A link within a component changes nothing,
+   unless what each lacks of a common centre rules a link out.  A link within a component changes nothing,
    so no link that matters is lost, and a large group of near copies isn't
    expanded into all its pairs.
 6. Each pair is verified on vertical fragments: every document's set is cut by
@@ -220,14 +219,13 @@ def _judged_sets(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _postings(sets: DataFrame, freq: DataFrame, num: int, den: int) -> DataFrame:
-    """(g, rid, n, own, prefix) of the n-grams in each document's prefix that
-    others have, in order, and that list itself."""
+    """(g, rid, n, own) of the n-grams in each document's prefix that others have."""
     heads = sets.select("rid", "n", "own", F.explode("head").alias("g")).join(freq, "g", "left")
     ordered = heads.groupBy("rid", "n", "own").agg(F.sort_array(F.collect_list(F.struct(
         _band(F.col("g"), num, den).alias("band"), F.coalesce("df", F.lit(1)).alias("df"), "g"))).alias("o"))
-    prefix = F.filter(F.expr(f"slice(o, 1, cast((n * {den - num}) div {den} + 1 AS int))"), lambda x: x["df"] > 1)
-    listed = ordered.select("rid", "n", "own", F.transform(prefix, lambda x: x["g"]).alias("prefix"))
-    return listed.select(F.explode("prefix").alias("g"), "rid", "n", "own", "prefix")
+    prefix = F.expr(f"slice(o, 1, cast((n * {den - num}) div {den} + 1 AS int))")
+    return (ordered.select("rid", "n", "own", F.explode(prefix).alias("o")).where("o.df > 1")
+            .select("o.g", "rid", "n", "own"))
 
 
 def _possible(x: str, y: str, num: int, den: int) -> str:
@@ -285,9 +283,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int =
     open_ = placed.join(mixed, "g")
     open_ = staged(open_.join(centres, open_.rid == centres.of, "left").drop("of"), "ngram-open")
     second = (open_.alias("x").join(open_.alias("y"), F.expr(
-        f"x.g = y.g AND x.root < y.root AND {_possible('x', 'y', num, den)} "
-        f"AND array_intersect(x.prefix, y.prefix)[0] = x.g AND {_alike('x', 'y', num, den)}"))
-        .select(F.least("x.rid", "y.rid").alias("x"), F.greatest("x.rid", "y.rid").alias("y")))
+        f"x.g = y.g AND x.root < y.root AND {_possible('x', 'y', num, den)} AND {_alike('x', 'y', num, den)}"))
+        .select(F.least("x.rid", "y.rid").alias("x"), F.greatest("x.rid", "y.rid").alias("y")).distinct())
     tested = first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     second = staged(second.join(tested, ["x", "y"], "left_anti"), "ngram-pairs")
     more = _compared(second, sets).where(_linked(num, den)).select("x", "y")
