@@ -16,11 +16,11 @@ documents link when their Jaccard similarity reaches ``num / den``.
 5. Two linked documents share an n-gram of their prefixes.  First round: each
    document of a prefix n-gram (and length class) is paired with the one that
    has the fewest n-grams of its own, the original of a group of near copies;
-   components of the links found are formed.  Second round: the
-   documents of a prefix n-gram that lie in *different* components are paired,
-   unless what each lacks of a common centre rules a link out.  A link within a component changes nothing,
-   so no link that matters is lost, and a large group of near copies isn't
-   expanded into all its pairs.
+   components of the links found are formed.  Second round: the documents of a
+   prefix n-gram that lie in *different* components are paired, unless what each
+   lacks of a common centre rules a link out.  A link within a component changes
+   nothing, so no link that matters is lost, and a large group of near copies
+   isn't expanded into all its pairs.
 6. Each pair is verified on vertical fragments: every document's set is cut by
    hash into ``FRAGMENTS`` fragments, overlaps are counted per (pair, fragment)
    and summed per pair.
@@ -159,7 +159,9 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(x, y, nx, ny, o, lacks) of the pairs: partial overlaps by fragment, summed
     by pair; lacks is null where y lacks much of x."""
-    parts = sets.select("rid", "n", F.posexplode("parts").alias("f", "part"))
+    # written, so that the planner knows how few documents are in a pair at all
+    paired = staged(pairs.select(F.explode(F.array("x", "y")).alias("rid")).distinct(), "ngram-paired")
+    parts = sets.join(paired, "rid", "left_semi").select("rid", "n", F.posexplode("parts").alias("f", "part"))
     left = parts.select(F.col("rid").alias("x"), F.col("n").alias("nx"), "f", F.col("part").alias("p"))
     right = parts.select(F.col("rid").alias("y"), F.col("n").alias("ny"), "f", F.col("part").alias("q"))
     met = pairs.select("x", "y").join(left, "x").join(right, ["y", "f"]).select("x", "y", "nx", "ny", "p", "q")
