@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from .common import byte_slices, map_arrow, table
 
 VOCABULARY = "piece_bpe_32k.model"
-RATE, SEED, DRAWS = 0.1, 17, 4
+RATE, SEED, DRAWS = 0.1, 17, 3
 CACHE_UNITS = 600_000   # per generation, of all draws, per worker
 _CACHED_CHARS = 48      # longer units aren't remembered
 _SLICE_BYTES = 4 << 20
-_CELLS = 1 << 19        # symbols whose agendas are worked off side by side
+_CELLS = 1 << 16        # symbols whose agendas are worked off side by side
 _NEVER = np.int32(2 ** 31 - 1)
 _MASK = (1 << 64) - 1
 _MIX = tuple(np.uint64(x) for x in (
@@ -74,7 +74,9 @@ class Codec:
         self.rank[normal] = np.unique(scores[normal], return_inverse=True)[1]
         pairs = sorted((ids[piece[:k]] * (n + 1) + ids[piece[k:]], i) for piece, i in ids.items()
                        for k in range(1, len(piece)) if piece[:k] in ids and piece[k:] in ids)
-        self.pairs = np.array([k for k, _ in pairs] + [1 << 62], np.int64)
+        fits = (n + 1) ** 2 < 1 << 31
+        self.pairs = np.array([k for k, _ in pairs] + [(1 << 31) - 1 if fits else 1 << 62],
+                              np.int32 if fits else np.int64)
         self.merged = np.array([i for _, i in pairs] + [n], np.int32)
         text = [b""] * n
         for piece, i in ids.items():
@@ -98,53 +100,51 @@ class Codec:
         """Rank and piece of merging symbols a and b, which lie at characters
         i to j and j to end of their units; _NEVER where that is impossible or
         dropped."""
-        k = a.astype(np.int64) * (self.unknown + 1) + b
+        k = a * self.pairs.dtype.type(self.unknown + 1) + b
         at = np.searchsorted(self.pairs, k)
         piece = np.where(self.pairs[at] == k, self.merged[at], self.unknown)
-        x = keys + i * _MIX[0] + j * _MIX[1] + end * _MIX[2]
+        x = keys + i.astype(np.uint64) * _MIX[0] + j.astype(np.uint64) * _MIX[1] + end.astype(np.uint64) * _MIX[2]
         x = (x ^ x >> np.uint64(31)) * _MIX[3]
         dropped = (x ^ x >> np.uint64(32)) >> np.uint64(1) < self.limit
         return np.where(dropped, _NEVER, self.rank[piece]), piece
 
-    def _merge_all(self, symbols: np.ndarray, lens: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Final symbols of each unit, padded, and their number; ``symbols`` has
-        a row per unit, padded."""
+    def _merge_all(self, symbols: np.ndarray, lens: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Final symbols of each unit, at the place of their first character and
+        -1 elsewhere; ``symbols`` has a row per unit, padded."""
         n, width = symbols.shape
-        final, left = np.empty((n, width), np.int32), np.empty(n, np.int64)
-        rows = np.arange(n)
         col = np.arange(width)
-        places = np.where(col <= lens[:, None], col, lens[:, None]).astype(np.uint64)   # char of each symbol
-        places = np.concatenate([places, lens[:, None].astype(np.uint64)], 1)
+        inside = col < lens[:, None]
+        symbols[~inside] = self.unknown
+        # a column more on each side stands for what lies outside a unit
+        after = np.minimum(np.arange(1, width + 2), lens[:, None]).astype(np.int32)
+        before = np.broadcast_to(np.arange(-1, width, dtype=np.int32), (n, width + 1)).copy()
         symbols = np.concatenate([symbols, np.full((n, 1), self.unknown, np.int32)], 1)
-        ranks, pieces = self._candidates(symbols[:, :-1], symbols[:, 1:], keys[:, None], places[:, :-1],
-                                         places[:, 1:], np.concatenate([places[:, 2:], places[:, -1:]], 1))
-        while True:
-            best = ranks.argmin(1)
-            at = np.arange(len(rows))
-            going = ranks[at, best] < _NEVER
-            if not going.all():
-                done = ~going
-                final[rows[done]], left[rows[done]] = symbols[done, :width], lens[done]
-                rows, symbols, places, ranks, pieces, lens, keys, best = (
-                    x[going] for x in (rows, symbols, places, ranks, pieces, lens, keys, best))
-                at = np.arange(len(rows))
-            if not len(rows):
-                return final, left
-            symbols[at, best] = pieces[at, best]
-            # close the gap after the merged symbol
-            take = np.minimum(col + (col > best[:, None]), width - 1)
-            wide = np.concatenate([take, np.full((len(rows), 1), width)], 1)
-            symbols, places = np.take_along_axis(symbols, wide, 1), np.take_along_axis(places, wide, 1)
-            ranks, pieces = np.take_along_axis(ranks, take, 1), np.take_along_axis(pieces, take, 1)
-            lens = lens - 1
-            symbols[at, lens] = self.unknown
-            places[at, lens] = places[:, -1]
-            ranks[at, lens - 1] = _NEVER
-            for where in (best, np.maximum(best - 1, 0)):
-                nxt = np.minimum(where + 2, width)
-                r, p = self._candidates(symbols[at, where], symbols[at, where + 1], keys, places[at, where],
-                                        places[at, where + 1], places[at, nxt])
-                ranks[at, where], pieces[at, where] = np.where(where + 1 < lens, r, _NEVER), p
+        ranks, pieces = self._candidates(symbols[:, :-1], symbols[:, 1:], keys[:, None], col[None, :],
+                                         after[:, :-1], after[:, 1:])
+        ranks[:, -1] = _NEVER
+        ranks[(col + 1)[None, :] >= lens[:, None]] = _NEVER
+        rows = np.arange(n)
+        while len(rows):
+            mine = ranks if len(rows) == n else ranks[rows]
+            i = mine.argmin(1)
+            going = mine[np.arange(len(rows)), i] < _NEVER
+            rows, i = rows[going], i[going]
+            j = after[rows, i]
+            k = after[rows, j]
+            symbols[rows, i] = pieces[rows, i]
+            symbols[rows, j] = -1
+            after[rows, i] = k
+            before[rows, k] = i
+            ranks[rows, j] = _NEVER
+            for x, y, z in ((i, k, after[rows, k]), (before[rows, i], i, k)):
+                there = np.maximum(x, 0)
+                r, p = self._candidates(symbols[rows, there], symbols[rows, y], keys[rows], there, y, z)
+                ends = (x < 0) | (y >= lens[rows])
+                ranks[rows, there] = np.where(ends, np.where(x < 0, ranks[rows, there], _NEVER), r)
+                pieces[rows, there] = np.where(ends, pieces[rows, there], p)
+        symbols = symbols[:, :-1]
+        symbols[~inside] = -1
+        return symbols
 
     def segment(self, units: list[tuple[int, str]]) -> list[bytes]:
         """Ids of (draw, unit) pairs."""
@@ -166,16 +166,16 @@ class Codec:
             width = int(lens[-1])
             grid = np.full((len(mine), width), self.unknown, np.int32)
             grid[np.arange(width) < lens[:, None]] = flat
-            final, left = self._merge_all(grid, lens, keys[mine])
-            inside = np.arange(width) < left[:, None]
+            final = self._merge_all(grid, lens, keys[mine])
+            inside = final >= 0
             whole = final[inside].astype(self.code)
-            ends = (np.cumsum(left) * whole.itemsize).tolist()
+            ends = (np.cumsum(inside.sum(1)) * whole.itemsize).tolist()
             whole, a = whole.tobytes(), 0
             for k, b in zip(mine.tolist(), ends, strict=True):
                 out[k] = whole[a:b]
                 a = b
-            for r in np.flatnonzero(((final == self.unknown) & inside).any(1)):
-                out[mine[r]] = self._spelled(units[mine[r]][1], final[r, :left[r]])
+            for r in np.flatnonzero((final == self.unknown).any(1)):
+                out[mine[r]] = self._spelled(units[mine[r]][1], final[r][inside[r]])
             i = j
         return out
 
