@@ -5,7 +5,8 @@ A record is ``{"type": op, "data": [rule, ...]}``.  The reference keeps only
 ignored), emits each element of ``data`` in order, and swallows any exception:
 elements before the first bad one are kept, the bad one and the rest of the
 record are lost.  A record that is not a JSON object, or whose ``data`` is not
-an array, is lost as a whole.
+an array, is lost as a whole.  An element with a null status can be parsed but
+not applied: it alone is quarantined, and later elements stay.
 """
 
 from pyspark.sql import Column
@@ -28,15 +29,18 @@ def as_int(text: Column) -> Column:
 
 
 def element_is_bad(x: Column) -> Column:
-    """An element that the reference could not turn into a rule it can apply:
-    not an object, id or status missing or not an integer, counts not an
-    integer.  (A null status fails the reference job; here it is rejected.)"""
+    """An element that the reference could not turn into a rule: not an object,
+    id missing or not an integer, status or counts not an integer."""
     return (x.isNull()
             | as_int(x["id"]).isNull()
-            | as_int(x["status"]).isNull()
+            | (x["status"].isNotNull() & as_int(x["status"]).isNull())
             | (x["counts"].isNotNull() & as_int(x["counts"]).isNull()))
 
 
+def element_has_no_status(x: Column) -> Column:
+    return x["status"].isNull()
+
+
 def first_bad_position(data: Column) -> Column:
     """1-based position of the first bad element, 0 when all are good."""
     return F.array_position(F.transform(data, element_is_bad), True)

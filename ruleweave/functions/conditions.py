@@ -1,18 +1,26 @@
 """Rule conditions as data.
 
-The reference compiles each rule's text with a rule engine when the rule
-arrives.  Here a rule's ``code`` is a Spark SQL boolean expression over the
-counted event (``uid, cid, type, cnt``, also ``seq``, ``ts``).  Each distinct
-condition is analysed once against the event schema, checked against an
-allow-list, and all of them become one ``CASE`` column that Catalyst
-evaluates inside whole-stage codegen.  Conditions that differ only in their
-literals share one compiled template (``templates.py``).  Nothing is
-evaluated in Python.
+A rule's ``code`` is a Spark SQL boolean expression over the counted event
+(``seq, ts, uid, cid, type, cnt``).  Two forms are told apart by Spark on the
+rule rows themselves:
+
+* **simple** conditions, whose whole text is ``column op literal`` joined by
+  AND (string columns with single-quoted literals, number columns with
+  integers of up to nine digits).  They become columns of the rule row: the
+  event type required, bounds on ``cnt``, and the rest as an array of
+  comparisons.  No driver work, no compiled branch, whatever their number;
+* **free** conditions, every other text.  Each distinct one is analysed once
+  against the event schema and becomes one ``CASE`` branch.  A text is rejected
+  when it doesn't compile, isn't boolean, or when its *analysed* expression
+  holds an operation outside the allow-list: that includes all that can raise
+  an error for some event (implicit or explicit casts from text, arithmetic,
+  division), which must be written in their ``try_`` form.
+
+A rejected rule never matches, and neither does one whose outcome is null.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, SparkSession
@@ -20,51 +28,130 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import COUNTED_EVENT
-from .templates import TEMPLATE_SCHEMA, template_expr
 
 # The first two conditions are the static rules of the reference
 # (threshold and exact-nth); they are also the default rule texts.
 THRESHOLD_RULE = "type = 'view' AND cnt >= 2"
 EXACT_NTH_RULE = "type = 'view' AND cnt = 2"
 
-# Functions a condition may call; everything else (reflect, java_method,
-# user functions, generators, subqueries) is rejected.
-ALLOWED_FUNCTIONS = frozenset("""
-abs coalesce nvl ifnull nullif if isnull isnotnull lower upper trim ltrim rtrim
-length char_length substr substring startswith endswith contains instr locate
-concat concat_ws split_part like ilike rlike regexp regexp_like left right
-cast try_cast to_date date_trunc hour day dayofweek dayofmonth month year
-least greatest round floor ceil ceiling pmod mod in between
+_TEXT_COLUMNS, _NUMBER_COLUMNS = ("uid", "cid", "type"), ("cnt", "seq")
+_OPERATOR = r"(<=|>=|<>|!=|==|=|<|>)"
+_COMPARISON = (rf"(?:(?:{'|'.join(_TEXT_COLUMNS)})\s*{_OPERATOR}\s*'[^'\\]*'"
+               rf"|(?:{'|'.join(_NUMBER_COLUMNS)})\s*{_OPERATOR}\s*[0-9]{{1,9}})")
+# Java regular expressions (evaluated by Spark on the rule rows).
+SIMPLE_PATTERN = rf"(?i)^\s*{_COMPARISON}(?:\s+AND\s+{_COMPARISON})*\s*$"
+_PARTS = (rf"(?i)\b({'|'.join(_TEXT_COLUMNS + _NUMBER_COLUMNS)})\s*{_OPERATOR}\s*"
+          r"('[^'\\]*'|[0-9]{1,9})")
+
+# Names of the expressions an analysed condition may hold.  All are total: none
+# raises an error, whatever the event.
+ALLOWED_EXPRESSIONS = frozenset("""
+Alias AttributeReference Literal And Or Not EqualTo EqualNullSafe LessThan LessThanOrEqual
+GreaterThan GreaterThanOrEqual In InSet IsNull IsNotNull Coalesce If CaseWhen NullIf Nvl
+Like RLike StartsWith EndsWith Contains Lower Upper StringTrim StringTrimLeft StringTrimRight
+Length OctetLength Substring StringInstr Concat ConcatWs Left Right SplitPart Least Greatest
+Hour Minute Second DayOfMonth DayOfWeek DayOfYear Month Quarter Year WeekOfYear LastDay ToDate
+TruncTimestamp TruncDate LikeAny LikeAll Between With CommonExpressionDef CommonExpressionRef
+TryEval TryToTimestamp TryElementAt TryAdd TrySubtract TryMultiply TryDivide TryMod
 """.split())
 
-# SQL keywords that are followed by "(" without being function calls.
-_KEYWORDS = frozenset("and or not in is case when then else end between like rlike".split())
-_FORBIDDEN_WORDS = re.compile(r"\b(select|exists|lambda)\b|->", re.IGNORECASE)
-_CALL = re.compile(r"([A-Za-z_][A-Za-z0-9_.]*)\s*\(")
-_STRING_LITERAL = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"")
+
+def is_simple(code: Column) -> Column:
+    return F.coalesce(code.rlike(SIMPLE_PATTERN), F.lit(False))
+
+
+def parsed_columns(code: Column) -> dict[str, Column]:
+    """Columns of a rule row for its condition: ``__simple``, the required event
+    type ``__guard``, bounds of cnt ``__lo`` and ``__hi``, and ``__rest``, the
+    other comparisons.  All null or empty for a free condition."""
+    part = lambda i: F.regexp_extract_all(code, F.lit(_PARTS), F.lit(i))
+    all_ = F.when(is_simple(code), F.zip_with(
+        F.zip_with(part(1), part(2), lambda c, o: F.struct(F.lower(c).alias("col"), o.alias("op"))), part(3),
+        lambda a, v: F.struct(
+            a["col"].alias("col"), F.when(a["op"] == "==", "=").when(a["op"] == "!=", "<>").otherwise(a["op"]).alias("op"),
+            F.regexp_replace(v, "^'|'$", "").alias("value"))))
+    is_type = lambda x: (x["col"] == "type") & (x["op"] == "=")
+    is_count = lambda x: (x["col"] == "cnt") & (x["op"] != "<>")
+    number = lambda x: x["value"].try_cast("bigint")
+    guard = F.get(F.filter(all_, is_type), 0)["value"]
+    lows = F.transform(F.filter(all_, lambda x: is_count(x) & x["op"].isin("=", ">=", ">")),
+                       lambda x: number(x) + F.when(x["op"] == ">", 1).otherwise(0))
+    highs = F.transform(F.filter(all_, lambda x: is_count(x) & x["op"].isin("=", "<=", "<")),
+                        lambda x: number(x) - F.when(x["op"] == "<", 1).otherwise(0))
+    rest = F.filter(all_, lambda x: ~is_count(x) & ~(is_type(x) & (x["value"] == guard)))
+    return {"__simple": all_.isNotNull(), "__guard": guard, "__lo": F.array_max(lows),
+            "__hi": F.array_min(highs), "__rest": rest}
+
+
+def _compare(value: Column, x: Column, literal: Column) -> Column:
+    out = F.when(x["op"] == "=", value == literal)
+    for op, result in (("<>", value != literal), ("<", value < literal), ("<=", value <= literal),
+                       (">", value > literal)):
+        out = out.when(x["op"] == op, result)
+    return out.otherwise(value >= literal)
+
+
+def simple_match() -> Column:
+    """Whether the event satisfies the row's simple condition, but for its guard."""
+    def holds(x: Column) -> Column:
+        out = F.lit(False)
+        for c in _TEXT_COLUMNS:
+            out = F.when(x["col"] == c, _compare(F.col(c), x, x["value"])).otherwise(out)
+        return F.when(x["col"] == "seq", _compare(F.col("seq"), x, x["value"].try_cast("bigint"))).otherwise(out)
+    cnt = F.col("cnt")
+    return ((F.col("__lo").isNull() | (cnt >= F.col("__lo"))) & (F.col("__hi").isNull() | (cnt <= F.col("__hi")))
+            & ((F.size("__rest") == 0) | F.coalesce(F.forall("__rest", holds), F.lit(False))))
+
+
+def _constant(expr) -> bool:
+    """Whether a (JVM) expression is a constant that can be computed."""
+    try:
+        return expr.foldable() and (expr.eval(None), True)[1]
+    except Exception:  # the computation raises an error
+        return False
+
+
+def _unsafe(expr) -> str | None:
+    """The first operation of an analysed (JVM) expression that a condition may
+    not hold; None when there is none."""
+    name = expr.getClass().getSimpleName()
+    if name == "Cast":
+        source, target = expr.child().dataType().simpleString(), expr.dataType().simpleString()
+        numbers = ("tinyint", "smallint", "int", "bigint")
+        widens = source in numbers and target in numbers and numbers.index(source) <= numbers.index(target)
+        safe = widens or target == "string" or source == "void" or (source, target) in (
+            ("timestamp_ntz", "date"), ("date", "timestamp_ntz"), ("date", "timestamp"), ("timestamp_ntz", "timestamp"))
+        if not safe and expr.evalMode().toString() != "TRY" and not _constant(expr):
+            return f"cast from {source} to {target}"
+    elif name in ("Add", "Subtract", "Multiply", "Divide", "Remainder", "IntegralDivide"):
+        context = expr.evalMode().toString() if hasattr(expr, "evalMode") else ""
+        if context != "TRY":
+            return f"operation not allowed: {name}"
+    elif name not in ALLOWED_EXPRESSIONS:
+        return f"operation not allowed: {name}"
+    children = expr.children()
+    for i in range(children.size()):
+        found = _unsafe(children.apply(i))
+        if found:
+            return found
+    return None
 
 
-def rejection_reason(spark: SparkSession, code: str | None,
-                     schema: T.StructType = COUNTED_EVENT, compiled: str | None = None) -> str | None:
-    """None when ``code`` is a usable condition, else why it is rejected.
-    ``compiled`` is the SQL actually analysed (a template's expansion)."""
+def rejection_reason(spark: SparkSession, code: str | None) -> str | None:
+    """None when ``code`` is a usable condition, else why it is rejected."""
     if code is None or not code.strip():
         return "empty condition"
-    bare = _STRING_LITERAL.sub("''", code)
-    if _FORBIDDEN_WORDS.search(bare):
-        return "subquery or lambda not allowed"
-    for name in _CALL.findall(bare):
-        low = name.lower()
-        if low not in _KEYWORDS and low not in ALLOWED_FUNCTIONS:
-            return f"function not allowed: {name}"
     try:
-        expr = F.expr(compiled or code)
-        dtype = spark.createDataFrame([], schema).select(expr.alias("m")).schema["m"].dataType
+        df = spark.createDataFrame([], COUNTED_EVENT).select(F.expr(code).alias("m"))
+        dtype = df.schema["m"].dataType
     except Exception as exc:  # ParseException, AnalysisException
         return f"does not compile: {type(exc).__name__}"
     if not isinstance(dtype, T.BooleanType):
         return f"not a boolean condition: {dtype.simpleString()}"
-    return None
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "Project" or plan.children().apply(0).children().size():
+        return "operation not allowed: more than one expression"
+    return _unsafe(plan.projectList().apply(0))
 
 
 def split_valid(spark: SparkSession, codes: Iterable[str | None]) -> tuple[list[str], dict]:
@@ -79,54 +166,14 @@ def split_valid(spark: SparkSession, codes: Iterable[str | None]) -> tuple[list[
     return ok, bad
 
 
-_TYPE_GUARD = re.compile(r"^\s*type\s*=\s*'([^'\\]*)'\s*(?:AND\s+(.*))?$", re.IGNORECASE | re.DOTALL)
-_OR = re.compile(r"\bOR\b|\|\|", re.IGNORECASE)
-
-
-def type_guard(code: str) -> str | None:
-    """The event type a condition requires, when it has the form
-    ``type = '<t>'`` or ``type = '<t>' AND <rest>`` with no OR in ``<rest>``
-    (AND binds tighter than OR only, so the equality is then a top-level
-    conjunct).  None when no such guard is certain."""
-    m = _TYPE_GUARD.match(code or "")
-    if not m:
-        return None
-    rest = m.group(2)
-    if rest is not None and _OR.search(_STRING_LITERAL.sub("''", rest)):
-        return None
-    return m.group(1)
-
-
 def condition(code: str) -> Column:
     """One condition as a column; an unknown (null) outcome does not match."""
     return F.coalesce(F.expr(code), F.lit(False))
 
 
-def split_valid_templates(spark: SparkSession, templates: Iterable[str]) -> tuple[list[str], list[str]]:
-    """Distinct templates → (usable, not usable); the rows of unusable ones
-    fall back to their literal text."""
-    ok, bad = [], []
-    for t in sorted(set(templates)):
-        reason = rejection_reason(spark, t, TEMPLATE_SCHEMA, compiled=template_expr(t))
-        (ok if reason is None else bad).append(t)
-    return ok, bad
-
-
-def match_column(codes: Iterable[str], code_col: str = "code",
-                 templates: Iterable[str] = ()) -> Column:
-    """True where the row's rule condition holds: by its template when that
-    is among ``templates``, else by its text when that is among ``codes``.
-
-    Both must be validated; rows matching neither (rejected rules) never
-    match.
-    """
-    result = None
-    for t in sorted(set(templates)):
-        hit = F.col("__tpl") == F.lit(t)
-        cond = F.coalesce(F.expr(template_expr(t)), F.lit(False))
-        result = F.when(hit, cond) if result is None else result.when(hit, cond)
+def match_column(codes: Iterable[str], code_col: str = "code") -> Column:
+    """True where the row's free condition, one of the validated ``codes``, holds."""
+    result = F.lit(False)
     for code in sorted(set(codes)):
-        hit = F.col(code_col) == F.lit(code)
-        result = (F.when(hit, condition(code)) if result is None
-                  else result.when(hit, condition(code)))
-    return F.lit(False) if result is None else result.otherwise(F.lit(False))
+        result = F.when(F.col(code_col) == F.lit(code), condition(code)).otherwise(result)
+    return result

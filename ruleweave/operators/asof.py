@@ -1,15 +1,14 @@
 """Events × rule versions in force at the event's time.
 
-The reference broadcasts the rule set to every task and evaluates each event
-against the rules present when it arrives.  With rule *versions* this is an
-interval join ``valid_from <= ts < valid_to``.  Two physical strategies:
-
-* the version table is counted first; when it has at most ``broadcast_rows``
-  rows it is broadcast (a proven bound) and joined without moving the events
-  (``BroadcastNestedLoopJoin``: the stream side keeps its partitioning);
-* otherwise versions are expanded to the days they cover and joined on
-  (day) + interval test: a shuffled equi-join that AQE can re-plan (broadcast
-  when the measured side is small, skew split otherwise).
+With rule *versions* the relation "rules present when the event arrives" is an
+interval join ``valid_from <= ts < valid_to``.  It is always an equi-join, so
+that no nested loop is needed and Spark picks the physical strategy by the
+measured size of the versions (broadcast when small, shuffle otherwise, AQE
+splitting skewed partitions):
+
+* a version that requires an event type is joined on that type;
+* any other version concerns every event: events are dealt to ``SALTS`` buckets
+  by a hash of their key, and the version is repeated for each bucket.
 """
 
 from __future__ import annotations
@@ -19,37 +18,18 @@ from pyspark.sql import functions as F
 
 from .rules import versions_at
 
-# A rule table is small by nature; this bound keeps the broadcast copy of the
-# versions far below executor memory (a version row is < 1 KiB).
-DEFAULT_BROADCAST_ROWS = 200_000
-
-
-def join_active(events: DataFrame, versions: DataFrame, ts: str = "ts",
-                condition: Column | None = None, n_versions: int | None = None,
-                broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Inner join of each event with the versions in force at ``events[ts]``,
-    further restricted by ``condition`` (evaluated inside the join).
-
-    ``n_versions`` may be passed when the caller has already counted the
-    version table; it decides the strategy.
-    """
-    n = versions.count() if n_versions is None else n_versions
-    cond = versions_at(F.col(ts))
-    if condition is not None:
-        cond = cond & condition
-    if n <= broadcast_rows:
-        return events.join(F.broadcast(versions), cond, "inner")
-    return _day_bucket_join(events, versions, ts, cond)
-
-
-def _day_bucket_join(events: DataFrame, versions: DataFrame, ts: str, cond: Column) -> DataFrame:
-    # Upper day for open versions: the last event day (one scalar; Parquet
-    # min/max statistics make it cheap).
-    last = events.agg(F.max(F.to_date(ts))).first()[0]
-    first_day = F.to_date("valid_from")
-    last_day = F.coalesce(F.to_date(F.col("valid_to") - F.expr("INTERVAL 1 MICROSECOND")),
-                          F.lit(last).cast("date"))
-    days = F.when(last_day >= first_day, F.sequence(first_day, last_day)).otherwise(F.array())
-    vb = versions.withColumn("__day", F.explode(days))
-    eb = events.withColumn("__eday", F.to_date(ts))
-    return eb.join(vb, (F.col("__eday") == F.col("__day")) & cond, "inner").drop("__day", "__eday")
+SALTS = 16
+
+
+def join_by_type(events: DataFrame, versions: DataFrame, condition: Column, ts: str = "ts") -> DataFrame:
+    """Events with the versions in force whose ``__guard`` is the event's type."""
+    on = (F.col("type") == F.col("__guard")) & versions_at(F.col(ts)) & condition
+    return events.join(versions.where(F.col("__guard").isNotNull()), on)
+
+
+def join_every(events: DataFrame, versions: DataFrame, condition: Column, ts: str = "ts") -> DataFrame:
+    """Events with all versions in force."""
+    salted = events.withColumn("__salt", F.pmod(F.xxhash64("uid", "cid", "seq"), F.lit(SALTS)).cast("int"))
+    repeated = versions.withColumn("__bucket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    on = (F.col("__salt") == F.col("__bucket")) & versions_at(F.col(ts)) & condition
+    return salted.join(repeated, on).drop("__salt", "__bucket")

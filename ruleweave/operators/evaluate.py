@@ -12,13 +12,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.conditions import (THRESHOLD_RULE, match_column, split_valid,
-                                    split_valid_templates, type_guard)
-from ..functions.templates import template_columns, template_guarded
-from .asof import DEFAULT_BROADCAST_ROWS, join_active
+from ..functions.conditions import (THRESHOLD_RULE, match_column, parsed_columns, simple_match,
+                                    split_valid)
+from ..session import staged
+from .asof import join_by_type, join_every
 
 # Offer texts of the reference.  Level 1 (static rule) and
 # levels 2-3 (dynamic rules) use different wording.
@@ -28,116 +28,58 @@ DYNAMIC_ACTION = "发送优惠卷"
 DYNAMIC_DETAIL = "满1000打骨折"
 
 
+EVENT = ["seq", "ts", "uid", "cid", "type", "cnt"]   # all columns: the identity of an event
+PARSED = ["__simple", "__guard", "__lo", "__hi", "__rest"]
+
+
 @dataclass
 class RuleSet:
-    """A version table with its conditions analysed.
-
-    ``templates`` are the usable condition templates, ``codes`` the usable
-    condition texts of rows that are not templated; ``rejected`` maps
-    unusable texts to the reason.  ``local`` is true when the table was small
-    enough to be held as a local relation (it is then broadcast to the tasks,
-    like the reference's broadcast rule state).
-    """
+    """A version table whose conditions are analysed (B14, B15).  ``versions``
+    is written once and carries the columns of its simple conditions;
+    ``codes`` are the usable free condition texts, ``rejected`` maps unusable
+    ones to the reason."""
     versions: DataFrame
-    n_versions: int
     codes: list = field(default_factory=list)
     rejected: dict = field(default_factory=dict)
-    templates: list = field(default_factory=list)
-    local: bool = False
-    rows: list = field(default_factory=list)
 
     @property
     def matches(self) -> Column:
-        return match_column(self.codes, templates=self.templates)
-
-    def guard(self) -> Column:
-        """The event type a version requires (null when none is certain)."""
-        g = F.lit(None).cast("string")
-        for t in self.templates:
-            if template_guarded(t):
-                g = F.when(F.col("__tpl") == t, F.element_at("__strs", 1)).otherwise(g)
-        untemplated = F.col("__tpl").isNull() | ~F.col("__tpl").isin(self.templates)
-        for c in self.codes:
-            if type_guard(c) is not None:
-                g = F.when(untemplated & (F.col("code") == c), F.lit(type_guard(c))).otherwise(g)
-        return g
-
-    def local_guards(self) -> list:
-        """Guard of each version row (local rule sets only), same rule as
-        ``guard()``."""
-        out = []
-        for r in self.rows:
-            tpl = r["__tpl"]
-            if tpl in self.templates:
-                out.append(r["__strs"][0] if template_guarded(tpl) else None)
-            elif r["code"] in self.codes:
-                out.append(type_guard(r["code"]))
-            else:
-                out.append(None)
-        return out
-
-
-def compile_rules(spark: SparkSession, versions: DataFrame,
-                  broadcast_rows: int = DEFAULT_BROADCAST_ROWS, keep_local: bool = True) -> RuleSet:
-    """Size-check the version table and analyse its conditions.
-
-    Conditions are reduced to templates by Spark (``templates.py``); only the
-    distinct templates, and the texts of rows that cannot be templated, are
-    analysed on the driver.  At most ``broadcast_rows + 1`` version rows are
-    fetched: when the table fits, it continues as a local relation, so the
-    plans that use it neither recompute the change-feed pipeline nor re-count
-    it.  A larger table stays distributed (as does any table when
-    ``keep_local`` is false: only the analysis is wanted).  Conditions that do not compile,
-    are not boolean or call functions outside the allow-list are rejected:
-    their versions never match.
-    """
-    versions = versions.withColumns(template_columns(F.col("code")))
-    head = versions.limit(broadcast_rows + 1).collect() if keep_local else None
-    if head is not None and len(head) <= broadcast_rows:
-        local = spark.createDataFrame(head, versions.schema) if head else versions.limit(0)
-        ok_t, bad_t = split_valid_templates(spark, {r["__tpl"] for r in head if r["__tpl"]})
-        loose = {r["code"] for r in head if r["__tpl"] is None or r["__tpl"] in bad_t}
-        ok, bad = split_valid(spark, loose)
-        return RuleSet(local, len(head), ok, bad, ok_t, local=True, rows=head)
-    # size known to exceed the bound (or not wanted): it only picks the
-    # join strategy, so the lower bound suffices and no count job runs
-    n = len(head) if head is not None else broadcast_rows + 1
-    ok_t, bad_t = split_valid_templates(
-        spark, [r[0] for r in versions.select("__tpl").distinct().collect() if r[0]])
-    loose = versions.where(F.col("__tpl").isNull() | F.col("__tpl").isin(bad_t))
-    ok, bad = split_valid(spark, [r[0] for r in loose.select("code").distinct().collect()])
-    return RuleSet(versions, n, ok, bad, ok_t)
+        """Whether the row's condition holds, but for the event type it requires."""
+        free = match_column(self.codes)
+        return F.when(F.col("__simple"), simple_match()).otherwise(free)
+
+
+def compile_rules(spark: SparkSession, versions: DataFrame) -> RuleSet:
+    """Analyse the conditions of a version table, which is written to the shared
+    folder first: its size is then known to Spark, and the change feed isn't
+    computed again by each use.  Only the distinct *free* texts reach the
+    driver."""
+    versions = staged(versions.withColumns(parsed_columns(F.col("code"))), "rule-versions")
+    free = versions.where(~F.col("__simple") & F.col("code").isNotNull()).select("code").distinct()
+    ok, bad = split_valid(spark, [r["code"] for r in free.collect()])
+    return RuleSet(versions, ok, bad)
 
 
 def rejected_rules(spark: SparkSession, versions: DataFrame) -> DataFrame:
     """Versions whose condition cannot be used (B15), with the reason:
-    ``(id, topic_offset, pos, code, reason)``.
-
-    The same analysis as ``compile_rules``: templates first, then the texts
-    that cannot be templated; only those reach the driver.  The verdicts go
-    back as a table joined on the condition text (AQE picks the join by its
-    measured size).
-    """
-    rs = compile_rules(spark, versions, keep_local=False)
-    verdicts = list(rs.rejected.items())
-    usable = F.col("code").isin(rs.codes) | F.col("__tpl").isin(rs.templates)
-    table = spark.createDataFrame(verdicts, "rejected_code STRING, reason STRING")
-    flagged = (rs.versions.where(F.col("code").isNotNull() & ~usable)
-               .join(table, F.col("code") == F.col("rejected_code"))
-               .select("id", "topic_offset", "pos", "code", "reason"))
-    empty = (rs.versions.where(F.col("code").isNull() | (F.trim("code") == ""))
-             .select("id", "topic_offset", "pos", "code", F.lit("empty condition").alias("reason")))
-    return flagged.where(F.trim("code") != "").unionByName(empty)
-
-
-def current_rule_set(spark: SparkSession, current: DataFrame,
-                     broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> RuleSet:
+    ``(id, topic_offset, pos, code, reason)``."""
+    rs = compile_rules(spark, versions)
+    table = spark.createDataFrame(list(rs.rejected.items()), "rejected_code STRING, reason STRING")
+    empty = F.coalesce(F.trim("code") == "", F.lit(True))
+    return (rs.versions.where(~F.col("__simple"))
+            .join(table, F.col("code") == F.col("rejected_code"), "left")
+            .withColumn("reason", F.when(empty, F.lit("empty condition")).otherwise(F.col("reason")))
+            .where(F.col("reason").isNotNull())
+            .select("id", "topic_offset", "pos", "code", "reason"))
+
+
+def current_rule_set(spark: SparkSession, current: DataFrame) -> RuleSet:
     """The current rule table (e.g. ``rules.current_rules``) as a rule set in
     force for every event, with no time travel (E2): each rule becomes one
     version open on both sides."""
     versions = (current.withColumn("valid_from", F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
                 .withColumn("valid_to", F.lit(None).cast("timestamp_ntz")))
-    return compile_rules(spark, versions, broadcast_rows)
+    return compile_rules(spark, versions)
 
 
 def offers(df: DataFrame, action: str = DYNAMIC_ACTION, detail: str = DYNAMIC_DETAIL,
@@ -163,75 +105,33 @@ def static_offers(counted: DataFrame, code: str = THRESHOLD_RULE) -> DataFrame:
     return offers(static_rule(counted, code), STATIC_ACTION, STATIC_DETAIL, rule_col=None)
 
 
-def matched_pairs(counted: DataFrame, rules: RuleSet,
-                  broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def matched_pairs(counted: DataFrame, rules: RuleSet) -> DataFrame:
     """(event, version) pairs where the version is in force and its condition
     holds: the strict hits.  The condition is part of the join condition, so
-    non-matching pairs are never materialised.
+    non-matching pairs are never materialised.  Versions that require an event
+    type meet only the events of that type."""
+    other = rules.versions.where(F.col("__guard").isNull())
+    return (join_by_type(counted, rules.versions, rules.matches)
+            .unionByName(join_every(counted, other, rules.matches)).drop(*PARSED))
 
-    Versions whose condition starts with a top-level ``type = '<t>'`` are
-    joined on ``type`` (an equi-join: broadcast hash join, each event meets
-    only the rules of its type); the others by the interval test alone.
-    ``counted`` must be counted per a key that includes ``type`` (as the
-    running count of this library is).
-    """
-    versions = rules.versions.withColumn("__guard", rules.guard())
-    matches = rules.matches
-    guarded = versions.where(F.col("__guard").isNotNull())
-    if rules.local:  # decided from the collected rows, no job
-        guards = rules.local_guards()
-        types = sorted({g for g in guards if g is not None})
-        any_unguarded = any(g is None for g in guards)
-    else:
-        types = [r[0] for r in guarded.select("__guard").distinct().collect()]
-        any_unguarded = True
-    parts = []
-    if types:
-        # ``type`` is part of the count key: dropping other types removes
-        # whole keys and changes no count, so Catalyst may push this filter
-        # below the running count into the scan.
-        events = counted.where(F.col("type").isin(sorted(types)))
-        cond = (F.col("type") == F.col("__guard")) & matches
-        parts.append(join_active(events, guarded, condition=cond, n_versions=rules.n_versions,
-                                 broadcast_rows=broadcast_rows))
-    if any_unguarded and rules.n_versions > 0:
-        rest = versions.where(F.col("__guard").isNull())
-        parts.append(join_active(counted, rest, condition=matches,
-                                 n_versions=rules.n_versions, broadcast_rows=broadcast_rows))
-    if not parts:
-        return join_active(counted, versions.where(F.lit(False)), n_versions=0).drop("__guard")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("__guard")
-
-
-def sticky_pairs(counted: DataFrame, rules: RuleSet, partition_cols: list[str] | None = None,
-                 broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+
+def sticky_pairs(counted: DataFrame, rules: RuleSet) -> DataFrame:
     """(event, version) pairs emitted by the level-2 loop (X12): all versions
     in force whose id is >= the smallest hitting id of that event.
 
-    The window is per event (bounded by the number of rules in force).  When
-    ``partition_cols`` name the partitioning the events already have (e.g.
-    the running count's key + block), the window reuses it and no shuffle is
-    added; ``seq`` is unique, so the groups are the same.
-    """
-    pairs = join_active(counted, rules.versions, n_versions=rules.n_versions,
-                        broadcast_rows=broadcast_rows)
-    by_event = (partition_cols or []) + ["seq"]
-    w = (Window.partitionBy(*by_event).orderBy("id")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (pairs.withColumn("__hit", F.max(rules.matches).over(w))
-            .where(F.col("__hit")).drop("__hit"))
-
-
-def dynamic_rules(counted: DataFrame, rules: RuleSet, mode: str = "strict",
-                  partition_cols: list[str] | None = None,
-                  broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    The smallest hitting id comes from the strict pairs, by an aggregate with
+    map-side partials over the event's whole identity; only events that are hit
+    meet the versions again."""
+    first = matched_pairs(counted, rules).groupBy(*EVENT).agg(F.min("id").alias("__first"))
+    return (join_every(first, rules.versions, F.col("id") >= F.col("__first"))
+            .drop("__first", *PARSED))
+
+
+def dynamic_rules(counted: DataFrame, rules: RuleSet, mode: str = "strict") -> DataFrame:
     if mode == "strict":
-        pairs = matched_pairs(counted, rules, broadcast_rows)
+        pairs = matched_pairs(counted, rules)
     elif mode == "sticky":
-        pairs = sticky_pairs(counted, rules, partition_cols, broadcast_rows)
+        pairs = sticky_pairs(counted, rules)
     else:
         raise ValueError("mode must be 'strict' or 'sticky'")
     return offers(pairs)

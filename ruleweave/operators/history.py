@@ -7,15 +7,13 @@ when the count (0 when no row) reaches the rule's ``counts``.
 
 Here all lookups of a batch become one plan:
 
-1. the distinct lookup keys ``(metric, uid, cid, type, range)`` of the
-   candidates (many events share a key);
-2. one range join of the history table with the keys on ``(uid, cid, type)``
-   plus the containment test, then ``count`` per key; the history side is
-   pre-filtered by the overall range, which prunes the Parquet scan; the join
-   is an inner sort-merge (or broadcast, as AQE measures) join, so a hot key's
-   history is split by AQE's skew handling, and the count is partially
-   aggregated before its shuffle;
-3. a left join back to the candidates; a missing key counts 0.
+1. the distinct lookup keys ``(uid, cid, type, range)`` of the candidates (many
+   events share a key), written once;
+2. the history rows meet the distinct ranges of their event type and are counted
+   per (uid, cid, type, range), with map-side combine before any shuffle: a key
+   with very many history rows leaves each task as one row per range.  The
+   overall range prunes the Parquet scan;
+3. a left join of the keys with the counts; a missing key counts 0.
 
 ``rule.sql`` names a registered history metric (a DataFrame with columns
 ``uid, cid, type, start_time, end_time``), never free SQL per event.  The
@@ -29,6 +27,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 KEY_COLS = ["uid", "cid", "type", "start_time", "end_time"]
 
 
@@ -41,29 +41,26 @@ def history_counts(keys: DataFrame, history: DataFrame, bounds: tuple | None = N
     timestamps) → same columns + ``hist_cnt``: number of history rows of that
     (uid, cid, type) whose interval lies inside the range, both ends inclusive.
     Keys without history rows get 0."""
-    k = (keys.select(*KEY_COLS).distinct()
-         .withColumn("__lo", _ts("start_time")).withColumn("__hi", _ts("end_time")))
-    h = history.select(F.col("uid").alias("h_uid"), F.col("cid").alias("h_cid"),
-                       F.col("type").alias("h_type"),
-                       F.col("start_time").alias("h_start"), F.col("end_time").alias("h_end"))
+    k = staged(keys.select(*KEY_COLS).distinct(), "history-keys")
+    ranges = (k.select(F.col("type").alias("r_type"), "start_time", "end_time").distinct()
+              .withColumn("__lo", _ts("start_time")).withColumn("__hi", _ts("end_time")))
+    h = history.select("uid", "cid", "type", F.col("start_time").alias("h_start"),
+                       F.col("end_time").alias("h_end"))
     if bounds is not None:
         lo, hi = bounds
         lo_c = F.lit(lo.isoformat(sep=" ")).cast("timestamp_ntz")
         hi_c = F.lit(hi.isoformat(sep=" ")).cast("timestamp_ntz")
         h = h.where((F.col("h_start") >= lo_c) & (F.col("h_end") <= hi_c))
-    joined = h.join(k, (F.col("h_uid") == F.col("uid")) & (F.col("h_cid") == F.col("cid"))
-                    & (F.col("h_type") == F.col("type"))
-                    & (F.col("h_start") >= F.col("__lo")) & (F.col("h_end") <= F.col("__hi")),
-                    "inner")
-    found = joined.groupBy(*KEY_COLS).agg(F.count(F.lit(1)).alias("hist_cnt"))
-    return (k.drop("__lo", "__hi").join(found, KEY_COLS, "left")
+    inside = h.join(ranges, (F.col("type") == F.col("r_type")) & (F.col("h_start") >= F.col("__lo"))
+                    & (F.col("h_end") <= F.col("__hi")))
+    found = inside.groupBy(*KEY_COLS).agg(F.count(F.lit(1)).alias("hist_cnt"))
+    return (k.join(found, KEY_COLS, "left")
             .withColumn("hist_cnt", F.coalesce("hist_cnt", F.lit(0)).cast("long")))
 
 
 def range_bounds(versions: DataFrame) -> tuple | None:
     """Overall ``(min start, max end)`` of the rule ranges: one scalar
-    aggregate over the version table (a local relation when small, then
-    computed without a job).  Rows without a usable range cannot match any
+    aggregate over the version table (written once, see ``compile_rules``).  Rows without a usable range cannot match any
     history row and do not widen the bounds."""
     row = versions.agg(F.min(_ts("start_time")).alias("lo"), F.max(_ts("end_time")).alias("hi")).first()
     if row is None or row["lo"] is None or row["hi"] is None:

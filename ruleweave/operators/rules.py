@@ -47,7 +47,7 @@ def parse_cdc(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         "topic_offset", "commit_ts",
         F.posexplode(kept_data).alias("pos", "__e"))
     e = F.col("__e")
-    changes = elements.select(
+    changes = elements.where(e["status"].isNotNull()).select(
         "topic_offset", F.col("pos").cast("int").alias("pos"), "commit_ts",
         cdc.as_int(e["id"]).alias("id"),
         e["name"].alias("name"), e["code"].alias("code"), e["sql"].alias("sql"),
@@ -73,6 +73,12 @@ def parse_cdc(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
              .otherwise(F.lit("after_bad_element")).alias("reason"))),
         lambda r: r["pos"] >= F.col("__p") - 1)
     element_level = F.when(kept_op & (F.col("__p") > 0), lost).otherwise(none)
+    unapplied = F.filter(
+        F.transform(cdc.kept_elements(data, F.col("__p")), lambda x, i: F.struct(
+            F.when(cdc.element_has_no_status(x), i).cast("int").alias("pos"),
+            F.lit("null_status").alias("reason"))),
+        lambda r: r["pos"].isNotNull())
+    element_level = F.concat(element_level, F.when(kept_op, F.coalesce(unapplied, none)).otherwise(none))
     rejects = (env.select("topic_offset",
                           F.explode(F.concat(record_level, element_level)).alias("__r"))
                .select("topic_offset", "__r.pos", "__r.reason"))
@@ -91,21 +97,19 @@ def current_rules(changes: DataFrame) -> DataFrame:
                     F.col("__last.commit_ts").alias("valid_from")))
 
 
-def rule_versions(changes: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE,
-                  single_block: bool = False) -> DataFrame:
+def rule_versions(changes: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
     """Every upsert becomes a version valid from its commit time until the next
     change (of any kind) to the same id (D2); ``valid_to`` null = still open."""
     with_next = neighbor(changes.where(F.col("id").isNotNull()), ["id"], CHANGE_ORDER,
                          ["commit_ts"], "__next", "next", block_col="topic_offset",
-                         block_size=block_size, single_block=single_block)
+                         block_size=block_size)
     return (with_next.where(F.col("action") == "UPSERT")
             .select(*RULE_COLUMNS, "topic_offset", "pos",
                     F.col("commit_ts").alias("valid_from"),
                     F.col("__next.commit_ts").alias("valid_to")))
 
 
-def rule_state_trace(changes: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE,
-                     single_block: bool = False) -> DataFrame:
+def rule_state_trace(changes: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
     """Number of active rules after each change (D3), in arrival order.
 
     Per change the active-set delta is +1 (id becomes active), -1 (active id
@@ -116,13 +120,12 @@ def rule_state_trace(changes: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE,
     """
     with_prev = neighbor(changes.where(F.col("id").isNotNull()), ["id"], CHANGE_ORDER,
                          ["action"], "__prev", "prev", block_col="topic_offset",
-                         block_size=block_size, single_block=single_block)
+                         block_size=block_size)
     was_active = F.coalesce(F.col("__prev.action") == "UPSERT", F.lit(False))
     delta = (F.when((F.col("action") == "UPSERT") & ~was_active, 1)
              .when((F.col("action") == "REMOVE") & was_active, -1).otherwise(0))
     traced = running_sum(with_prev.withColumn("delta", delta), [], CHANGE_ORDER, "n_active",
-                         value=F.col("delta"), block_col="topic_offset", block_size=block_size,
-                         single_block=single_block)
+                         value=F.col("delta"), block_col="topic_offset", block_size=block_size)
     return traced.select("topic_offset", "pos", "id", "action", "delta", "n_active")
 
 

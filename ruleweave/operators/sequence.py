@@ -2,20 +2,22 @@
 
 A plain ``Window.partitionBy(key).orderBy(seq)`` puts every row of a key into
 one task; a key holding a third of all rows then decides the job's run time
-and memory, and AQE cannot split a window partition.  The operators here cut
-each key into *blocks* of the arrival order (``seq div block_size``), which
-bounds every window partition by ``block_size`` rows:
-
-1. per (key, block) a small summary is pre-aggregated (map-side combine);
-2. the summaries are carried across blocks by a window over the summary table
-   (at most ``#blocks`` rows per key);
-3. one *marker* row per (key, block) with the carried value is unioned into
-   the data, and the final window runs over (key, block), where the marker
-   seeds the block.
-
-The result is exactly that of the plain window.  The data is shuffled once
-(on key + block); the summaries are tiny.  Null keys form their own group,
-as in a window.
+and memory, and AQE cannot split a window partition.  Here there is one plan
+for every size of the input:
+
+1. rows are counted per key (map-side combine).  Keys with more than
+   ``block_size`` rows are *heavy*; there are at most rows / ``block_size`` of
+   them, which bounds the broadcast that marks their rows;
+2. the rows of a heavy key are cut into blocks of the arrival order
+   (``seq div block_size``), all other keys have the one block 0, and the final
+   window runs over (key, block): the data is shuffled once;
+3. one *marker* row per (heavy key, block) carries what the earlier blocks hold
+   and seeds its block.  Light keys have no markers.
+
+The result is exactly that of the plain window.  Null keys form their own
+group, as in a window.  Without keys (a running total over everything), all
+rows are cut into blocks and the carried sums are built from dyadic ranges of
+blocks, so that no task sees all of them.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # About a million rows per (key, block): a window partition that sorts in
-# memory on any executor, and a carried-summary table ~1e-6 of the data.
+# memory on any executor.
 DEFAULT_BLOCK_SIZE = 1 << 20
 
-_BLK, _MARK, _CARRY = "__blk", "__marker", "__carry"
+_BLK, _MARK, _CARRY, _HEAVY = "__blk", "__marker", "__carry", "__heavy"
+_LEVELS = 44   # dyadic levels: block ids below 2**44
 
 
 def _block(order_col: str, block_size: int) -> Column:
@@ -37,25 +40,40 @@ def _block(order_col: str, block_size: int) -> Column:
     return F.expr(f"CAST(`{order_col}` AS BIGINT) div {int(block_size)}")
 
 
-def fits_one_block(df: DataFrame, block_col: str, block_size: int = DEFAULT_BLOCK_SIZE) -> bool:
-    """True when every row of ``df`` falls into the same block of
-    ``block_col``.  Then each key has a single block, and the plain window is
-    exactly the blocked one, with the same bound of ``block_size`` rows per
-    window partition.  One scalar aggregate over one column; on a Parquet
-    scan with aggregate push-down it is answered from the file footers."""
-    b = _block(block_col, block_size)
-    row = df.agg(F.min(b).alias("lo"), F.max(b).alias("hi")).first()
-    return row is None or row["lo"] is None or row["lo"] == row["hi"]
-
-
-def _key_window(keys: Sequence[str]) -> Window:
-    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+def _with_blocks(df: DataFrame, keys: list[str], block_col: str, block_size: int) -> DataFrame:
+    """``df`` with the block of each row and whether its key is heavy."""
+    block = _block(block_col, block_size)
+    if not keys:
+        return df.withColumn(_BLK, block).withColumn(_HEAVY, F.lit(True))
+    heavy = (df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+             .agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block_size))
+    on = None
+    for i, k in enumerate(keys):
+        same = F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        on = same if on is None else on & same
+    marked = df.join(F.broadcast(heavy), on, "left").withColumn(_HEAVY, F.col("__n").isNotNull())
+    return (marked.drop("__n", *[f"__k{i}" for i in range(len(keys))])
+            .withColumn(_BLK, F.when(F.col(_HEAVY), block).otherwise(F.lit(0).cast("long"))))
+
+
+def _carried_total(per_block: DataFrame) -> DataFrame:
+    """(blk, carry) with the sum of ``__s`` over all smaller blocks, for blocks
+    of one sequence: the blocks below b are one dyadic range for each bit of b."""
+    levels = F.sequence(F.lit(0), F.lit(_LEVELS - 1))
+    ranges = (per_block.select("__s", F.col(_BLK), F.explode(levels).alias("level"))
+              .select("level", F.expr(f"shiftright({_BLK}, level)").alias("at"), "__s")
+              .groupBy("level", "at").agg(F.sum("__s").alias("__sum")))
+    needed = (per_block.select(_BLK, F.explode(levels).alias("level"))
+              .where(F.expr(f"shiftright({_BLK}, level) & 1") == 1)
+              .select(_BLK, "level", (F.expr(f"shiftright({_BLK}, level)") - 1).alias("at")))
+    before = (needed.join(ranges, ["level", "at"]).groupBy(_BLK).agg(F.sum("__sum").alias(_CARRY)))
+    return per_block.select(_BLK).join(before, _BLK, "left").select(
+        _BLK, F.coalesce(_CARRY, F.lit(0)).cast("long").alias(_CARRY))
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
                 value: Column | None = None, block_col: str | None = None,
-                block_size: int = DEFAULT_BLOCK_SIZE, keep_block: str | None = None,
-                single_block: bool = False) -> DataFrame:
+                block_size: int = DEFAULT_BLOCK_SIZE, keep_block: str | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over rows of the same key up to and
     including this one in ``order``.  ``value`` defaults to 1 (running count).
 
@@ -67,26 +85,19 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: s
     groups by those columns plus a unique row key needs no new shuffle.
     """
     keys, order = list(keys), list(order)
-    block_col = block_col or order[0]
     val = F.lit(1).cast("long") if value is None else value.cast("long")
-    if single_block:  # caller checked fits_one_block: one pass, no summaries
-        w = _key_window(keys).orderBy(*order)
-        # a plain count is row_number, which lets Catalyst add a per-group
-        # limit (WindowGroupLimit) under filters like cnt = k or cnt <= k
-        agg = (F.row_number().over(w) if value is None
-               else F.sum(val).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        result = df.withColumn(out, agg.cast("long"))
-        return result.withColumn(keep_block, _block(block_col, block_size)) if keep_block else result
-    data = df.withColumn(_BLK, _block(block_col, block_size)).withColumn("__val", val)
-
-    per_block = data.groupBy(*keys, _BLK).agg(F.sum("__val").alias("__s"))
-    before = _key_window(keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
-    markers = per_block.select(
-        *keys, _BLK,
-        F.coalesce(F.sum("__s").over(before), F.lit(0)).cast("long").alias(_CARRY),
-        F.lit(0).alias(_MARK))
-
-    rows = data.withColumn(_CARRY, F.col("__val")).withColumn(_MARK, F.lit(1)).drop("__val")
+    data = _with_blocks(df, keys, block_col or order[0], block_size).withColumn("__val", val)
+
+    per_block = data.where(F.col(_HEAVY)).groupBy(*keys, _BLK).agg(F.sum("__val").alias("__s"))
+    if keys:
+        before = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+        carried = per_block.select(
+            *keys, _BLK, F.coalesce(F.sum("__s").over(before), F.lit(0)).cast("long").alias(_CARRY))
+    else:
+        carried = _carried_total(per_block)
+    markers = carried.withColumn(_MARK, F.lit(0))
+
+    rows = data.withColumn(_CARRY, F.col("__val")).withColumn(_MARK, F.lit(1)).drop("__val", _HEAVY)
     both = rows.unionByName(markers, allowMissingColumns=True)
     w = (Window.partitionBy(*keys, _BLK).orderBy(_MARK, *order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -97,16 +108,14 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: s
 
 
 def running_count(df: DataFrame, keys: Sequence[str], order: str = "seq", out: str = "cnt",
-                  block_size: int = DEFAULT_BLOCK_SIZE, keep_block: str | None = None,
-                  single_block: bool = False) -> DataFrame:
+                  block_size: int = DEFAULT_BLOCK_SIZE, keep_block: str | None = None) -> DataFrame:
     """Running count per key in arrival order, the current row included."""
-    return running_sum(df, keys, [order], out, block_size=block_size, keep_block=keep_block,
-                       single_block=single_block)
+    return running_sum(df, keys, [order], out, block_size=block_size, keep_block=keep_block)
 
 
 def neighbor(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str],
              out: str, direction: str, block_col: str | None = None,
-             block_size: int = DEFAULT_BLOCK_SIZE, single_block: bool = False) -> DataFrame:
+             block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
     """Add struct column ``out`` holding ``values`` of the previous
     (``direction='prev'``) or next (``'next'``) row of the same key in
     ``order``; null when there is none.  Same block scheme as ``running_sum``.
@@ -114,27 +123,23 @@ def neighbor(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: S
     if direction not in ("prev", "next"):
         raise ValueError("direction must be 'prev' or 'next'")
     keys, order, values = list(keys), list(order), list(values)
-    block_col = block_col or order[0]
-    if single_block:  # caller checked fits_one_block
-        step = F.lag if direction == "prev" else F.lead
-        carry = F.struct(*[F.col(v) for v in values])
-        return df.withColumn(out, step(carry).over(_key_window(keys).orderBy(*order)))
-    data = (df.withColumn(_BLK, _block(block_col, block_size))
+    data = (_with_blocks(df, keys, block_col or order[0], block_size)
             .withColumn(_CARRY, F.struct(*[F.col(v) for v in values]))
             .withColumn("__ord", F.struct(*[F.col(o) for o in order])))
 
+    over_blocks = Window.partitionBy(*keys).orderBy(_BLK)
     if direction == "prev":
         edge = F.max_by(_CARRY, "__ord")          # last row of each block
-        across = F.lag("__edge").over(_key_window(keys).orderBy(_BLK))
+        across = F.lag("__edge").over(over_blocks)
         data_mark, marker_mark = 1, 0             # marker sorts first
     else:
         edge = F.min_by(_CARRY, "__ord")          # first row of each block
-        across = F.lead("__edge").over(_key_window(keys).orderBy(_BLK))
+        across = F.lead("__edge").over(over_blocks)
         data_mark, marker_mark = 0, 1             # marker sorts last
-    markers = (data.groupBy(*keys, _BLK).agg(edge.alias("__edge"))
+    markers = (data.where(F.col(_HEAVY)).groupBy(*keys, _BLK).agg(edge.alias("__edge"))
                .select(*keys, _BLK, across.alias(_CARRY), F.lit(marker_mark).alias(_MARK)))
 
-    rows = data.drop("__ord").withColumn(_MARK, F.lit(data_mark))
+    rows = data.drop("__ord", _HEAVY).withColumn(_MARK, F.lit(data_mark))
     both = rows.unionByName(markers, allowMissingColumns=True)
     w = Window.partitionBy(*keys, _BLK).orderBy(_MARK, *order)
     step = F.lag if direction == "prev" else F.lead

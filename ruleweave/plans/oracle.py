@@ -1,18 +1,27 @@
 """ANSI SQL (DuckDB dialect) for every query of ``plans.queries``.
 
 Written independently of the Spark code: plain window functions, joins and
-JSON/string functions over the pre-registered ``events`` view.  The demo rule
-history and its conditions are spelled from the same fixed values
-(``sources.cdc.DEMO_RULE_CHANGES``), the conditions being SQL that DuckDB
-evaluates itself.
+JSON/string functions over the pre-registered ``events`` view.  Nothing is
+imported from the engine: the reference's texts, the demo rule history and the
+split rule are spelled here once more.
 """
 
 from __future__ import annotations
 
-from ..functions.conditions import EXACT_NTH_RULE, THRESHOLD_RULE
-from ..operators.evaluate import DYNAMIC_ACTION, DYNAMIC_DETAIL, STATIC_ACTION, STATIC_DETAIL
-from ..sources.cdc import DEMO_RULE_CHANGES, HISTORY_METRIC
-from .queries import LOOKUP_PARAMS
+# Texts of the reference, and the rule history of the queries.
+STATIC_ACTION, STATIC_DETAIL = "发优惠券", "满100打骨折"
+DYNAMIC_ACTION, DYNAMIC_DETAIL = "发送优惠卷", "满1000打骨折"
+THRESHOLD_RULE = "type = 'view' AND cnt >= 2"
+EXACT_NTH_RULE = "type = 'view' AND cnt = 2"
+HISTORY_METRIC = "user_event_count"
+LOOKUP_PARAMS = ["7", "c1", "view", "2024-01-01 00:00:00", "2024-01-31 00:00:00"]
+DEMO_RULE_CHANGES = [
+    ("2024-01-01 00:00:00", 1, 1, "type = 'view' AND cnt >= 2", "2024-01-01", "2024-01-11", 2),
+    ("2024-01-05 00:00:00", 2, 1, "type = 'view' AND cnt = 2", "2024-01-01", "2024-01-31", 3),
+    ("2024-01-10 00:00:00", 3, 1, "type = 'purchase' AND cnt >= 1", "2024-01-01", "2024-01-31", 0),
+    ("2024-01-15 00:00:00", 1, 2, "type = 'view' AND cnt >= 3", "2024-01-05", "2024-01-21", 1),
+    ("2024-01-20 00:00:00", 2, 3, None, None, None, None),
+]
 
 
 def _s(text: str | None) -> str:
@@ -39,7 +48,8 @@ LINES = """lines AS (
       ELSE u || ',' || c || ',' || t END AS value
   FROM (SELECT seq, coalesce(uid, '') AS u, coalesce(cid, '') AS c, coalesce(type, '') AS t FROM ev))"""
 
-LINE_OK = "coalesce(regexp_matches(value, '(?s)^[^,]*,[^,]*,.*[^,]'), false)"
+# Java's split drops empty fields at the end; three have to be left.
+LINE_OK = "coalesce(len(string_split(rtrim(value, ','), ',')) >= 3, false)"
 
 HIST = """hist AS (
   SELECT uid, cid, type, ts AS start_time, ts + INTERVAL 1 MINUTE AS end_time FROM ev)"""
@@ -59,7 +69,7 @@ r AS (SELECT *, CAST(floor(k / 4) AS INTEGER) AS rid FROM raw),
 cdc AS (
   SELECT topic_offset, commit_ts, CASE
     WHEN et = 'view' THEN '{{"type":"INSERT","data":[' || {_rule_json('rid', '1')} || ']}}'
-    WHEN et = 'click' THEN '{{"type":"UPDATE","data":[' || {_rule_json('rid', '2')} || ',' || {_rule_json('((rid + 1) % 25)', '3')} || ']}}'
+    WHEN et = 'click' THEN '{{"type":"UPDATE","data":[' || {_rule_json('rid', '2')} || ',{{"id":"' || ((rid + 3) % 25) || '"}},' || {_rule_json('((rid + 1) % 25)', '3')} || ']}}'
     WHEN et = 'purchase' THEN '{{"type":"UPDATE","data":[' || {_rule_json('rid', '(k % 2 + 1)')} || ',{{"id":"x' || k || '","status":"1"}},' || {_rule_json('((rid + 2) % 25)', '1')} || ']}}'
     WHEN et = 'signup' THEN '{{"type":"DELETE","data":[' || {_rule_json('rid', '3')} || ']}}'
     WHEN k % 4 = 0 THEN 'not json ' || topic_offset
@@ -90,7 +100,8 @@ fields AS (
          json_extract_string(x, '$.counts') AS counts_s, json_extract_string(x, '$.status') AS status_s,
          (x IS NULL OR json_type(x) <> 'OBJECT'
           OR TRY_CAST(json_extract_string(x, '$.id') AS INTEGER) IS NULL
-          OR TRY_CAST(json_extract_string(x, '$.status') AS INTEGER) IS NULL
+          OR (json_extract_string(x, '$.status') IS NOT NULL
+              AND TRY_CAST(json_extract_string(x, '$.status') AS INTEGER) IS NULL)
           OR (json_extract_string(x, '$.counts') IS NOT NULL
               AND TRY_CAST(json_extract_string(x, '$.counts') AS INTEGER) IS NULL)) AS bad
   FROM elems),
@@ -101,7 +112,7 @@ changes AS (
          start_time, end_time, TRY_CAST(counts_s AS INTEGER) AS counts,
          TRY_CAST(status_s AS INTEGER) AS status,
          CASE WHEN TRY_CAST(status_s AS INTEGER) IN (1, 2) THEN 'UPSERT' ELSE 'REMOVE' END AS action
-  FROM marked WHERE first_bad IS NULL OR pos < first_bad)"""
+  FROM marked WHERE status_s IS NOT NULL AND (first_bad IS NULL OR pos < first_bad))"""
 
 RULE_COLS = "id, name, code, sql, start_time, end_time, counts, status"
 
@@ -191,7 +202,9 @@ def oracle_sql() -> dict[str, str]:
           "CASE WHEN NOT is_obj THEN 'not_a_json_object' ELSE 'data_not_an_array' END AS reason "
           "FROM parsed WHERE NOT is_obj OR (op IN ('INSERT', 'UPDATE') AND data IS NULL) "
           "UNION ALL SELECT topic_offset, pos, CASE WHEN pos = first_bad THEN 'bad_element' "
-          "ELSE 'after_bad_element' END AS reason FROM marked WHERE pos >= first_bad",
+          "ELSE 'after_bad_element' END AS reason FROM marked WHERE pos >= first_bad "
+          "UNION ALL SELECT topic_offset, pos, 'null_status' AS reason FROM marked "
+          "WHERE status_s IS NULL AND (first_bad IS NULL OR pos < first_bad)",
         "q05_current_rules": cdc_base
         + f"SELECT {RULE_COLS}, commit_ts AS valid_from FROM (SELECT *, row_number() OVER "
           "(PARTITION BY id ORDER BY topic_offset DESC, pos DESC) AS rn FROM changes) "
@@ -229,8 +242,39 @@ def oracle_sql() -> dict[str, str]:
           "CAST(row_number() OVER (PARTITION BY uid, cid, type, CAST(ts AS DATE) ORDER BY seq) AS BIGINT) AS cnt "
           "FROM ev) WHERE type = 'view' AND cnt > 2",
         "q20_rejected_rules": cdc_base
-        + "SELECT id, topic_offset, pos, code, 'empty condition' AS reason FROM changes "
-          "WHERE action = 'UPSERT' AND (code IS NULL OR trim(code) = '')",
+        + "SELECT * FROM (SELECT id, topic_offset, pos, CASE topic_offset % 10 "
+          "WHEN 1 THEN 'nosuch > 1' WHEN 2 THEN 'cnt + 1' "
+          "WHEN 3 THEN 'reflect(''java.lang.Math'', ''abs'', 1) = ''1''' "
+          "WHEN 4 THEN 'cast(cid AS INT) > 3' WHEN 5 THEN '' "
+          "WHEN 6 THEN 'type = ''a''''b'' AND nosuch > 1' "
+          "WHEN 7 THEN 'cnt > 12345678901 AND nosuch = 1' WHEN 8 THEN 'cnt IN (SELECT 1)' "
+          "WHEN 9 THEN 'type LIKE ''v%''' ELSE code END AS code, "
+          "CASE WHEN topic_offset % 10 IN (1, 6, 7) THEN 'does not compile: AnalysisException' "
+          "WHEN topic_offset % 10 = 2 THEN 'not a boolean condition: bigint' "
+          "WHEN topic_offset % 10 = 3 THEN 'operation not allowed: CallMethodViaReflection' "
+          "WHEN topic_offset % 10 = 4 THEN 'cast from string to int' "
+          "WHEN topic_offset % 10 = 8 THEN 'operation not allowed: InSubquery' "
+          "WHEN topic_offset % 10 = 5 OR (topic_offset % 10 = 0 AND (code IS NULL OR trim(code) = '')) "
+          "THEN 'empty condition' END AS reason FROM changes WHERE action = 'UPSERT') "
+          "WHERE reason IS NOT NULL",
+        "q21_current_rules": _with(CDC_LINES, CDC_PARSE, EV, COUNTED)
+        + f"SELECT c.seq, c.uid, r.id AS rule_id, {_s(DYNAMIC_ACTION)} AS action, {_s(DYNAMIC_DETAIL)} AS detail "
+          "FROM counted c JOIN (SELECT * FROM (SELECT *, row_number() OVER "
+          "(PARTITION BY id ORDER BY topic_offset DESC, pos DESC) AS rn FROM changes) "
+          "WHERE rn = 1 AND action = 'UPSERT') r "
+          "ON c.type = regexp_extract(r.code, 'type = ''([a-z]+)''', 1) "
+          "AND c.cnt >= TRY_CAST(regexp_extract(r.code, 'cnt >= ([0-9]+)', 1) AS INTEGER)",
+        "q22_free_conditions": _with(CDC_LINES, CDC_PARSE, EV, COUNTED)
+        + "SELECT c.seq, v.id AS rule_id, v.topic_offset, v.pos FROM counted c JOIN ("
+          "SELECT * FROM (SELECT *, lead(commit_ts) OVER (PARTITION BY id ORDER BY topic_offset, pos) AS valid_to, "
+          "topic_offset % 6 AS k FROM changes) WHERE action = 'UPSERT') v "
+          "ON c.ts >= v.commit_ts AND (v.valid_to IS NULL OR c.ts < v.valid_to) AND CASE v.k "
+          "WHEN 0 THEN c.type = 'view' AND c.cnt >= 2 "
+          "WHEN 2 THEN c.type = 'click' AND c.cnt % 3 = 0 "
+          "WHEN 4 THEN coalesce(TRY_CAST(c.uid AS INTEGER) > 50, false) AND c.cnt >= 3 "
+          "WHEN 5 THEN v.code IS NOT NULL AND c.type = regexp_extract(v.code, 'type = ''([a-z]+)''', 1) "
+          "AND c.cnt >= TRY_CAST(regexp_extract(v.code, 'cnt >= ([0-9]+)', 1) AS INTEGER) "
+          "ELSE false END",
         "q19_rule_state_trace": cdc_base
         + "SELECT topic_offset, pos, id, action, delta, CAST(sum(delta) OVER (ORDER BY topic_offset, pos "
           "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS n_active FROM ("

@@ -11,7 +11,9 @@ Levels of the reference and where they live:
 * level 3 (+ history check):  q14 (history counts), q15 (decisions),
                               q16 (offers), q17 (single parameterised lookup)
 * daily count (commented intent of the reference, not its code): q18
-* rule texts that cannot be compiled (B15): q20
+* rule texts that cannot be used (B15): q20
+* every event against the current rules (E2): q21
+* free rule texts (B14: double quotes, casts, numbers, modulo): q22
 """
 
 from __future__ import annotations
@@ -24,15 +26,14 @@ from pyspark.sql import functions as F
 from ..functions.conditions import EXACT_NTH_RULE
 from ..operators import evaluate, history, rules
 from ..operators.parse import parse_lines
-from ..operators.sequence import DEFAULT_BLOCK_SIZE, fits_one_block, running_count
-from ..session import configure_runtime, ensure_checkpoint_dir
+from ..operators.sequence import DEFAULT_BLOCK_SIZE, running_count
+from ..session import staged
 from ..sources import cdc as cdc_src
 from ..sources import events as ev_src
 
 EVENT_KEY = ["uid", "cid", "type"]
-BLOCK = "blk"  # block column kept by the running count for co-partitioned follow-ups
-# Rows of arrival order per block of the skew-safe operators (tests lower it
-# to drive the multi-block path on small data).
+# Rows above which a key is cut into blocks of the arrival order (tests lower
+# it, so that small data has heavy keys).
 BLOCK_SIZE = DEFAULT_BLOCK_SIZE
 
 # The parameters of the single lookup query (q17), bound in the
@@ -42,19 +43,8 @@ LOOKUP_PARAMS = ["7", "c1", "view", "2024-01-01 00:00:00", "2024-01-31 00:00:00"
 
 # ---------------------------------------------------------------- building blocks
 
-def one_block(spark: SparkSession, sf_dir: str) -> bool:
-    """Whether the arrival order of the events table (``event_id``, which is
-    also the change feed's offset) spans a single block; read from the scan
-    directly so Parquet footers can answer it."""
-    raw = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-    return fits_one_block(raw, "event_id", BLOCK_SIZE)
-
-
-def counted_events(spark: SparkSession, sf_dir: str, keep_block: bool = False,
-                   keys=None) -> DataFrame:
-    return running_count(ev_src.load_events(spark, sf_dir), keys or EVENT_KEY,
-                         keep_block=BLOCK if keep_block else None, block_size=BLOCK_SIZE,
-                         single_block=one_block(spark, sf_dir))
+def counted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return running_count(ev_src.load_events(spark, sf_dir), EVENT_KEY, block_size=BLOCK_SIZE)
 
 
 def derived_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -64,9 +54,7 @@ def derived_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 def demo_rule_set(spark: SparkSession) -> evaluate.RuleSet:
     lines = cdc_src.demo_rule_lines(spark)
     changes, _ = rules.parse_cdc(lines)
-    # offsets are 0..n-1 by construction: one block when n <= BLOCK_SIZE
-    single = len(cdc_src.DEMO_RULE_CHANGES) <= BLOCK_SIZE
-    versions = rules.rule_versions(changes, block_size=BLOCK_SIZE, single_block=single)
+    versions = rules.rule_versions(changes, block_size=BLOCK_SIZE)
     return evaluate.compile_rules(spark, versions)
 
 
@@ -75,7 +63,6 @@ def _histories(spark: SparkSession, sf_dir: str) -> dict:
 
 
 def _strict_candidates(spark: SparkSession, sf_dir: str):
-    configure_runtime(spark)  # AQE skew split of the history join
     rs = demo_rule_set(spark)
     pairs = evaluate.matched_pairs(counted_events(spark, sf_dir), rs)
     return rs, pairs
@@ -106,8 +93,7 @@ def q05_current_rules(spark, sf_dir):
 
 
 def q06_rule_versions(spark, sf_dir):
-    return rules.rule_versions(derived_changes(spark, sf_dir)[0], block_size=BLOCK_SIZE,
-                               single_block=one_block(spark, sf_dir))
+    return rules.rule_versions(derived_changes(spark, sf_dir)[0], block_size=BLOCK_SIZE)
 
 
 def q07_keyed_running_count(spark, sf_dir):
@@ -140,9 +126,7 @@ def q12_dynamic_rules_strict(spark, sf_dir):
 
 
 def q13_dynamic_rules_sticky(spark, sf_dir):
-    counted = counted_events(spark, sf_dir, keep_block=True)
-    return evaluate.dynamic_rules(counted, demo_rule_set(spark), "sticky",
-                                  partition_cols=[*EVENT_KEY, BLOCK])
+    return evaluate.dynamic_rules(counted_events(spark, sf_dir), demo_rule_set(spark), "sticky")
 
 
 def q14_history_range_count(spark, sf_dir):
@@ -156,12 +140,8 @@ def history_decisions(spark, sf_dir):
     rs, pairs = _strict_candidates(spark, sf_dir)
     cand = pairs.select("seq", "uid", "cid", "type", "cnt", F.col("id").alias("rule_id"),
                         "sql", "start_time", "end_time", "counts")
-    # The candidates feed both the lookup keys and the decisions: write them
-    # once to the shared checkpoint folder instead of recomputing the running
-    # count for each use (and cut the lineage, so a lost executor does not
-    # replay it).
-    ensure_checkpoint_dir(spark)
-    cand = cand.checkpoint(eager=True)
+    # the candidates feed both the lookup keys and the decisions: written once
+    cand = staged(cand, "candidates")
     return history.history_gate(cand, _histories(spark, sf_dir), history.range_bounds(rs.versions))
 
 
@@ -180,21 +160,33 @@ def q17_parameterized_lookup(spark, sf_dir):
 
 def q18_daily_threshold(spark, sf_dir):
     ev = ev_src.load_events(spark, sf_dir).withColumn("day", F.to_date("ts"))
-    daily = running_count(ev, [*EVENT_KEY, "day"], block_size=BLOCK_SIZE,
-                          single_block=one_block(spark, sf_dir))
+    daily = running_count(ev, [*EVENT_KEY, "day"], block_size=BLOCK_SIZE)
     return daily.where((F.col("type") == "view") & (F.col("cnt") > 2)).select(
         "seq", "uid", "cid", "type", "day", "cnt")
 
 
 def q19_rule_state_trace(spark, sf_dir):
-    return rules.rule_state_trace(derived_changes(spark, sf_dir)[0], block_size=BLOCK_SIZE,
-                                  single_block=one_block(spark, sf_dir))
+    return rules.rule_state_trace(derived_changes(spark, sf_dir)[0], block_size=BLOCK_SIZE)
+
+
+def derived_versions(spark, sf_dir):
+    return rules.rule_versions(derived_changes(spark, sf_dir)[0], block_size=BLOCK_SIZE)
 
 
 def q20_rejected_rules(spark, sf_dir):
-    versions = rules.rule_versions(derived_changes(spark, sf_dir)[0], block_size=BLOCK_SIZE,
-                                   single_block=one_block(spark, sf_dir))
-    return evaluate.rejected_rules(spark, versions)
+    return evaluate.rejected_rules(spark, cdc_src.with_bad_conditions(derived_versions(spark, sf_dir)))
+
+
+def q21_current_rules(spark, sf_dir):
+    current = rules.current_rules(derived_changes(spark, sf_dir)[0])
+    return evaluate.dynamic_rules(counted_events(spark, sf_dir), evaluate.current_rule_set(spark, current))
+
+
+def q22_free_conditions(spark, sf_dir):
+    versions = cdc_src.with_free_conditions(derived_versions(spark, sf_dir))
+    rs = evaluate.compile_rules(spark, versions)
+    pairs = evaluate.matched_pairs(counted_events(spark, sf_dir), rs)
+    return pairs.select("seq", F.col("id").alias("rule_id"), "topic_offset", "pos")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -218,4 +210,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q18_daily_threshold": q18_daily_threshold,
     "q19_rule_state_trace": q19_rule_state_trace,
     "q20_rejected_rules": q20_rejected_rules,
+    "q21_current_rules": q21_current_rules,
+    "q22_free_conditions": q22_free_conditions,
 }

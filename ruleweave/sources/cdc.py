@@ -11,7 +11,8 @@ Two feeds are provided:
   event_type            record
   ====================  ====================================================
   view                  INSERT of rule ``id`` with status 1
-  click                 UPDATE: rule ``id`` status 2, rule ``id+1`` status 3
+  click                 UPDATE: rule ``id`` status 2, an element without a
+                        status (quarantined alone), rule ``id+1`` status 3
   purchase              UPDATE: rule ``id`` (status 1 or 2), a bad element
                         (id ``x<k>``), rule ``id+2``: only the first survives
   signup                DELETE of rule ``id`` (ignored by the reference)
@@ -80,11 +81,12 @@ def cdc_lines_from_events(raw_events: DataFrame) -> DataFrame:
     record = lambda op, *elems: F.concat(
         _q('{"type":"' + op + '","data":['), F.concat_ws(",", *elems), _q("]}"))
     bad = F.concat(_q('{"id":"x'), k.cast("string"), _q('","status":"1"}'))
+    no_status = F.concat(_q('{"id":"'), nxt(3).cast("string"), _q('"}'))
     numeric = F.concat(_q('{"id":'), rid.cast("string"), _q(',"status":'),
                        (F.pmod(k, F.lit(3)) + 1).cast("string"), _q("}"))
     e = F.pmod(k, F.lit(4))
     value = (F.when(etype == "view", record("INSERT", rule(rid, 1)))
-             .when(etype == "click", record("UPDATE", rule(rid, 2), rule(nxt(1), 3)))
+             .when(etype == "click", record("UPDATE", rule(rid, 2), no_status, rule(nxt(1), 3)))
              .when(etype == "purchase",
                    record("UPDATE", rule(rid, F.pmod(k, F.lit(2)) + 1), bad, rule(nxt(2), 1)))
              .when(etype == "signup", record("DELETE", rule(rid, 3)))
@@ -99,6 +101,47 @@ def load_cdc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc_lines_from_events(read_table(spark, sf_dir, "events"))
 
 
+# Condition texts given to derived rule versions by ``topic_offset``, in turn;
+# null keeps the version's own.  The first list holds usable free conditions
+# beside two that could raise an error; the second one what can't be used.
+FREE_CONDITIONS = [
+    'type = "view" AND cnt >= 2',
+    "cid = 201",
+    "type = 'click' AND try_mod(cnt, 3) = 0",
+    "cnt % 0 = 1",
+    "try_cast(uid AS INT) > 50 AND cnt >= 3",
+    None,
+]
+BAD_CONDITIONS = [
+    None,
+    "nosuch > 1",
+    "cnt + 1",
+    "reflect('java.lang.Math', 'abs', 1) = '1'",
+    "cast(cid AS INT) > 3",
+    "",
+    "type = 'a''b' AND nosuch > 1",
+    "cnt > 12345678901 AND nosuch = 1",
+    "cnt IN (SELECT 1)",
+    "type LIKE 'v%'",
+]
+
+
+def _replaced(versions: DataFrame, texts: list) -> DataFrame:
+    code, at = F.col("code"), F.pmod(F.col("topic_offset"), F.lit(len(texts)))
+    for i, text in enumerate(texts):
+        if text is not None:
+            code = F.when(at == i, F.lit(text)).otherwise(code)
+    return versions.withColumn("code", code)
+
+
+def with_free_conditions(versions: DataFrame) -> DataFrame:
+    return _replaced(versions, FREE_CONDITIONS)
+
+
+def with_bad_conditions(versions: DataFrame) -> DataFrame:
+    return _replaced(versions, BAD_CONDITIONS)
+
+
 # The demo rule history (FIXTURES §3).  Columns: commit time,
 # id, status, condition, history range start, end, history threshold.
 DEMO_RULE_CHANGES = [
