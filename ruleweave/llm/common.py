@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -14,7 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import staged
+
+__all__ = ["staged", "table", "ship_package", "map_arrow", "byte_slices", "claim", "n_words"]
 
 # The white space of every contract, as a Java character class
 # and as the characters themselves.
@@ -28,16 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared checkpoint folder and read it
-    back: cuts lineage like ``checkpoint()``, but compressed and with column
-    pruning, and survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per context, so that they
     can import it wherever the driver started."""
@@ -73,11 +64,19 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.R
         yield batch.slice(start)
 
 
+_claims: dict = {}
+
+
+def claim(owner: str, release) -> None:
+    """Called when a task of ``owner`` starts: what other operators remember in
+    this worker process is released (``release`` does it for this one later)."""
+    for other, drop in list(_claims.items()):
+        if other != owner:
+            drop()
+            del _claims[other]
+    _claims[owner] = release
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_CLASS)), F.lit(0)).cast("long")
-
-
-def null_last(c: Column) -> Column:
-    """Order key: a struct that sorts nulls last in min/least/sort."""
-    return F.struct(c.isNull().alias("n"), c.alias("v"))

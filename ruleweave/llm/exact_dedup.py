@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, byte_slices, map_arrow, staged
+from .common import SPACE_BYTES, byte_slices, claim, map_arrow, staged
 
 FIRST_BLOCK = 64     # bytes of the first block
 GROWTH = 16          # each next block ends at this multiple of the last end
@@ -61,6 +61,7 @@ def _radix(texts: list[bytes], rows: list[int], start: int, width: int) -> Itera
 
 
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("exact_dedup", lambda: None)
     for whole in batches:
         for b in byte_slices(whole, "text", 16 << 20):
             texts = [x or "" for x in b.column("text").to_pylist()]

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, map_arrow, table
+from .common import byte_slices, claim, map_arrow, table
 
 TRAIN_DOCS, TRAIN_CHARS = 120, 3_000
 MAX_LANGS = 256
@@ -42,7 +42,7 @@ FEATURES = 1 << 14
 SPAN, SEQUENCE = (4, 24), 48   # words of a spliced span, and of a training sequence
 STEPS, RATE, DECAY, SEED = 60, 0.15, 1e-4, 17
 CACHE_WORDS = 400_000          # distinct words whose emissions a worker keeps
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 _PUNCTUATION = ".,;:!?\"'()[]{}|#*$%&<>-_/\\«»¿¡…"
 
 
@@ -209,6 +209,7 @@ def train(samples: list[tuple[str, str]], seed: int = SEED) -> dict | None:
 
 def _predictor(model: dict | None):
     def run(batches):
+        claim("language_id", lambda: None)   # its own memory goes with the task
         cache: dict[str, int] = {}
         table_: np.ndarray | None = None
         for whole in batches:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, map_arrow, table
+from .common import byte_slices, claim, map_arrow, table
 
 VOCABULARY = "piece_bpe_32k.model"
 RATE, SEED, DRAWS = 0.1, 17, 3
@@ -249,6 +249,7 @@ def _codec(*parameters) -> Codec:
 
 def _encoder(parameters: tuple, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("sentencepiece", _codecs.clear)
         codec = _codec(*parameters)
         gc.disable()   # millions of small tuples, no cycles: its scans took a sixth of the time
         for whole in batches:
