@@ -21,6 +21,7 @@ A rejected rule never matches, and neither does one whose outcome is null.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, SparkSession
@@ -56,6 +57,11 @@ TryEval TryToTimestamp TryElementAt TryAdd TrySubtract TryMultiply TryDivide Try
 """.split())
 
 
+# Analysing a call of these would already load the class it names.
+_REFLECTION = re.compile(r"\b(reflect|java_method|try_reflect)\s*\(", re.IGNORECASE)
+_QUOTED = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"")
+
+
 def is_simple(code: Column) -> Column:
     return F.coalesce(code.rlike(SIMPLE_PATTERN), F.lit(False))
 
@@ -97,7 +103,9 @@ def simple_match() -> Column:
         out = F.lit(False)
         for c in _TEXT_COLUMNS:
             out = F.when(x["col"] == c, _compare(F.col(c), x, x["value"])).otherwise(out)
-        return F.when(x["col"] == "seq", _compare(F.col("seq"), x, x["value"].try_cast("bigint"))).otherwise(out)
+        for c in _NUMBER_COLUMNS:
+            out = F.when(x["col"] == c, _compare(F.col(c), x, x["value"].try_cast("bigint"))).otherwise(out)
+        return out
     cnt = F.col("cnt")
     return ((F.col("__lo").isNull() | (cnt >= F.col("__lo"))) & (F.col("__hi").isNull() | (cnt <= F.col("__hi")))
             & ((F.size("__rest") == 0) | F.coalesce(F.forall("__rest", holds), F.lit(False))))
@@ -122,7 +130,7 @@ def _unsafe(expr) -> str | None:
         safe = widens or target == "string" or source == "void" or (source, target) in (
             ("timestamp_ntz", "date"), ("date", "timestamp_ntz"), ("date", "timestamp"), ("timestamp_ntz", "timestamp"))
         if not safe and expr.evalMode().toString() != "TRY" and not _constant(expr):
-            return f"cast from {source} to {target}"
+            return f"operation not allowed: cast from {source} to {target}"
     elif name in ("Add", "Subtract", "Multiply", "Divide", "Remainder", "IntegralDivide"):
         context = expr.evalMode().toString() if hasattr(expr, "evalMode") else ""
         if context != "TRY":
@@ -141,6 +149,9 @@ def rejection_reason(spark: SparkSession, code: str | None) -> str | None:
     """None when ``code`` is a usable condition, else why it is rejected."""
     if code is None or not code.strip():
         return "empty condition"
+    called = _REFLECTION.search(_QUOTED.sub("''", code))
+    if called:
+        return f"operation not allowed: {called[1].lower()}"
     try:
         df = spark.createDataFrame([], COUNTED_EVENT).select(F.expr(code).alias("m"))
         dtype = df.schema["m"].dataType

@@ -28,7 +28,6 @@ DYNAMIC_ACTION = "发送优惠卷"
 DYNAMIC_DETAIL = "满1000打骨折"
 
 
-EVENT = ["seq", "ts", "uid", "cid", "type", "cnt"]   # all columns: the identity of an event
 PARSED = ["__simple", "__guard", "__lo", "__hi", "__rest"]
 
 
@@ -120,9 +119,10 @@ def sticky_pairs(counted: DataFrame, rules: RuleSet) -> DataFrame:
     in force whose id is >= the smallest hitting id of that event.
 
     The smallest hitting id comes from the strict pairs, by an aggregate with
-    map-side partials over the event's whole identity; only events that are hit
+    map-side partials over the whole event (``seq`` alone may repeat over the
+    partitions of a topic); only events that are hit
     meet the versions again."""
-    first = matched_pairs(counted, rules).groupBy(*EVENT).agg(F.min("id").alias("__first"))
+    first = matched_pairs(counted, rules).groupBy(*counted.columns).agg(F.min("id").alias("__first"))
     return (join_every(first, rules.versions, F.col("id") >= F.col("__first"))
             .drop("__first", *PARSED))
 

@@ -251,8 +251,8 @@ def oracle_sql() -> dict[str, str]:
           "WHEN 9 THEN 'type LIKE ''v%''' ELSE code END AS code, "
           "CASE WHEN topic_offset % 10 IN (1, 6, 7) THEN 'does not compile: AnalysisException' "
           "WHEN topic_offset % 10 = 2 THEN 'not a boolean condition: bigint' "
-          "WHEN topic_offset % 10 = 3 THEN 'operation not allowed: CallMethodViaReflection' "
-          "WHEN topic_offset % 10 = 4 THEN 'cast from string to int' "
+          "WHEN topic_offset % 10 = 3 THEN 'operation not allowed: reflect' "
+          "WHEN topic_offset % 10 = 4 THEN 'operation not allowed: cast from string to int' "
           "WHEN topic_offset % 10 = 8 THEN 'operation not allowed: InSubquery' "
           "WHEN topic_offset % 10 = 5 OR (topic_offset % 10 = 0 AND (code IS NULL OR trim(code) = '')) "
           "THEN 'empty condition' END AS reason FROM changes WHERE action = 'UPSERT') "

@@ -11,6 +11,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,16 +85,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         if not re.fullmatch(r"local(\[[^\[\]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        configured = tempfile.mkdtemp(prefix="ruleweave-ckpt-", dir="/tmp")
+        configured = sc._ruleweave_scratch = tempfile.mkdtemp(prefix="ruleweave-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return configured
 
 
+_scratch: list[str] | None = None   # folders of the scratch block that is open
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared checkpoint folder and read it
     back: cuts the lineage like ``checkpoint()``, but compressed, with column
     pruning and with a size that Spark's planner knows."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _scratch is not None:
+        _scratch.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What is ``staged`` inside the block is deleted at its end (a streaming job
+    would otherwise leave folders with each micro-batch)."""
+    global _scratch
+    before, _scratch = _scratch, []
+    try:
+        yield
+    finally:
+        paths, _scratch = _scratch, before
+        for p in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -17,6 +17,12 @@ from pyspark.sql import functions as F
 # Defaults of the reference's configuration keys.
 DEFAULT_CHECKPOINT_INTERVAL_MS = 30_000
 DEFAULT_OFFSET_RESET = "latest"
+# Keys of the job itself, those given as reader options, and the consumer
+# properties that Spark's reader sets itself and refuses.
+_NOT_FOR_KAFKA = frozenset("""
+checkpoint.interval checkpoint.path kafka.input.topics bootstrap.servers auto.offset.reset
+key.deserializer value.deserializer enable.auto.commit interceptor.classes
+""".split())
 
 
 def parse_properties(text: str) -> dict[str, str]:
@@ -53,10 +59,10 @@ def kafka_source_options(conf: dict[str, str], topics: str | None = None) -> dic
         "subscribe": topics,
         "startingOffsets": conf.get("auto.offset.reset", DEFAULT_OFFSET_RESET),
     }
-    if "isolation.level" in conf:
-        opts["kafka.isolation.level"] = conf["isolation.level"]
-    if "group.id" in conf:
-        opts["kafka.group.id"] = conf["group.id"]
+    # every other consumer property is handed on under Kafka's own name
+    for key, value in conf.items():
+        if key not in _NOT_FOR_KAFKA:
+            opts[f"kafka.{key}"] = value
     return opts
 
 
@@ -71,8 +77,9 @@ def stream_settings(conf: dict[str, str]) -> dict[str, str]:
 
 def read_kafka_lines(spark: SparkSession, conf: dict[str, str], topics: str | None = None) -> DataFrame:
     """Kafka records as text lines (A5: raw string value) with their offset
-    and broker time: ``(seq, kafka_partition, ts, value)``.  For a
-    one-partition topic the offset is the arrival order."""
+    and broker time: ``(seq, kafka_partition, ts, value)``.  ``seq``, the offset,
+    is unique and in arrival order within a partition only: the order over
+    several is (ts, kafka_partition, seq)."""
     raw = spark.readStream.format("kafka").options(**kafka_source_options(conf, topics)).load()
     return raw.select(F.col("offset").alias("seq"), F.col("partition").alias("kafka_partition"),
                       F.col("timestamp").cast("timestamp_ntz").alias("ts"),

@@ -1,99 +1,107 @@
-"""Structured Streaming jobs.
+"""Structured Streaming jobs.
 
 * S1 ``counted_stream``: the keyed running count of the reference's
-  ``KeyedProcessFunction`` as a ``transformWithStateInPandas`` operator keyed
-  by user, with the user's (cid, type) → count map as one state value (one
-  state read and write per user and micro-batch; keying by the full triple
-  was measured 1.7x slower, the state round trips dominating).  Rows of a
-  micro-batch are counted in ``seq`` order; the count survives restarts
-  through the checkpoint (RocksDB state store).
+  ``KeyedProcessFunction`` as a ``transformWithStateInPandas`` operator keyed by
+  (uid, cid, type), with the count as its state.  The rows of a key and
+  micro-batch are numbered at once, in arrival order; the count survives
+  restarts through the checkpoint (RocksDB state store).
+* ``start_line_counts``: text lines → parsed events, a table of malformed lines,
+  the running count and the offers of the static rule (level 1).
 * S2 ``start_rule_changes``: the rule change feed parsed and appended to a
-  Parquet change table, one folder per micro-batch written with overwrite, so
-  a replayed batch replaces its own output (effectively once).
-* S3 ``start_offers``: S1 + ``foreachBatch``: each micro-batch of counted
-  events is joined with the rule versions known when the batch starts (read
-  from S2's table), evaluated (strict or sticky), optionally gated by the
-  history check, and written idempotently per batch.
-
-Counts equal the batch query (q07) when events arrive in ``seq`` order across
-micro-batches (the reference counts in arrival order too).
+  Parquet change table, one folder per micro-batch.  A folder counts as
+  committed once Spark has written its ``_SUCCESS`` marker; a committed folder
+  is never written again, so a reader sees whole batches only.
+* S3 ``start_offers``: S1 + ``foreachBatch``: each micro-batch of counted events
+  is written once and read back, joined with the rule versions known when the
+  batch starts (read from S2's committed folders), evaluated (strict or
+  sticky), optionally gated by the history check, and written per batch.
+
+Arrival order is ``order``: ``seq`` alone for a source with one partition, (ts,
+partition, offset) for a topic with several.  Counts equal the batch query
+(q07) when events arrive in that order across micro-batches.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import evaluate, history, rules
-from ..schemas import COUNTED_EVENT, RULE_CHANGE
-from ..session import ensure_checkpoint_dir
+from ..operators.parse import parse_lines
+from ..schemas import RULE_CHANGE
+from ..session import scratch, staged
+from ..sources.connectors import read_kafka_lines, stream_settings
+
+KEY = ["uid", "cid", "type"]
+# arrival order of a topic with several partitions
+KAFKA_ORDER = ("ts", "kafka_partition", "seq")
 
 
 class RunningCount(StatefulProcessor):
-    """Running count per (uid, cid, type), state kept per user as in the
-    reference (key uid, map (cid, type) → count), stored as one value of
-    three parallel arrays: one state read and one write per user and batch
-    instead of one round trip per (cid, type).  Emits every row with ``cnt``.
-    """
+    """Running count of one (uid, cid, type); emits every row with ``cnt``."""
+
+    STATE = "cnt BIGINT"
 
-    STATE = "cids ARRAY<STRING>, types ARRAY<STRING>, cnts ARRAY<BIGINT>"
+    def __init__(self, order: Sequence[str], columns: Sequence[str]):
+        self.order, self.columns = list(order), list(columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getValueState("counts", self.STATE)
+        self.count = handle.getValueState("count", self.STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-        saved = self.counts.get()
-        counts = dict(zip(zip(saved[0], saved[1]), saved[2])) if saved is not None else {}
-        out = []
-        for k in zip(batch["cid"].tolist(), batch["type"].tolist()):
-            c = counts.get(k, 0) + 1
-            counts[k] = c
-            out.append(c)
-        batch["cnt"] = pd.array(out, dtype="int64")
-        keys = list(counts)
-        self.counts.update(([k[0] for k in keys], [k[1] for k in keys],
-                            [int(counts[k]) for k in keys]))
-        yield batch[COLUMNS]
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
+        seen = self.count.get()
+        start = int(seen[0]) if seen is not None else 0
+        batch["cnt"] = np.arange(start + 1, start + len(batch) + 1, dtype=np.int64)
+        self.count.update((start + len(batch),))
+        yield batch[self.columns]
 
     def close(self) -> None:
         pass
 
 
-COLUMNS = [f.name for f in COUNTED_EVENT.fields]
-
-
-def counted_stream(events: DataFrame) -> DataFrame:
-    """Stream of ``(seq, ts, uid, cid, type)`` → same + ``cnt``."""
-    return (events.select(*[c for c in COLUMNS if c != "cnt"])
-            .groupBy("uid")
-            .transformWithStateInPandas(RunningCount(), COUNTED_EVENT, "append", "none"))
+def counted_stream(events: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
+    """Stream of events (seq, ts, uid, cid, type, ...) → same + ``cnt``."""
+    schema = T.StructType(events.schema.fields + [T.StructField("cnt", T.LongType())])
+    return events.groupBy(*KEY).transformWithStateInPandas(
+        RunningCount(order, schema.fieldNames()), schema, "append", "none")
 
 
 def read_count_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """Current content of S1's count state (C3) as ``(uid, cid, type, cnt)``,
     read with Spark's state-store data source from the query checkpoint."""
-    st = spark.read.format("statestore").option("stateVarName", "counts").load(checkpoint)
-    entry = F.explode(F.arrays_zip("value.cids", "value.types", "value.cnts")).alias("e")
-    return st.select(F.col("key.uid").alias("uid"), entry).select(
-        "uid", F.col("e.cids").alias("cid"), F.col("e.types").alias("type"),
-        F.col("e.cnts").alias("cnt"))
+    st = spark.read.format("statestore").option("stateVarName", "count").load(checkpoint)
+    return st.select(*[F.col(f"key.{k}").alias(k) for k in KEY], F.col("value.cnt").alias("cnt"))
 
 
 def checkpoint_location(spark: SparkSession, name: str) -> str:
-    """A query's checkpoint folder under the shared ``spark.checkpoint.dir``."""
-    return os.path.join(ensure_checkpoint_dir(spark), "streams", name)
+    """A query's checkpoint folder under ``spark.checkpoint.dir``, which must be
+    set: a folder that changes with each start would restart the counts at 0."""
+    sc = spark.sparkContext
+    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured or configured == getattr(sc, "_ruleweave_scratch", None):
+        raise ValueError(f"give query {name} a checkpoint folder, or set spark.checkpoint.dir")
+    return os.path.join(configured, "streams", name)
 
 
 def _batch_path(root: str, batch_id: int) -> str:
     return os.path.join(root, f"batch_id={batch_id}")
 
 
+def committed_batches(spark: SparkSession, table_path: str) -> list[str]:
+    """Folders of ``table_path`` whose micro-batch is written to the end."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/batch_id=*/_SUCCESS")
+    found = marker.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marker)
+    return sorted(s.getPath().getParent().toString() for s in found or [])
+
+
 def start_rule_changes(cdc_lines: DataFrame, table_path: str, checkpoint: str | None = None,
                        rejects_path: str | None = None, trigger: dict | None = None):
     """Change records → Parquet rule-change table (and rejects)."""
@@ -101,7 +109,9 @@ def start_rule_changes(cdc_lines: DataFrame, table_path: str, checkpoint: str |
     changes, rejects = rules.parse_cdc(cdc_lines)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_path(table_path, batch_id))
+        path = _batch_path(table_path, batch_id)
+        if not any(p.endswith(f"/batch_id={batch_id}") for p in committed_batches(spark, table_path)):
+            batch.write.mode("overwrite").parquet(path)
 
     q = (changes.writeStream.foreachBatch(write)
          .option("checkpointLocation", checkpoint or checkpoint_location(spark, "rule_changes")))
@@ -116,11 +126,12 @@ def start_rule_changes(cdc_lines: DataFrame, table_path: str, checkpoint: str |
 
 
 def read_rule_changes(spark: SparkSession, table_path: str) -> DataFrame:
-    """All committed change batches (empty table when none yet)."""
-    try:
-        return spark.read.schema(RULE_CHANGE).parquet(table_path)
-    except Exception:  # no batch written yet
+    """All committed change batches; an empty table when there is none yet.  Any
+    other failure to read is raised."""
+    paths = committed_batches(spark, table_path)
+    if not paths:
         return spark.createDataFrame([], RULE_CHANGE)
+    return spark.read.schema(RULE_CHANGE).parquet(*paths)
 
 
 def offers_for_batch(counted: DataFrame, changes: DataFrame, mode: str = "strict",
@@ -132,37 +143,84 @@ def offers_for_batch(counted: DataFrame, changes: DataFrame, mode: str = "strict
     if histories is None:
         return evaluate.dynamic_rules(counted, rs, mode)
     pairs = evaluate.matched_pairs(counted, rs)
-    cand = pairs.select("seq", "uid", "cid", "type", "cnt", F.col("id").alias("rule_id"),
-                        "sql", "start_time", "end_time", "counts")
+    cand = staged(pairs.select("seq", "uid", "cid", "type", "cnt", F.col("id").alias("rule_id"),
+                               "sql", "start_time", "end_time", "counts"), "candidates")
     decided = history.history_gate(cand, histories, history.range_bounds(rs.versions))
     return evaluate.offers(decided.where("is_hit"), rule_col="rule_id")
 
 
 def start_offers(events: DataFrame, rule_table: str, out_path: str, mode: str = "strict",
                  histories: Mapping[str, DataFrame] | None = None, checkpoint: str | None = None,
-                 trigger: dict | None = None):
-    """S3: events stream → running count → offers per micro-batch."""
+                 trigger: dict | None = None, counted_path: str | None = None,
+                 order: Sequence[str] = ("seq",)):
+    """S3: events stream → running count → offers per micro-batch.  The counted
+    events of each batch are kept in ``counted_path`` (``out_path`` + -counted)."""
     spark = events.sparkSession
+    kept = counted_path or f"{out_path.rstrip('/')}-counted"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        changes = read_rule_changes(spark, rule_table)
-        offers = offers_for_batch(batch, changes, mode, histories)
-        offers.write.mode("overwrite").parquet(_batch_path(out_path, batch_id))
-
-    return (counted_stream(events).writeStream.foreachBatch(write)
+        # the stateful count must run once: what follows uses the batch more than once
+        path = _batch_path(kept, batch_id)
+        batch.write.mode("overwrite").parquet(path)
+        counted = spark.read.schema(batch.schema).parquet(path)
+        with scratch(spark):
+            offers = offers_for_batch(counted, read_rule_changes(spark, rule_table), mode, histories)
+            offers.write.mode("overwrite").parquet(_batch_path(out_path, batch_id))
+
+    return (counted_stream(events, order).writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint or checkpoint_location(spark, "offers"))
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def start_counts(events: DataFrame, out_path: str, checkpoint: str | None = None,
-                 trigger: dict | None = None):
+                 trigger: dict | None = None, order: Sequence[str] = ("seq",)):
     """S1 as a job: counted events appended to Parquet (file sink, exactly once)."""
     spark = events.sparkSession
-    return (counted_stream(events).writeStream.format("parquet").option("path", out_path)
+    return (counted_stream(events, order).writeStream.format("parquet").option("path", out_path)
             .option("checkpointLocation", checkpoint or checkpoint_location(spark, "counts"))
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-__all__ = ["RunningCount", "counted_stream", "start_counts", "start_rule_changes",
-           "start_offers", "offers_for_batch", "read_rule_changes", "read_count_state",
-           "checkpoint_location"]
+def start_line_counts(lines: DataFrame, out_path: str, malformed_path: str, offers_path: str,
+                      checkpoint: str, trigger: dict | None = None, order: Sequence[str] = ("seq",),
+                      rule: str | None = None) -> list:
+    """Text lines (seq, ts, value, ...) → counted events, malformed lines and the
+    offers of the static rule (level 1).  Returns the two queries: events, and
+    malformed lines."""
+    spark = lines.sparkSession
+    keep = tuple(c for c in lines.columns if c != "value")
+    events, malformed = parse_lines(lines, keep=keep)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        path = _batch_path(out_path, batch_id)
+        batch.write.mode("overwrite").parquet(path)
+        counted = spark.read.schema(batch.schema).parquet(path)
+        offers = evaluate.static_offers(counted, rule) if rule else evaluate.static_offers(counted)
+        offers.write.mode("overwrite").parquet(_batch_path(offers_path, batch_id))
+
+    how = trigger or {"availableNow": True}
+    counting = (counted_stream(events, order).writeStream.foreachBatch(write)
+                .option("checkpointLocation", checkpoint).trigger(**how).start())
+    rejecting = (malformed.writeStream.format("parquet").option("path", malformed_path)
+                 .option("checkpointLocation", f"{checkpoint.rstrip('/')}-malformed").trigger(**how).start())
+    return [counting, rejecting]
+
+
+def start_configured_counts(spark: SparkSession, conf: Mapping[str, str], out_path: str, malformed_path: str,
+                            offers_path: str, lines: DataFrame | None = None,
+                            trigger: dict | None = None, order: Sequence[str] = KAFKA_ORDER) -> list:
+    """The level-1 job as the properties describe it: Kafka reader, trigger
+    interval and checkpoint folder (``checkpoint.path``, required).  ``lines``
+    and ``trigger`` stand in for them where there is no broker."""
+    settings = stream_settings(dict(conf))
+    checkpoint = settings.pop("checkpointLocation", None)
+    if not checkpoint:
+        raise ValueError("checkpoint.path must be set: without it a restart counts from 0")
+    source = read_kafka_lines(spark, dict(conf)) if lines is None else lines
+    return start_line_counts(source, out_path, malformed_path, offers_path, checkpoint,
+                             trigger or settings, order)
+
+
+__all__ = ["RunningCount", "counted_stream", "start_counts", "start_rule_changes", "start_offers",
+           "start_line_counts", "start_configured_counts", "offers_for_batch", "read_rule_changes",
+           "committed_batches", "read_count_state", "checkpoint_location"]

@@ -1,7 +1,9 @@
 """Rule conditions as SQL."""
 
+from pyspark.sql import functions as F
+
 from ruleweave.functions.conditions import (EXACT_NTH_RULE, THRESHOLD_RULE, match_column,
-                                            rejection_reason, split_valid)
+                                            parsed_columns, rejection_reason, split_valid)
 from ruleweave.operators.evaluate import static_rule
 
 
@@ -19,7 +21,7 @@ def test_rejections(spark):
     assert "not allowed" in rejection_reason(spark, "reflect('java.lang.System', 'exit', 0) = 1")
     assert "not allowed" in rejection_reason(spark, "java_method('a', 'b') IS NULL")
     assert "not allowed" in rejection_reason(spark, "exists(array(1), x -> x > 0)")
-    assert "subquery" in rejection_reason(spark, "cnt IN (SELECT 1)")
+    assert "not allowed" in rejection_reason(spark, "cnt IN (SELECT 1)")
     assert "compile" in rejection_reason(spark, "type = = 'view'")
     assert "compile" in rejection_reason(spark, "no_such_column > 1")
     assert "boolean" in rejection_reason(spark, "cnt + 1")
@@ -39,32 +41,34 @@ def test_match_column(spark):
     assert [r.m for r in got.collect()] == [True, False, False, False, False]
 
 
-def test_type_guard_is_conservative():
-    from ruleweave.functions.conditions import type_guard
-    assert type_guard("type = 'view' AND cnt >= 2") == "view"
-    assert type_guard("TYPE='click'") == "click"
-    assert type_guard("type = 'view' AND cid = 'or'") == "view"       # OR inside a literal
-    assert type_guard("type = 'view' AND cnt >= 2 OR cnt = 1") is None  # OR binds looser
-    assert type_guard("type = 'view' AND (cnt = 1 OR cnt = 3)") is None
-    assert type_guard("cnt >= 2 AND type = 'view'") is None            # not leading: no guard
-    assert type_guard("type = 'a''b' AND cnt = 1") is None
+def test_nothing_that_can_raise(spark):
+    """Each of these would end the job for some event."""
+    for code in ("cid = 201", "cast(cid AS INT) > 3", "cnt % 0 = 1", "cnt / 0 > 1", "cnt * 9223372036854775807 > 0",
+                 "cnt + 1 > 2", "ts >= 'no date'", "uid > 5", "CASE WHEN type = 'x' THEN cid ELSE cnt END = 3"):
+        assert rejection_reason(spark, code) is not None, code
+    for code in ("try_cast(cid AS INT) > 3", "try_mod(cnt, 0) = 1", "try_add(cnt, 1) > 2", "ts >= '2024-01-01'",
+                 "cast(cnt AS STRING) = '2'", 'type = "view"', "cnt > 12345678901"):
+        assert rejection_reason(spark, code) is None, code
+
+
+def test_reserved_names_are_unknown(spark):
+    for code in ("__N__ > 3", "__nums IS NOT NULL", "__guard = 'view'", "__lo IS NULL", "code = 'x'"):
+        assert "compile" in rejection_reason(spark, code), code
 
 
-def test_templates(spark):
-    from pyspark.sql import functions as F
-    from ruleweave.functions.conditions import split_valid_templates
-    from ruleweave.functions.templates import template_columns, template_expr, template_guarded
-    df = spark.createDataFrame([("type = 'view' AND cnt >= 2",), ("type = 'click' AND cnt >= 13",),
-                                ("cid = 'c1' AND cnt = 3",), ("type = 'a''b'",),
-                                ("cnt > 12345678901",), (None,)], "code STRING")
-    got = [tuple(r) for r in df.select(*[c.alias(n) for n, c in template_columns(F.col("code")).items()]).collect()]
-    assert got[0] == ("type = __S__ AND cnt >= __N__", ["view"], ["2"])
-    assert got[1] == ("type = __S__ AND cnt >= __N__", ["click"], ["13"])
-    assert got[2] == ("cid = __S__ AND cnt = __N__", ["c1"], ["3"])
-    assert got[3][0] is None and got[4][0] is None and got[5][0] is None   # kept literal
-    assert template_expr("type = __S__ AND cnt >= __N__") == \
-        "type = element_at(__strs, 1) AND cnt >= CAST(element_at(__nums, 1) AS INT)"
-    assert template_guarded("type = __S__ AND cnt >= __N__")
-    assert not template_guarded("cid = __S__ AND cnt = __N__")
-    ok, bad = split_valid_templates(spark, ["type = __S__ AND cnt >= __N__", "round(cnt, __N__) > 1"])
-    assert ok == ["type = __S__ AND cnt >= __N__"] and bad == ["round(cnt, __N__) > 1"]
+def test_parsed_columns(spark):
+    texts = ["type = 'view' AND cnt >= 2", "CNT<5 and cnt > 1 AND cid != 'c''", "cnt > 12345678901", "type = 'a''b'",
+             'type = "view"', "type = 'x' OR cnt = 1", "cnt = 3", "uid = 'a AND cnt = 1' AND type = 'v'", "", None,
+             "cid = 201", "cnt >= 2 AND nosuch = 1", "type = 'view' AND type = 'click'"]
+    df = spark.createDataFrame([(t,) for t in texts], "code STRING")
+    got = {r["code"]: r for r in df.select("code", *[c.alias(n) for n, c in parsed_columns(F.col("code")).items()]).collect()}
+    assert [t for t in texts if got[t]["__simple"]] == [
+        "type = 'view' AND cnt >= 2", "cnt = 3", "uid = 'a AND cnt = 1' AND type = 'v'",
+        "type = 'view' AND type = 'click'"]
+    first = got[texts[0]]
+    assert (first["__guard"], first["__lo"], first["__hi"], first["__rest"]) == ("view", 2, None, [])
+    assert (got["cnt = 3"]["__lo"], got["cnt = 3"]["__hi"]) == (3, 3)
+    other = got["uid = 'a AND cnt = 1' AND type = 'v'"]
+    assert other["__guard"] == "v" and [tuple(x) for x in other["__rest"]] == [("uid", "=", "a AND cnt = 1")]
+    both = got["type = 'view' AND type = 'click'"]
+    assert both["__guard"] == "view" and [tuple(x) for x in both["__rest"]] == [("type", "=", "click")]

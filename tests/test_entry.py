@@ -10,5 +10,8 @@ def test_entry_smoke(spark):
 
 
 def test_contract_keys():
+    """Every query of the reference's operators has an oracle; others may be
+    registered beside them."""
     q, o = entry_mod.queries(), entry_mod.oracle_sql()
-    assert len(q) == 20 and set(q) == set(o)
+    own = {n for n in q if n.startswith("q")}
+    assert len(own) == 22 and own <= set(o) <= set(q)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from conftest import SF001, rows
 from ruleweave.operators import evaluate
-from ruleweave.operators.asof import join_active
+from ruleweave.functions.conditions import condition
+from ruleweave.operators.asof import join_every
 from ruleweave.operators.rules import parse_cdc, rule_versions
 from ruleweave.plans import queries as Q
 from ruleweave.sources.cdc import demo_rule_lines
@@ -44,19 +45,41 @@ def test_dynamic_golden_and_containment(spark, counted, rule_set):
     assert gated.where("rule_id = 3").count() == strict.where("rule_id = 3").count()
 
 
-def test_day_bucket_join_equals_broadcast(counted, rule_set):
-    small = evaluate.matched_pairs(counted, rule_set)
-    bucketed = join_active(counted, rule_set.versions, condition=rule_set.matches,
-                           n_versions=rule_set.n_versions, broadcast_rows=0)
-    assert "BroadcastNestedLoopJoin" not in bucketed._jdf.queryExecution().executedPlan().toString()
-    assert small.exceptAll(bucketed).count() == 0 and bucketed.exceptAll(small).count() == 0
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_rule_set_over_bound_stays_distributed(spark, counted):
-    changes, _ = parse_cdc(demo_rule_lines(spark))
-    rs = evaluate.compile_rules(spark, rule_versions(changes), broadcast_rows=2)
-    assert not rs.local and rs.n_versions > 2
-    assert evaluate.dynamic_rules(counted, rs, "strict", broadcast_rows=2).count() == 2712
+def test_no_nested_loops(spark, counted, rule_set):
+    for mode in ("strict", "sticky"):
+        plan = _plan(evaluate.dynamic_rules(counted, rule_set, mode))
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_joins_without_broadcast(spark, counted, rule_set):
+    """The same pairs when nothing may be broadcast."""
+    small = evaluate.matched_pairs(counted, rule_set)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+        large = evaluate.matched_pairs(counted, rule_set)
+        assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_sticky_does_not_leak_between_events(spark):
+    """Two events with one seq (offsets repeat over partitions): only the one
+    that is hit gets the later rules."""
+    when = dt.datetime(2024, 1, 2)
+    ev = spark.createDataFrame([(1, when, "u", "c", "view", 1, 0), (1, when, "v", "c", "click", 1, 1)],
+                               "seq BIGINT, ts TIMESTAMP_NTZ, uid STRING, cid STRING, type STRING, cnt BIGINT, kafka_partition INT")
+    changes = [("2024-01-01 00:00:00", 1, 1, "type='view'", None, None, None),
+               ("2024-01-01 00:00:00", 2, 1, "cnt > 5", None, None, None)]
+    ch, _ = parse_cdc(demo_rule_lines(spark, changes))
+    rs = evaluate.compile_rules(spark, rule_versions(ch))
+    assert rows(evaluate.dynamic_rules(ev, rs, "sticky"), "uid", "rule_id") == [("u", 1), ("u", 2)]
 
 
 def test_sticky_semantics(spark):
@@ -109,24 +132,23 @@ def test_mixed_guarded_and_unguarded_rules(spark, counted):
     ch, _ = parse_cdc(demo_rule_lines(spark, changes))
     rs = evaluate.compile_rules(spark, rule_versions(ch))
     got = evaluate.matched_pairs(counted, rs).select("seq", "id")
-    want = join_active(counted, rs.versions, condition=rs.matches,
-                       n_versions=rs.n_versions).select("seq", "id")
+    guard = F.col("__guard").isNull() | (F.col("__guard") == F.col("type"))
+    want = join_every(counted, rs.versions, rs.matches & guard).select("seq", "id")
     assert want.count() > 0
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-def test_many_rules_few_templates(spark, counted):
-    """Rules that differ only in literals compile to one template; rows the
-    template cannot carry fall back to their text; results equal brute force."""
-    from ruleweave.functions.conditions import condition
-    changes = [("2024-01-01 00:00:00", i, 1, f"type = '{t}' AND cnt >= {k}", None, None, None)
-               for i, (t, k) in enumerate([(t, k) for t in ("view", "click", "error") for k in (1, 2, 3)], 1)]
-    changes += [("2024-01-02 00:00:00", 20, 1, "round(cnt, 0) = 2 AND type = 'view'", None, None, None),
-                ("2024-01-02 00:00:00", 21, 1, "cid = 'c1' OR cnt = 4", None, None, None)]
+def test_many_rules_equal_brute_force(spark, counted):
+    """Simple conditions of every form, and free ones, against each text alone."""
+    codes = [f"type = '{t}' AND cnt >= {k}" for t in ("view", "click", "error") for k in (1, 2, 3)]
+    codes += ["cid = 'c1' OR cnt = 4", "try_mod(cnt, 2) = 0 AND type = 'view'", "cnt <> 2 AND CID='c1'",
+              "type != 'view' and cnt<3 and cnt > 1", "uid = '7' AND type = 'view' AND type = 'view'",
+              "type = 'view' AND type = 'click'", "seq < 500", "cnt = 2 AND cnt >= 3", "uid >= '5' AND uid < '6'",
+              'type = "click" AND cid = "c3"', "type = 'a AND cnt = 1'", " TYPE == 'view' AND cnt >= 2 "]
+    changes = [("2024-01-02 00:00:00", i, 1, c, None, None, None) for i, c in enumerate(codes)]
     ch, _ = parse_cdc(demo_rule_lines(spark, changes))
     rs = evaluate.compile_rules(spark, rule_versions(ch))
-    assert rs.templates == ["cid = __S__ OR cnt = __N__", "type = __S__ AND cnt >= __N__"]
-    assert rs.codes == ["round(cnt, 0) = 2 AND type = 'view'"]
+    assert not rs.rejected and len(rs.codes) == 3
     got = evaluate.matched_pairs(counted, rs).select("seq", "id")
     want = None
     for ts, rid, _, code, *_ in changes:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SF001, rows
-from ruleweave.operators.sequence import fits_one_block, neighbor, running_count, running_sum
+from ruleweave.operators.sequence import neighbor, running_count, running_sum
 from ruleweave.sources.events import load_events
 
 KEYS = ["uid", "cid", "type"]
@@ -66,11 +66,37 @@ def test_neighbor_matches_lag_lead(skewed, block):
 
 def test_null_keys_group_together(spark):
     df = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, None)], "seq BIGINT, k STRING")
-    for single in (True, False):
-        got = running_count(df, ["k"], block_size=2, single_block=single)
+    for block in (1 << 20, 2, 1):   # the null key is heavy for the smaller ones
+        got = running_count(df, ["k"], block_size=block)
         assert rows(got, "seq", "cnt") == [(1, 1), (2, 2), (3, 1), (4, 3)]
 
 
-def test_single_block_check(events):
-    assert fits_one_block(events, "seq", 1 << 20)
-    assert not fits_one_block(events, "seq", 100)
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_data_shuffle_and_no_single_partition(events):
+    """The data is dealt once, by key and block, whatever the block size; a
+    running total without keys has no task of its own for all rows."""
+    for block in (1 << 20, 100):
+        plan = _plan(running_count(events, KEYS, block_size=block))
+        assert plan.count("hashpartitioning(uid#") - plan.count("functions=[count(1)") >= 0
+        assert "SinglePartition" not in plan and "RoundRobin" not in plan
+    total = _plan(running_sum(events, [], ["seq"], "n", block_size=100))
+    assert "SinglePartition" not in total
+
+
+def test_light_keys_have_no_markers(events, skewed):
+    """Only the hot key is cut: with few heavy keys, blocks other than 0 are its own."""
+    got = running_count(skewed, KEYS, block_size=500, keep_block="blk")
+    assert got.where("blk <> 0 AND uid <> 'hot'").count() == 0
+    assert running_count(events, KEYS, block_size=500, keep_block="blk").where("blk <> 0").count() == 0
+
+
+def test_running_total_over_far_blocks(spark):
+    """Dyadic ranges of blocks far apart add up to the plain running sum."""
+    seqs = [0, 1, 5, 6, 7, 1000, 1001, 2 ** 31, 2 ** 31 + 1, 2 ** 40, 2 ** 40 + 3]
+    df = spark.createDataFrame([(s, i + 1) for i, s in enumerate(seqs)], "seq BIGINT, v BIGINT")
+    got = running_sum(df, [], ["seq"], "n", value=F.col("v"), block_size=2)
+    assert rows(got, "seq", "n") == sorted(
+        ((s, (i + 1) * (i + 2) // 2) for i, s in enumerate(seqs)), key=repr)

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from conftest import SF0001
 from ruleweave.plans import queries as Q
 from ruleweave.schemas import CDC_LINE
-from ruleweave.sources.cdc import demo_rule_lines
+from ruleweave.sources.cdc import HISTORY_METRIC, demo_rule_lines
 from ruleweave.sources.events import events_from_table
-from ruleweave.streaming.jobs import (read_count_state, read_rule_changes, start_counts,
-                                     start_offers, start_rule_changes)
+from ruleweave.sources.events import event_lines, load_history
+from ruleweave.streaming.jobs import (KAFKA_ORDER, checkpoint_location, committed_batches, read_count_state,
+                                     read_rule_changes, start_configured_counts, start_counts, start_offers,
+                                     start_rule_changes)
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +80,68 @@ def test_s2_s3_equal_batch(spark, run_dir, event_files):
         start_offers(_stream(spark, event_files, f"{run_dir}/events/*"), f"{run_dir}/rules", out,
                      mode=mode, checkpoint=f"{out}-ckpt").awaitTermination()
         assert _same(spark.read.parquet(out).drop("batch_id"), query(spark, SF0001))
+
+
+def test_s3_with_history_counts_each_event_once(spark, run_dir, event_files):
+    """Level 3 as a stream (after the rule table of the test before)."""
+    out = f"{run_dir}/offers-history"
+    start_offers(_stream(spark, event_files, f"{run_dir}/events/*"), f"{run_dir}/rules", out,
+                 histories={HISTORY_METRIC: load_history(spark, SF0001)},
+                 checkpoint=f"{out}-ckpt").awaitTermination()
+    assert _same(spark.read.parquet(out).drop("batch_id"), Q.q16_dynamic_rules_history(spark, SF0001))
+    counted = spark.read.parquet(f"{out}-counted").drop("batch_id")
+    assert _same(counted, Q.counted_events(spark, SF0001))
+
+
+def test_rule_table_reads_committed_batches_only(spark, run_dir):
+    import os
+    import shutil
+    table = f"{run_dir}/rules-copy"
+    shutil.copytree(f"{run_dir}/rules", table)
+    assert read_rule_changes(spark, f"{run_dir}/no-such-table").count() == 0
+    one = committed_batches(spark, table)
+    n = read_rule_changes(spark, table).count()
+    shutil.copytree(one[0].removeprefix("file:"), f"{table}/batch_id=77")
+    for f in ("_SUCCESS", "._SUCCESS.crc"):
+        if os.path.exists(f"{table}/batch_id=77/{f}"):
+            os.remove(f"{table}/batch_id=77/{f}")
+    assert committed_batches(spark, table) == one and read_rule_changes(spark, table).count() == n
+
+
+def test_lines_to_counts_as_configured(spark, run_dir):
+    """Text lines of two partitions, as a topic would give them, with a restart:
+    counts, malformed lines and offers equal the batch queries."""
+    import shutil
+    base = f"{run_dir}/lines"
+    events = events_from_table(spark.read.parquet(f"{SF0001}/events.parquet"))
+    lines = (event_lines(events, spoil=True).join(events.select("seq", "ts"), "seq")
+             .select(F.floor(F.col("seq") / 2).cast("long").alias("seq"), "ts", "value",
+                     (F.col("seq") % 2).cast("int").alias("kafka_partition"), F.col("seq").alias("event_id")))
+    for i in range(2):
+        (lines.where((F.col("event_id") >= i * 500) & (F.col("event_id") < (i + 1) * 500))
+         .coalesce(1).write.parquet(f"{base}/all/part{i}"))
+    conf = {"bootstrap.servers": "unused:1", "kafka.input.topics": "t", "checkpoint.path": f"{base}/ckpt"}
+    for i in range(2):   # the second start goes on where the first one ended
+        shutil.copytree(f"{base}/all/part{i}", f"{base}/in/part{i}")
+        stream = spark.readStream.schema(lines.schema).parquet(f"{base}/in/*")
+        for q in start_configured_counts(spark, conf, f"{base}/out", f"{base}/bad", f"{base}/offers", lines=stream,
+                                         trigger={"availableNow": True}):
+            q.awaitTermination()
+    got = spark.read.parquet(f"{base}/out").select(F.col("event_id").alias("seq"), "uid", "cid", "type", "cnt")
+    parsed = Q.q01_parse_event_lines(spark, SF0001)
+    assert _same(got.drop("cnt"), parsed)
+    from pyspark.sql import Window
+    by_time = parsed.join(events.select("seq", "ts"), "seq").withColumn(
+        "cnt", F.row_number().over(Window.partitionBy("uid", "cid", "type").orderBy("ts", F.col("seq") % 2, "seq")).cast("long"))
+    assert _same(got, by_time.select("seq", "uid", "cid", "type", "cnt"))
+    assert _same(spark.read.parquet(f"{base}/bad").select(F.col("event_id").alias("seq"), "value", "reason"),
+                 Q.q02_malformed_event_lines(spark, SF0001))
+    assert spark.read.parquet(f"{base}/offers").count() == got.where("type = 'view' AND cnt >= 2").count()
+
+
+def test_checkpoint_folder_is_required(spark):
+    with pytest.raises(ValueError):
+        checkpoint_location(spark, "counts")   # tests set no spark.checkpoint.dir
+    with pytest.raises(ValueError):
+        start_configured_counts(spark, {"bootstrap.servers": "b"}, "o", "m", "f")
+    assert KAFKA_ORDER == ("ts", "kafka_partition", "seq")
