@@ -140,8 +140,14 @@ def test_lines_to_counts_as_configured(spark, run_dir):
 
 
 def test_checkpoint_folder_is_required(spark):
-    with pytest.raises(ValueError):
-        checkpoint_location(spark, "counts")   # tests set no spark.checkpoint.dir
+    from types import SimpleNamespace
+    def session(folder, scratch=None):
+        conf = SimpleNamespace(get=lambda key, default: folder)
+        return SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, _ruleweave_scratch=scratch))
+    assert checkpoint_location(session("/shared"), "counts") == "/shared/streams/counts"
+    for bare in (session(None), session("/tmp/x", "/tmp/x")):   # unset, or a scratch folder of this start
+        with pytest.raises(ValueError):
+            checkpoint_location(bare, "counts")
     with pytest.raises(ValueError):
         start_configured_counts(spark, {"bootstrap.servers": "b"}, "o", "m", "f")
     assert KAFKA_ORDER == ("ts", "kafka_partition", "seq")
