@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_CHARS, SPACE_CLASS, table
 
 BUCKETS = 1 << 14
-THRESHOLD = -0.15     # nats per n-gram
+THRESHOLD = -0.2     # nats per n-gram
 WINDOW = 8            # words of a repeated window
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 SYMBOLS = "#*$%&|<>"
