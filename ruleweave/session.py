@@ -11,7 +11,9 @@ import os
 import re
 import tempfile
 import uuid
+import zipfile
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -90,6 +92,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context, so that they
+    can import it wherever the driver started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ruleweave_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="ruleweave-code-"), "ruleweave_code.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for p in sorted(root.rglob("*.py")):
+            out.write(p, f"{root.name}/{p.relative_to(root)}")
+    sc.addPyFile(path)
+    sc._ruleweave_shipped = True
+
+
 _scratch: list[str] | None = None   # folders of the scratch block that is open
 
 

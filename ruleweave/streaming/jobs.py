@@ -36,7 +36,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators import evaluate, history, rules
 from ..operators.parse import parse_lines
 from ..schemas import RULE_CHANGE
-from ..session import scratch, staged
+from ..session import scratch, ship_package, staged
 from ..sources.connectors import read_kafka_lines, stream_settings
 
 KEY = ["uid", "cid", "type"]
@@ -69,6 +69,7 @@ class RunningCount(StatefulProcessor):
 
 def counted_stream(events: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
     """Stream of events (seq, ts, uid, cid, type, ...) → same + ``cnt``."""
+    ship_package(events.sparkSession)
     schema = T.StructType(events.schema.fields + [T.StructField("cnt", T.LongType())])
     return events.groupBy(*KEY).transformWithStateInPandas(
         RunningCount(order, schema.fieldNames()), schema, "append", "none")
