@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import ship_package, staged
 
 __all__ = ["staged", "table", "ship_package", "map_arrow", "byte_slices", "claim", "n_words"]
 
@@ -29,21 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per context, so that they
-    can import it wherever the driver started."""
-    sc = spark.sparkContext
-    if getattr(sc, "_ruleweave_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(prefix="ruleweave-code-"), "ruleweave_code.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for p in sorted(root.rglob("*.py")):
-            out.write(p, f"{root.name}/{p.relative_to(root)}")
-    sc.addPyFile(path)
-    sc._ruleweave_shipped = True
-
-
 def map_arrow(df: DataFrame, func, schema: str) -> DataFrame:
     """``mapInArrow`` with this package at hand in the workers."""
     ship_package(df.sparkSession)
