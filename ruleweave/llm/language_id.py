@@ -41,8 +41,9 @@ MAX_LANGS = 256
 FEATURES = 1 << 14
 SPAN, SEQUENCE = (4, 24), 48   # words of a spliced span, and of a training sequence
 STEPS, RATE, DECAY, SEED = 60, 0.15, 1e-4, 17
-CACHE_WORDS = 400_000          # distinct words whose emissions a worker keeps
+CACHE_WORDS = 300_000          # distinct words whose emissions a worker keeps
 SLICE_BYTES = 6 << 20
+_EMISSION_WORDS = 1 << 14
 _PUNCTUATION = ".,;:!?\"'()[]{}|#*$%&<>-_/\\«»¿¡…"
 
 
@@ -58,10 +59,13 @@ def word_features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
 
 
 def _emissions(words: list[str], weights: np.ndarray, lexicon: dict) -> np.ndarray:
-    found = [word_features(w, lexicon) for w in words]
-    starts = np.cumsum([0] + [len(f) for f in found[:-1]])
-    flat = np.fromiter((x for f in found for x in f), np.int64)
-    return np.add.reduceat(weights[flat], starts, axis=0)
+    out = np.empty((len(words), weights.shape[1]), weights.dtype)
+    for a in range(0, len(words), _EMISSION_WORDS):   # bounds the lists of features
+        found = [word_features(w, lexicon) for w in words[a:a + _EMISSION_WORDS]]
+        starts = np.cumsum([0] + [len(f) for f in found[:-1]])
+        flat = np.fromiter((x for f in found for x in f), np.int64)
+        out[a:a + len(found)] = np.add.reduceat(weights[flat], starts, axis=0)
+    return out
 
 
 def forward_backward(scores: np.ndarray, starts: np.ndarray, lens: np.ndarray,
