@@ -3,7 +3,7 @@ from collections import Counter
 
 import __spark_entry__
 import corpus_pipeline as c
-from conftest import got
+from corpus_cases import got, rows, tables  # noqa: F401  (fixtures)
 from test_exact_dedup import brute as exact_brute
 from test_ngram_join import brute as near_brute
 

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from conftest import got
+from corpus_cases import got, rows, tables  # noqa: F401  (fixtures)
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import got, sentences
+from corpus_cases import got, rows, sentences, tables  # noqa: F401  (fixtures)
 
 from ruleweave.llm import language_id as g
 

@@ -2,7 +2,7 @@ import re
 from collections import Counter
 
 import pytest
-from conftest import got
+from corpus_cases import got, rows, tables  # noqa: F401  (fixtures)
 
 from ruleweave.llm import mixing as m
 

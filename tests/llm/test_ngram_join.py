@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from conftest import got
+from corpus_cases import got, rows, tables  # noqa: F401  (fixtures)
 
 from ruleweave.llm import components, ngram_join
 

@@ -3,7 +3,7 @@ import math
 import re
 
 import xxhash
-from conftest import got
+from corpus_cases import got, rows, tables  # noqa: F401  (fixtures)
 
 from ruleweave.llm import quality_rules as q
 

@@ -3,7 +3,7 @@ import random
 import zlib
 from collections import Counter
 
-from conftest import got
+from corpus_cases import got, rows, tables  # noqa: F401  (fixtures)
 
 from ruleweave.llm import sharding as s
 

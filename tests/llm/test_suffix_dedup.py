@@ -3,7 +3,7 @@ import hashlib
 
 import numpy as np
 import pytest
-from conftest import got
+from corpus_cases import got, rows, tables  # noqa: F401  (fixtures)
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

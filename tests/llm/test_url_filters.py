@@ -1,6 +1,6 @@
 import re
 
-from conftest import got
+from corpus_cases import got, rows, tables  # noqa: F401  (fixtures)
 
 from ruleweave.llm import url_filters as u
 
