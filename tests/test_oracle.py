@@ -21,9 +21,9 @@ def test_queries_match_oracle(spark, sf_dir):
 
 
 def test_heavy_keys_match_oracle(spark, monkeypatch):
-    """Every query again with keys of more than 16 rows cut into blocks."""
-    monkeypatch.setattr(Q, "BLOCK_SIZE", 16)
-    res = compare(spark, SF001, verbose=False)
+    """Every query again with keys of more than 4 rows cut into blocks."""
+    monkeypatch.setattr(Q, "BLOCK_SIZE", 4)
+    res = compare(spark, SF0001, verbose=False)
     assert set(res) == set(Q.QUERIES)
     bad = {n: r for n, r in res.items() if not (r["hash_match"] and r["cols_match"])}
     assert not bad, bad
