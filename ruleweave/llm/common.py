@@ -25,9 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+BATCH_ROWS = 2_000   # documents in an Arrow batch, at most
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def map_arrow(df: DataFrame, func, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package at hand in the workers."""
-    ship_package(df.sparkSession)
+    """``mapInArrow`` with this package at hand in the workers, and batches that
+    suit rows of whole documents: Spark's 10,000 rows would be held several times
+    over, in the executor's direct memory and in the worker."""
+    spark = df.sparkSession
+    ship_package(spark)
+    if not 0 < int(spark.conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
     return df.mapInArrow(func, schema)
 
 
