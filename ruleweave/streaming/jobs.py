@@ -56,7 +56,10 @@ class RunningCount(StatefulProcessor):
         self.count = handle.getValueState("count", self.STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
+        chunks = list(rows)
+        batch = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
+        if len(batch) > 1:
+            batch = batch.sort_values(self.order, kind="stable")
         seen = self.count.get()
         start = int(seen[0]) if seen is not None else 0
         batch["cnt"] = np.arange(start + 1, start + len(batch) + 1, dtype=np.int64)
