@@ -65,6 +65,7 @@ def claim(owner: str, release) -> None:
             drop()
             del _claims[other]
     _claims[owner] = release
+    pa.default_memory_pool().release_unused()   # buffers of earlier tasks
 
 
 def n_words(text: Column) -> Column:
