@@ -1,3 +1,4 @@
+import collections
 import hashlib
 
 import public_tokenizers
@@ -80,3 +81,50 @@ def test_query(tables, rows):
     assert got(s.decode(out, PATH)) == sorted(((r[0], r[1] or "") for r in rows), key=repr)
     assert all(r["n_tokens"] == len(r["ids"]) for r in out.collect())
     assert got(s.encode(tables[1], PATH)) == []
+
+
+def test_a_word_varies_over_its_occurrences():
+    # three segmentations in the whole corpus would be all a word had before
+    seen = collections.Counter()
+    for i in range(40):
+        ids = DROPPED.encode_all([" ".join(["interesting"] * 50)], [i])[0]
+        words = DROPPED.decode(ids)
+        assert words == " ".join(["interesting"] * 50)
+        cut, at = [], 0
+        for x in ids.tolist():
+            at += int(DROPPED.size[x])
+            cut.append(x)
+            if at % len(" interesting") == 0:
+                seen[tuple(cut)] += 1
+                cut = []
+    assert sum(seen.values()) == 2000 and len(seen) > 20
+    # as often as in the library's own dropout
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    theirs = collections.Counter(tuple(library.encode("interesting", enable_sampling=True, alpha=s.RATE, nbest_size=-1))
+                                 for _ in range(2000))
+    for x, n in theirs.most_common(5):
+        assert abs(seen[x] - n) < 150
+
+
+def test_two_merges_vary_in_most_words():
+    units = [w for w in ("the", "and", "for", "you", "was", "are") if len(PLAIN.encode_all([w], [0])[0]) == 1]
+    assert units
+    for w in units:
+        assert len({tuple(DROPPED.encode_all([w], [i])[0].tolist()) for i in range(200)}) > 1
+
+
+def test_remembered_paths_give_what_agendas_give():
+    import numpy as np
+    codec = s.Codec(PATH)
+    words = ["▁interesting", "▁a", "▁the", "▁thethethe", "▁inter", "▁öäöü", "▁internationalisation-of-conversations"]
+    for doc in range(30):
+        text = " ".join(w[1:] for w in words * 3)
+        ids = codec.encode_all([text], [doc])[0].tolist()
+        import xxhash
+        key = np.uint64(xxhash.xxh3_64_intdigest(str(doc).encode(), codec.seed & s._MASK))
+        n = 3 * len(words)
+        keys = codec._keys(np.full(n, key), np.arange(n))
+        own = codec._segment(words * 3, keys)
+        assert ids == np.frombuffer(b"".join(own), codec.code).tolist()
+        if doc == 15:
+            codec._forget()
