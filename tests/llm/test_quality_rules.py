@@ -2,6 +2,7 @@ import collections
 import math
 import re
 
+import pytest
 import xxhash
 from corpus_cases import got, rows, tables  # noqa: F401  (fixtures)
 
@@ -69,3 +70,46 @@ def test_no_labels_and_empty(spark, tables):
     out = q.judge_quality(tables[0], none).collect()
     assert all(r["llr"] == 0 and r["kept"] != r["base_failed"] for r in out)
     assert got(q.judge_quality(tables[1], labels_of(spark))) == []
+
+
+@pytest.mark.parametrize("length, glued_share", [(60, 0.1), (400, 0.03)])
+def test_threshold_is_learned_from_all_trusted_documents(spark, length, glued_share):
+    # some words of bad documents are glued to symbols.  The constant -0.2 keeps all the bad long
+    # documents, and drops all clean ones of the short corpus, where add-one smoothing weighs most
+    import random
+    deal = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    text = lambda glued: " ".join(w + "###" * (deal.random() < glued) for w in deal.choices(words, k=length))
+    docs = [(i, text(0)) for i in range(300)] + [(i, text(glued_share)) for i in range(300, 340)]
+    labels = [(i, 1, 0) for i in range(0, 300, 2)] + [(i, 0, 0) for i in range(300, 320)]
+    frames = (spark.createDataFrame(docs, "doc_id long, text string"),
+              spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+
+    trusted = {i for i, good, _ in labels if good}
+    raw, good = collections.Counter(), collections.Counter()
+    for i, t in docs:
+        raw.update(buckets(t))
+        if i in trusted:
+            good.update(buckets(t))
+    n_raw, n_good = sum(raw.values()) + q.BUCKETS, sum(good.values()) + q.BUCKETS
+
+    def score(t, out):
+        b = buckets(t)
+        return sum(math.log((max(good[x] - out, 0) + 1) / n_good) - math.log((raw[x] + 1) / n_raw) for x in b) / len(b)
+    ok = {i for i, t in docs if not base(t)[5]}
+    held = sorted(score(t, 1) for i, t in docs if i in trusted & ok)
+    want = min(math.floor(held[int(q.LOSS * len(held))] / q.STEP), 0) * q.STEP
+
+    out = {r["doc_id"]: r for r in q.judge_quality(*frames, None).collect()}
+    assert len(out) == len(docs)
+    for i, t in docs:
+        assert abs(out[i]["llr"] - score(t, 0)) < 1e-9
+        assert out[i]["kept"] == (i in ok and out[i]["llr"] >= want)
+    assert not any(out[i]["kept"] for i in range(300, 340))
+    assert sum(out[i]["kept"] for i in ok if i < 300) >= 0.99 * len(ok & set(range(300)))
+
+
+def test_learned_threshold_without_trusted_documents(spark, tables):
+    out = q.judge_quality(tables[0], labels_of(spark).limit(0), None).collect()
+    assert all(r["kept"] != r["base_failed"] for r in out)
+    assert got(q.judge_quality(tables[1], labels_of(spark), None)) == []
