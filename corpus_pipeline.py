@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ruleweave.llm import exact_dedup, language_id, mixing, ngram_join, sentencepiece_dropout
-from ruleweave.llm.common import staged, table
+from ruleweave.llm.common import numbered, staged, table
 from ruleweave.llm.token_counts import vocabulary_path
 
 LEAST_SCORE = 0.3
@@ -32,13 +32,9 @@ NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
 ORACLE_SQL: str | None = None   # three stages rest on hashes and a learned model
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__row", F.monotonically_increasing_id())
-
-
 def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose numbers are in ``rows``."""
-    return _numbered(docs).join(rows.select("__row"), "__row", "left_semi").drop("__row")
+    """The rows of ``docs``, which are numbered, whose numbers are in ``rows``."""
+    return docs.join(rows.select("__row"), "__row", "left_semi").drop("__row")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,13 +45,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup.exact_dedup(docs).where("kept")
+    docs = numbered(docs, "__row")
+    kept = exact_dedup.exact_dedup(docs, row_col="__row").where("kept")
     return _only(docs, kept.withColumnRenamed("rid", "__row"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = ngram_join.jaccard_join(docs, NEAR_WORDS, NEAR_NUM, NEAR_DEN).select("rid", "root")
-    sizes = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("id"),
+    docs = numbered(docs, "__row")
+    linked = ngram_join.jaccard_join(docs, NEAR_WORDS, NEAR_NUM, NEAR_DEN, row_col="__row").select("rid", "root")
+    sizes = docs.select(F.col("__row").alias("rid"), F.col("doc_id").cast("long").alias("id"),
                         F.coalesce(F.char_length("text"), F.lit(0)).alias("n"))
     order = F.struct((-F.col("n")).alias("short"), F.col("id").isNull().alias("no_id"), "id", "rid")
     best = linked.join(sizes, "rid").groupBy("root").agg(F.min(order).alias("best"))
@@ -69,15 +67,16 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     dealt = mixing.mix(docs).select(*same, F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")))
                                     .otherwise(0).cast("int").alias("times"), "taken").withColumn("nth", nth)
     text = F.col("text").cast("string")
+    columns, docs = docs.columns, numbered(docs, "__row")
     mine = docs.select(
-        F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("long").alias("doc_id"),
+        "__row", F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("key1"),
         F.xxhash64(F.lit(mixing.SEED), text).alias("key2")).withColumn(
         "nth", F.row_number().over(Window.partitionBy(*same).orderBy("__row")))
     pair = dealt.alias("a").join(mine.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*same, "nth")])
     times = pair.select("b.__row", "a.times").where("times > 0")
-    return (_numbered(docs).join(times, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-            .select(*docs.columns))
+    return (docs.join(times, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+            .select(*columns))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..session import ship_package, staged
 
-__all__ = ["staged", "table", "ship_package", "map_arrow", "byte_slices", "claim", "n_words"]
+__all__ = ["staged", "table", "numbered", "ship_package", "map_arrow", "byte_slices", "claim", "n_words"]
 
 # The white space of every contract, as a Java character class
 # and as the characters themselves.
@@ -25,6 +26,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _is_file_scan(docs: DataFrame) -> bool:
+    """Whether a row of ``docs`` is a row of one file: columns of one relation."""
+    try:
+        node = docs._jdf.queryExecution().analyzed()
+    except Exception:  # Spark Connect has no plan at hand
+        return False
+    while node.nodeName() in ("Project", "SubqueryAlias") and node.deterministic():
+        if node.nodeName() == "Project" and "(" in node.simpleString(10_000):
+            return False   # more than columns, such as a generator
+        node = node.children().apply(0)
+    return node.nodeName() == "LogicalRelation"
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a row number that is the same in every pass over it.
+
+    Numbers of ``monotonically_increasing_id`` follow the splits, and these follow
+    the cores that are registered when a job starts; so rows of a Parquet table are
+    numbered by file and place in the file, and any other rows are written once."""
+    try:
+        if _is_file_scan(docs):
+            meta = docs.metadataColumn("_metadata")
+            path, row = meta.getField("file_path").alias("__path"), meta.getField("row_index").alias("__index")
+            files = sorted(r[0] for r in docs.select(path).distinct().collect())
+            nth = docs.sparkSession.createDataFrame(list(enumerate(files)), "__file long, __path string")
+            return (docs.select("*", path, row).join(F.broadcast(nth), "__path")
+                    .select(*(F.col(f"`{c}`") for c in docs.columns),
+                            (F.shiftleft("__file", 36) + F.col("__index")).alias(name)))
+    except AnalysisException:
+        pass   # files without row numbers
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "numbered-rows")
+
+
 BATCH_ROWS = 2_000   # documents in an Arrow batch, at most
 _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 

@@ -120,11 +120,11 @@ def msd_groups(records: DataFrame) -> DataFrame:
     return done
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept,
-    text_sha256, and rid (``monotonically_increasing_id`` of ``docs``, which
-    must be a table scan or otherwise read the same way twice)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"),
+    text_sha256, and rid (``row_col``, or a number of its own for each row)."""
+    rows = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("rid"),
                        F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).cast("string").alias("text"))
     records = staged(map_arrow(rows, _collapse, _SCHEMA), "msd-records")

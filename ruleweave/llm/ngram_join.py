@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, claim, map_arrow, staged, table
+from .common import byte_slices, claim, map_arrow, numbered, staged, table
 from .components import components
 
 WORDS, NUM, DEN = 3, 90, 100
@@ -249,11 +249,13 @@ def _alike(x: str, y: str, num: int, den: int) -> str:
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row, and rid
-    (``monotonically_increasing_id`` of ``docs``) and root (the rid that stands
-    for its component)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"),
+                 id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row, and rid (``row_col``, or a
+    number of its own for each row) and root (the rid that stands for its
+    component)."""
+    if row_col is None:
+        docs, row_col = numbered(docs.select(id_col, text_col), "__row"), "__row"
+    rows = docs.select(F.col(row_col).alias("rid"),
                        F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).cast("string").alias("text"))
     slim = staged(map_arrow(rows, _reader(words, num, den),

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, map_arrow, ship_package, staged, table
+from .common import byte_slices, map_arrow, numbered, ship_package, staged, table
 from .ngram_join import _bit, _bitmap
 from .suffix_array import permuted_lcp, suffix_array
 
@@ -302,7 +302,8 @@ def repeated_intervals(rows: DataFrame, length: int = LENGTH, gram: int = GRAM,
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES,
                    group_contexts: int = GROUP_CONTEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"),
+    rows = numbered(docs.select(id_col, text_col), "__row")
+    rows = rows.select(F.col("__row").alias("rid"), F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).cast("string").cast("binary").alias("text"))
     spans = repeated_intervals(rows, length, gram, shard_bytes, group_contexts)
     spans = staged(spans.groupBy("rid").agg(F.collect_list(F.struct("first", "end")).alias("spans")), "suffix-spans")
