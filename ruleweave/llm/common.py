@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package, staged
 
-__all__ = ["staged", "table", "numbered", "ship_package", "map_arrow", "byte_slices", "claim", "n_words"]
+__all__ = ["staged", "table", "numbered", "small", "ship_package", "map_arrow", "byte_slices", "claim", "n_words"]
 
 # The white space of every contract, as a Java character class
 # and as the characters themselves.
@@ -59,6 +59,16 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return staged(docs.withColumn(name, F.monotonically_increasing_id()), "numbered-rows")
 
 
+SMALL_ROWS = 1 << 20   # of a set that may be broadcast: tens of MB
+
+
+def small(rows: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """``rows``, a written table of a few short columns, to be broadcast if a
+    count shows that there are at most ``limit`` of them; else it is joined by a
+    shuffle, whatever Spark takes its size for."""
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows.hint("merge")
+
+
 BATCH_ROWS = 2_000   # documents in an Arrow batch, at most
 _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (
+    decontamination,
     exact_dedup,
     fill_in_middle,
     language_id,
@@ -27,10 +28,12 @@ QUERIES = {
     "op8_url_filter": url_filters.op8_url_filter,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_benchmark_decontamination": decontamination.op11_benchmark_decontamination,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
 }
 
 ORACLE_SQL = {
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op11_benchmark_decontamination": decontamination.ORACLE,
     "op12_fill_in_middle": fill_in_middle.ORACLE,
 }
