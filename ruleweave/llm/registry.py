@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (
+    collocations,
     decontamination,
     exact_dedup,
     fill_in_middle,
@@ -30,10 +31,12 @@ QUERIES = {
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_benchmark_decontamination": decontamination.op11_benchmark_decontamination,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_phrase_collocations": collocations.op13_phrase_collocations,
 }
 
 ORACLE_SQL = {
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op11_benchmark_decontamination": decontamination.ORACLE,
     "op12_fill_in_middle": fill_in_middle.ORACLE,
+    "op13_phrase_collocations": collocations.ORACLE,
 }
