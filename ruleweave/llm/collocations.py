@@ -8,18 +8,19 @@ sums are the counts of all shorter phrases; no shorter n-gram is exploded.
 1. Words are counted per language.  A word's key is a 64-bit hash of language and
    word; no two words of the corpus share a key (checked, else another seed is
    taken), so counting keys is exact.
-2. A phrase that occurs ``LEAST`` times consists of neighbours that do.  Pairs of
-   frequent neighbours are counted by a hash (pairs that share one only raise the
-   count), and a window is cut before a pair that isn't frequent.  Frequent words
-   and pairs are looked up in bitmaps of a fixed size (``BITMAP_BITS``): a false
-   hit leaves a window longer than needed and changes no count.
+2. All parts of a phrase that occurs ``LEAST`` times do so, too.  So windows are
+   cut where they can't hold such a phrase: pairs of frequent words, and triples
+   of frequent pairs, are first counted by a hash (what shares one only raises the
+   count), and a window ends before a word, pair or triple that isn't frequent.
+   These are looked up in bitmaps of a fixed size (``BITMAP_BITS``): a false hit
+   leaves a window longer than needed and changes no count.
 3. Each task counts the windows of a slice of texts before they are shuffled, so
    a very common word or passage leaves it as a few rows.
 4. A phrase's cuts meet the counts of their parts by joins; the lowest score
    counts.  A phrase that lies in a longer one which is nearly as frequent is
    dropped.  The best ``TOP`` of each language stay.
 
-The three passes over the texts (words, pairs, windows) keep nothing between
+The four passes over the texts (words, pairs, triples, windows) keep nothing between
 slices, and memory per task follows the slice (``SLICE_BYTES``, or one text).
 
 Edge cases: a null or empty text has no word; a null language is ``und``; equal
@@ -99,18 +100,39 @@ class _Slice:
         self.keys = np.fromiter(keys, np.uint64, len(pairs))
 
     def pairs(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Positions of words that the next one of their piece follows, both
-        frequent; the number of each one's pair; the codes of these pairs."""
+        """For each word, the number of the pair that it makes with the next one
+        of its piece, -1 if one of them isn't frequent; the codes of the pairs'
+        words; the pairs' keys."""
         known = _in(frequent, self.keys)[self.code]
         at = np.flatnonzero(known[:-1] & known[1:] & ~self.first[1:])
         which, both = pd.factorize(self.code[at].astype(np.int64) << 32 | self.code[at + 1])
-        return at, which, both >> 32, both & 0xFFFFFFFF
-
-    def pair_keys(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        mixed = self.keys[left] * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        mixed = (mixed ^ self.keys[right]) * np.uint64(0xD6E8FEB86659FD93)
-        return mixed ^ mixed >> np.uint64(32)
+        left, right = both >> 32, both & 0xFFFFFFFF
+        pair = np.full(len(self.code) + ORDER, -1, np.int64)
+        pair[at] = which
+        return pair, left, right, _joined(self.keys[left], self.keys[right])
+
+    def frequent_pairs(self, frequent: np.ndarray, paired: np.ndarray) -> tuple:
+        """As ``pairs``, -1 also where the pair isn't frequent."""
+        pair, left, right, keys = self.pairs(frequent)
+        good = np.append(_in(paired, keys), False)   # pair -1: the last one
+        return np.where(good[pair], pair, -1), left, right, keys
+
+    def triples(self, pair: np.ndarray, right: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word, the number of the triple that it makes with the next
+        two, -1 if they don't hold two frequent pairs; the triples' keys."""
+        at = np.flatnonzero((pair[:-1] >= 0) & (pair[1:] >= 0))
+        which, both = pd.factorize(pair[at] << 32 | pair[at + 1])
+        triple = np.full(len(pair), -1, np.int64)
+        triple[at] = which
+        return triple, _joined(keys[both >> 32], self.keys[right[both & 0xFFFFFFFF]])
+
+
+def _joined(keys: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Keys of phrases and a word that follows each."""
+    mixed = keys * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed = (mixed ^ after) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed ^ mixed >> np.uint64(32)
 
 
 def _in(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -137,16 +159,21 @@ def _counted_words(s: _Slice) -> dict:
 
 
 def _counted_pairs(s: _Slice, frequent: np.ndarray) -> dict:
-    _, which, left, right = s.pairs(frequent)
-    return {"key": _long(s.pair_keys(left, right)), "c": _long(np.bincount(which, minlength=len(left)))}
+    pair, _, _, keys = s.pairs(frequent)
+    return {"key": _long(keys), "c": _long(np.bincount(pair[pair >= 0], minlength=len(keys)))}
+
+
+def _counted_triples(s: _Slice, frequent: np.ndarray, paired: np.ndarray) -> dict:
+    pair, _, right, keys = s.frequent_pairs(frequent, paired)
+    triple, keys = s.triples(pair, right, keys)
+    return {"key": _long(keys), "c": _long(np.bincount(triple[triple >= 0], minlength=len(keys)))}
 
 
-def _counted_windows(s: _Slice, frequent: np.ndarray, paired: np.ndarray) -> dict:
+def _counted_windows(s: _Slice, frequent: np.ndarray, paired: np.ndarray, tripled: np.ndarray) -> dict:
     """Windows w1 to w4 and how often they occur in the slice."""
-    at, which, left, right = s.pairs(frequent)
-    good = _in(paired, s.pair_keys(left, right))
-    pair = np.full(len(s.code) + ORDER, -1, np.int64)   # of each word and the next one
-    pair[at] = np.where(good[which], which, -1)
+    pair, left, right, keys = s.frequent_pairs(frequent, paired)
+    triple, keys = s.triples(pair, right, keys)
+    good = np.append(_in(tripled, keys), False)[triple]   # three words or more from here
     own = pair[:len(s.code)]
     alone = np.flatnonzero(own < 0)
     alone = alone[_in(frequent, s.keys)[s.code[alone]]]
@@ -155,10 +182,9 @@ def _counted_windows(s: _Slice, frequent: np.ndarray, paired: np.ndarray) -> dic
 
     # the second half of a window: nothing, one word, or a pair
     whole = np.flatnonzero(own >= 0)
-    second, third = pair[whole + 1], pair[whole + 2]
     n_codes, n_pairs = len(s.keys), len(left)
     word = s.code[np.minimum(whole + 2, len(s.code) - 1)]
-    half = np.where(second < 0, 0, np.where(third < 0, 1 + word, 1 + n_codes + third))
+    half = np.where(~good[whole], 0, np.where(~good[whole + 1], 1 + word, 1 + n_codes + pair[whole + 2]))
     kinds = 1 + n_codes + n_pairs
     which, seen = pd.factorize(own[whole] * kinds + half)
     head, half = seen // kinds, seen % kinds
@@ -200,11 +226,12 @@ def phrase_counts(docs: DataFrame, words: DataFrame, seed: int, mask: int, least
     """(p, k, f): the keys of the words of every phrase of 1 to ``ORDER`` words
     that occurs ``least`` times or more, its length and its count."""
     frequent = _bitmap(words.where(F.col("f") >= least).select("key"))
-    counted = _pass(docs, _counted_pairs, "key long, c long", seed, mask, frequent)
-    paired = _bitmap(counted.groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("key"))
+    often = lambda keys: _bitmap(keys.groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("key"))
+    paired = often(_pass(docs, _counted_pairs, "key long, c long", seed, mask, frequent))
+    tripled = often(_pass(docs, _counted_triples, "key long, c long", seed, mask, frequent, paired))
     columns = [f"w{k + 1}" for k in range(ORDER)]
     schema = ", ".join(f"{c} long" for c in (*columns, "c"))
-    windows = (_pass(docs, _counted_windows, schema, seed, mask, frequent, paired)
+    windows = (_pass(docs, _counted_windows, schema, seed, mask, frequent, paired, tripled)
                .groupBy(*columns).agg(F.sum("c").alias("c")))
     sums = windows.rollup(*columns).agg(F.sum("c").alias("f"))
     # of a padded window, the shorter prefix has been summed
