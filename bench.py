@@ -3,7 +3,9 @@
 Runs every registered query on ``$BENCH_SF_DIR`` (default sf0.1) with
 ``local[$BENCH_CPUS]``; each query is executed in full through the ``noop``
 sink (no driver collect), once as warm-up and then ``$BENCH_REPEAT`` times
-(default 3); the median is reported.  With ``BENCH_STREAMS=1`` (default)
+(default 3); the median is reported, and printed on stderr as soon as it is
+known.  A run that takes longer than ``$BENCH_LIMIT`` seconds (default 120) is
+cancelled, and its query reported as failed.  With ``BENCH_STREAMS=1`` (default)
 the streaming jobs S1 and S3 are also timed (events/s, field ``streams``).
 Prints ONE JSON line on stdout.
 """
@@ -14,6 +16,7 @@ import json
 import os
 import statistics
 import sys
+import threading
 import time
 
 
@@ -52,10 +55,40 @@ def bench_streams(spark, sf_dir: str) -> dict:
     return out
 
 
+class _Limit:
+    """Cancels the jobs of a block that runs longer than ``limit`` seconds."""
+
+    def __init__(self, spark, name: str, limit: float):
+        self.sc, self.name, self.limit, self.over = spark.sparkContext, name, limit, False
+
+    def _cancel(self) -> None:
+        self.over = True
+        self.sc.cancelJobGroup(self.name)
+        if time.perf_counter() - self.since < 2 * self.limit:   # jobs that begin meanwhile
+            self.timer = threading.Timer(1, self._cancel)
+            self.timer.daemon = True
+            self.timer.start()
+
+    def __enter__(self):
+        self.sc.setJobGroup(self.name, self.name, interruptOnCancel=True)
+        self.since = time.perf_counter()
+        self.timer = threading.Timer(self.limit, self._cancel)
+        self.timer.daemon = True
+        self.timer.start()
+        return self
+
+    def __exit__(self, kind, error, trace):
+        self.timer.cancel()
+        self.sc.setLocalProperty("spark.jobGroup.id", None)
+        if self.over:
+            raise TimeoutError(f"{self.name} took longer than {self.limit:g} s") from error
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
+    limit = float(os.environ.get("BENCH_LIMIT", "120"))
     only = set(filter(None, os.environ.get("BENCH_QUERIES", "").split(",")))
 
     sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -72,12 +105,14 @@ def main() -> None:
         try:
             for i in range(repeat + 1):
                 t0 = time.perf_counter()
-                build(spark, sf_dir).write.format("noop").mode("overwrite").save()
+                with _Limit(spark, name, limit):
+                    build(spark, sf_dir).write.format("noop").mode("overwrite").save()
                 if i:  # first run is the warm-up
                     runs.append(time.perf_counter() - t0)
             times[name] = round(statistics.median(runs), 3)
+            print(f"{name} {times[name]}", file=sys.stderr, flush=True)
         except Exception as exc:  # report the others; a failed query shows as null
-            print(f"{name} failed: {exc}", file=sys.stderr)
+            print(f"{name} failed: {type(exc).__name__}: {str(exc)[:300]}", file=sys.stderr, flush=True)
             times[name] = None
     streams = {}
     if os.environ.get("BENCH_STREAMS", "1") == "1":

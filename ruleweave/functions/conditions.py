@@ -4,10 +4,13 @@ A rule's ``code`` is a Spark SQL boolean expression over the counted event
 (``seq, ts, uid, cid, type, cnt``).  Two forms are told apart by Spark on the
 rule rows themselves:
 
-* **simple** conditions, whose whole text is ``column op literal`` joined by
-  AND (string columns with single-quoted literals, number columns with
-  integers of up to nine digits).  They become columns of the rule row: the
-  event type required, bounds on ``cnt``, and the rest as an array of
+* conditions in **normal form**: comparisons joined by AND, and such
+  alternatives joined by OR, without parentheses.  A comparison relates a text
+  column to quoted literals (single or double quotes) by an operator, [NOT] IN
+  or [NOT] LIKE, or a number (``cnt``, ``seq``, ``try_mod`` of them,
+  ``try_cast`` of a text column) to integers of up to nine digits by an operator
+  or [NOT] IN.  They become rows of the rule table, one per alternative: the
+  literals it is found by, bounds on ``cnt``, and the rest as an array of
   comparisons.  No driver work, no compiled branch, whatever their number;
 * **free** conditions, every other text.  Each distinct one is analysed once
   against the event schema and becomes one ``CASE`` branch.  A text is rejected
@@ -36,13 +39,21 @@ THRESHOLD_RULE = "type = 'view' AND cnt >= 2"
 EXACT_NTH_RULE = "type = 'view' AND cnt = 2"
 
 _TEXT_COLUMNS, _NUMBER_COLUMNS = ("uid", "cid", "type"), ("cnt", "seq")
-_OPERATOR = r"(<=|>=|<>|!=|==|=|<|>)"
-_COMPARISON = (rf"(?:(?:{'|'.join(_TEXT_COLUMNS)})\s*{_OPERATOR}\s*'[^'\\]*'"
-               rf"|(?:{'|'.join(_NUMBER_COLUMNS)})\s*{_OPERATOR}\s*[0-9]{{1,9}})")
-# Java regular expressions (evaluated by Spark on the rule rows).
-SIMPLE_PATTERN = rf"(?i)^\s*{_COMPARISON}(?:\s+AND\s+{_COMPARISON})*\s*$"
-_PARTS = (rf"(?i)\b({'|'.join(_TEXT_COLUMNS + _NUMBER_COLUMNS)})\s*{_OPERATOR}\s*"
-          r"('[^'\\]*'|[0-9]{1,9})")
+# Java regular expressions, evaluated by Spark on the rule rows.
+_TEXT, _NUMBER = (f"(?:{'|'.join(c)})" for c in (_TEXT_COLUMNS, _NUMBER_COLUMNS))
+_QUOTED_TEXT, _INTEGER = r"""(?:'[^'\\]*'|"[^"\\]*")""", r"-?[0-9]{1,9}"
+_OPERATOR = r"(?:<=|>=|<>|!=|==|=|<|>)"
+_NUMERIC = (rf"(?:{_NUMBER}|try_mod\(\s*{_NUMBER}\s*,\s*{_INTEGER}\s*\)"
+            rf"|try_cast\(\s*{_TEXT}\s+AS\s+(?:INT|INTEGER|BIGINT|LONG)\s*\))")
+_IN = r"\s+(?:NOT\s+)?IN\s*\(\s*{0}(?:\s*,\s*{0})*\s*\)"
+_ATOM = (rf"(?:{_TEXT}\s*{_OPERATOR}\s*{_QUOTED_TEXT}|{_NUMERIC}\s*{_OPERATOR}\s*{_INTEGER}"
+         rf"|{_TEXT}{_IN.format(_QUOTED_TEXT)}|{_NUMERIC}{_IN.format(_INTEGER)}"
+         rf"|{_TEXT}\s+(?:NOT\s+)?LIKE\s+{_QUOTED_TEXT})")
+_CONJUNCTION = rf"{_ATOM}(?:\s+AND\s+{_ATOM})*"
+NORMAL_PATTERN = rf"(?i)^\s*{_CONJUNCTION}(?:\s+OR\s+{_CONJUNCTION})*\s*$"
+_HEAD = (rf"(?i)^(?:try_mod\(\s*({_NUMBER})\s*,\s*({_INTEGER})\s*\)|try_cast\(\s*({_TEXT})\s+AS\s+(\w+)\s*\)"
+         rf"|({_TEXT}|{_NUMBER}))\s*")
+_RELATION = rf"(?i)^({_OPERATOR}|(?:NOT\s+)?(?:IN|LIKE))"
 
 # Names of the expressions an analysed condition may hold.  All are total: none
 # raises an error, whatever the event.
@@ -62,53 +73,94 @@ _REFLECTION = re.compile(r"\b(reflect|java_method|try_reflect)\s*\(", re.IGNOREC
 _QUOTED = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"")
 
 
-def is_simple(code: Column) -> Column:
-    return F.coalesce(code.rlike(SIMPLE_PATTERN), F.lit(False))
-
-
-def parsed_columns(code: Column) -> dict[str, Column]:
-    """Columns of a rule row for its condition: ``__simple``, the required event
-    type ``__guard``, bounds of cnt ``__lo`` and ``__hi``, and ``__rest``, the
-    other comparisons.  All null or empty for a free condition."""
-    part = lambda i: F.regexp_extract_all(code, F.lit(_PARTS), F.lit(i))
-    all_ = F.when(is_simple(code), F.zip_with(
-        F.zip_with(part(1), part(2), lambda c, o: F.struct(F.lower(c).alias("col"), o.alias("op"))), part(3),
-        lambda a, v: F.struct(
-            a["col"].alias("col"), F.when(a["op"] == "==", "=").when(a["op"] == "!=", "<>").otherwise(a["op"]).alias("op"),
-            F.regexp_replace(v, "^'|'$", "").alias("value"))))
-    is_type = lambda x: (x["col"] == "type") & (x["op"] == "=")
-    is_count = lambda x: (x["col"] == "cnt") & (x["op"] != "<>")
-    number = lambda x: x["value"].try_cast("bigint")
-    guard = F.get(F.filter(all_, is_type), 0)["value"]
-    lows = F.transform(F.filter(all_, lambda x: is_count(x) & x["op"].isin("=", ">=", ">")),
-                       lambda x: number(x) + F.when(x["op"] == ">", 1).otherwise(0))
-    highs = F.transform(F.filter(all_, lambda x: is_count(x) & x["op"].isin("=", "<=", "<")),
-                        lambda x: number(x) - F.when(x["op"] == "<", 1).otherwise(0))
-    rest = F.filter(all_, lambda x: ~is_count(x) & ~(is_type(x) & (x["value"] == guard)))
-    return {"__simple": all_.isNotNull(), "__guard": guard, "__lo": F.array_max(lows),
-            "__hi": F.array_min(highs), "__rest": rest}
-
-
-def _compare(value: Column, x: Column, literal: Column) -> Column:
-    out = F.when(x["op"] == "=", value == literal)
-    for op, result in (("<>", value != literal), ("<", value < literal), ("<=", value <= literal),
-                       (">", value > literal)):
-        out = out.when(x["op"] == op, result)
-    return out.otherwise(value >= literal)
-
-
-def simple_match() -> Column:
-    """Whether the event satisfies the row's simple condition, but for its guard."""
-    def holds(x: Column) -> Column:
-        out = F.lit(False)
-        for c in _TEXT_COLUMNS:
-            out = F.when(x["col"] == c, _compare(F.col(c), x, x["value"])).otherwise(out)
-        for c in _NUMBER_COLUMNS:
-            out = F.when(x["col"] == c, _compare(F.col(c), x, x["value"].try_cast("bigint"))).otherwise(out)
+def _atom(text: Column) -> Column:
+    """One comparison as a struct: the column, what is made of it (``text``,
+    ``number``, ``mod`` with ``by``, ``int``, ``long``), the relation, and its
+    literals as texts or numbers."""
+    head = lambda i: F.regexp_extract(text, _HEAD, i)
+    tail = F.regexp_replace(text, _HEAD, "")
+    relation = F.regexp_replace(F.upper(F.regexp_extract(tail, _RELATION, 1)), r"\s+", " ")
+    column = F.lower(F.concat(head(1), head(3), head(5)))
+    made = (F.when(head(1) != "", "mod").when(F.lower(head(4)).isin("int", "integer"), "int").when(head(4) != "", "long")
+            .when(column.isin(*_TEXT_COLUMNS), "text").otherwise("number"))
+    quoted = F.transform(F.regexp_extract_all(tail, F.lit(_QUOTED_TEXT), F.lit(0)),
+                         lambda v: F.substring(v, F.lit(2), F.length(v) - 2))
+    numbers = F.transform(F.regexp_extract_all(tail, F.lit(_INTEGER), F.lit(0)), lambda v: v.try_cast("bigint"))
+    return F.struct(
+        column.alias("col"), made.alias("made"), head(2).try_cast("bigint").alias("by"),
+        F.when(relation == "==", "=").when(relation == "!=", "<>").otherwise(relation).alias("op"),
+        F.when(made == "text", quoted).alias("texts"), F.when(made != "text", numbers).alias("numbers"))
+
+
+def normal_form(code: Column) -> Column:
+    """The condition as an array of alternatives (OR), each an array of
+    comparisons (AND); null for a text of any other form."""
+    parts = lambda x, pattern: F.regexp_extract_all(x, F.lit(f"(?i){pattern}"), F.lit(0))
+    return F.when(code.rlike(NORMAL_PATTERN), F.transform(
+        parts(code, _CONJUNCTION), lambda c: F.transform(parts(c, _ATOM), _atom)))
+
+
+# Columns by which a condition may be found, the most selective first.
+POSTING_COLUMNS = ("uid", "cid", "type")
+
+
+def posting_columns(atoms: Column) -> dict[str, Column]:
+    """What an alternative is found by: ``__kind``, the first of the posting
+    columns that it wants to equal some literals, and these (``__keys``); the
+    bounds of cnt (``__lo``, ``__hi``); and ``__rest``, the other comparisons."""
+    wanting = lambda c: lambda x: (x["col"] == c) & x["op"].isin("=", "IN") & (x["made"] == "text")
+    kind = F.lit("")
+    for c in reversed(POSTING_COLUMNS):
+        kind = F.when(F.exists(atoms, wanting(c)), c).otherwise(kind)
+    key = F.get(F.filter(atoms, wanting(kind)), 0)
+    counts = lambda x: (x["col"] == "cnt") & (x["made"] == "number")
+    lows = F.transform(F.filter(atoms, lambda x: counts(x) & x["op"].isin("=", ">=", ">", "IN")),
+                       lambda x: F.array_min(x["numbers"]) + F.when(x["op"] == ">", 1).otherwise(0))
+    highs = F.transform(F.filter(atoms, lambda x: counts(x) & x["op"].isin("=", "<=", "<", "IN")),
+                        lambda x: F.array_max(x["numbers"]) - F.when(x["op"] == "<", 1).otherwise(0))
+    bound = lambda x: counts(x) & x["op"].isin("=", "<", "<=", ">", ">=")
+    rest = F.filter(atoms, lambda x: ~bound(x) & ((kind == "") | (x != key)))
+    return {"__kind": kind, "__keys": F.when(kind == "", F.array(F.lit(""))).otherwise(F.array_distinct(key["texts"])),
+            "__lo": F.array_max(lows), "__hi": F.array_min(highs), "__rest": rest}
+
+
+def _related(value: Column, op: Column, literals: Column, is_text: bool) -> Column:
+    one = F.get(literals, 0)
+    out = F.when(op == "=", value == one)
+    for name, result in (("<>", value != one), ("<", value < one), ("<=", value <= one), (">", value > one),
+                         (">=", value >= one), ("IN", F.array_contains(literals, value))):
+        out = out.when(op == name, result)
+    if is_text:
+        out = out.when(op == "LIKE", F.like(value, one)).when(op == "NOT LIKE", ~F.like(value, one))
+    return out.when(op == "NOT IN", ~F.array_contains(literals, value))
+
+
+def _holds(x: Column) -> Column:
+    """Whether the event satisfies one comparison; null if it isn't known."""
+    def of(columns, value):
+        out = F.lit(None)
+        for c in columns:
+            out = F.when(x["col"] == c, value(F.col(c))).otherwise(out)
         return out
+    number = of(_NUMBER_COLUMNS, lambda c: c)
+    number = (F.when(x["made"] == "number", number).when(x["made"] == "mod", F.try_mod(number, x["by"]))
+              .when(x["made"] == "int", of(_TEXT_COLUMNS, lambda c: c.try_cast("int").cast("bigint")))
+              .otherwise(of(_TEXT_COLUMNS, lambda c: c.try_cast("bigint"))))
+    return F.when(x["made"] == "text", _related(of(_TEXT_COLUMNS, lambda c: c), x["op"], x["texts"], True)).otherwise(
+        _related(number, x["op"], x["numbers"], False))
+
+
+def all_hold(atoms: Column) -> Column:
+    return F.coalesce(F.forall(atoms, _holds), F.lit(False))
+
+
+def posting_match() -> Column:
+    """Whether the event satisfies the row's alternative, but for its key, and
+    none of the condition's alternatives before it (a condition hits once)."""
     cnt = F.col("cnt")
     return ((F.col("__lo").isNull() | (cnt >= F.col("__lo"))) & (F.col("__hi").isNull() | (cnt <= F.col("__hi")))
-            & ((F.size("__rest") == 0) | F.coalesce(F.forall("__rest", holds), F.lit(False))))
+            & ((F.size("__rest") == 0) | all_hold(F.col("__rest")))
+            & ((F.size("__before") == 0) | ~F.exists("__before", all_hold)))
 
 
 def _constant(expr) -> bool:

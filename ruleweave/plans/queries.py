@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.conditions import EXACT_NTH_RULE
 from ..operators import evaluate, history, rules
+from ..operators.asof import event_span
 from ..operators.parse import parse_lines
 from ..operators.sequence import DEFAULT_BLOCK_SIZE, running_count
 from ..session import staged
@@ -62,9 +63,14 @@ def _histories(spark: SparkSession, sf_dir: str) -> dict:
     return {cdc_src.HISTORY_METRIC: ev_src.load_history(spark, sf_dir)}
 
 
+def _span(spark: SparkSession, sf_dir: str) -> tuple | None:
+    """Time span of the events, from their table: the count isn't needed for it."""
+    return event_span(ev_src.load_events(spark, sf_dir))
+
+
 def _strict_candidates(spark: SparkSession, sf_dir: str):
     rs = demo_rule_set(spark)
-    pairs = evaluate.matched_pairs(counted_events(spark, sf_dir), rs)
+    pairs = evaluate.matched_pairs(counted_events(spark, sf_dir), rs, _span(spark, sf_dir))
     return rs, pairs
 
 
@@ -122,11 +128,11 @@ def q11_rule_match_trace(spark, sf_dir):
 
 
 def q12_dynamic_rules_strict(spark, sf_dir):
-    return evaluate.dynamic_rules(counted_events(spark, sf_dir), demo_rule_set(spark), "strict")
+    return evaluate.dynamic_rules(counted_events(spark, sf_dir), demo_rule_set(spark), "strict", _span(spark, sf_dir))
 
 
 def q13_dynamic_rules_sticky(spark, sf_dir):
-    return evaluate.dynamic_rules(counted_events(spark, sf_dir), demo_rule_set(spark), "sticky")
+    return evaluate.dynamic_rules(counted_events(spark, sf_dir), demo_rule_set(spark), "sticky", _span(spark, sf_dir))
 
 
 def q14_history_range_count(spark, sf_dir):
@@ -179,13 +185,14 @@ def q20_rejected_rules(spark, sf_dir):
 
 def q21_current_rules(spark, sf_dir):
     current = rules.current_rules(derived_changes(spark, sf_dir)[0])
-    return evaluate.dynamic_rules(counted_events(spark, sf_dir), evaluate.current_rule_set(spark, current))
+    return evaluate.dynamic_rules(counted_events(spark, sf_dir), evaluate.current_rule_set(spark, current),
+                                  span=_span(spark, sf_dir))
 
 
 def q22_free_conditions(spark, sf_dir):
     versions = cdc_src.with_free_conditions(derived_versions(spark, sf_dir))
     rs = evaluate.compile_rules(spark, versions)
-    pairs = evaluate.matched_pairs(counted_events(spark, sf_dir), rs)
+    pairs = evaluate.matched_pairs(counted_events(spark, sf_dir), rs, _span(spark, sf_dir))
     return pairs.select("seq", F.col("id").alias("rule_id"), "topic_offset", "pos")
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ruleweave.functions.conditions import (EXACT_NTH_RULE, THRESHOLD_RULE, match_column,
-                                            parsed_columns, rejection_reason, split_valid)
+                                            normal_form, posting_columns, rejection_reason, split_valid)
 from ruleweave.operators.evaluate import static_rule
 
 
@@ -56,19 +56,29 @@ def test_reserved_names_are_unknown(spark):
         assert "compile" in rejection_reason(spark, code), code
 
 
-def test_parsed_columns(spark):
-    texts = ["type = 'view' AND cnt >= 2", "CNT<5 and cnt > 1 AND cid != 'c''", "cnt > 12345678901", "type = 'a''b'",
-             'type = "view"', "type = 'x' OR cnt = 1", "cnt = 3", "uid = 'a AND cnt = 1' AND type = 'v'", "", None,
-             "cid = 201", "cnt >= 2 AND nosuch = 1", "type = 'view' AND type = 'click'"]
-    df = spark.createDataFrame([(t,) for t in texts], "code STRING")
-    got = {r["code"]: r for r in df.select("code", *[c.alias(n) for n, c in parsed_columns(F.col("code")).items()]).collect()}
-    assert [t for t in texts if got[t]["__simple"]] == [
-        "type = 'view' AND cnt >= 2", "cnt = 3", "uid = 'a AND cnt = 1' AND type = 'v'",
-        "type = 'view' AND type = 'click'"]
-    first = got[texts[0]]
-    assert (first["__guard"], first["__lo"], first["__hi"], first["__rest"]) == ("view", 2, None, [])
-    assert (got["cnt = 3"]["__lo"], got["cnt = 3"]["__hi"]) == (3, 3)
-    other = got["uid = 'a AND cnt = 1' AND type = 'v'"]
-    assert other["__guard"] == "v" and [tuple(x) for x in other["__rest"]] == [("uid", "=", "a AND cnt = 1")]
-    both = got["type = 'view' AND type = 'click'"]
-    assert both["__guard"] == "view" and [tuple(x) for x in both["__rest"]] == [("type", "=", "click")]
+def test_normal_form(spark):
+    normal = ["type = 'view' AND cnt >= 2", "cnt = 3", "uid = 'a AND cnt = 1' AND type = 'v'", 'type = "view"',
+              "type = 'x' OR cnt = 1", "type = 'view' AND type = 'click'", 'cid IN ("a", "b\'c")',
+              "try_mod(cnt, 3) = 0", "TRY_CAST(uid as int) > 50 and cnt >= 3", "type NOT  LIKE 'v%' or seq not in (1,-2 )"]
+    other = ["CNT<5 and cnt > 1 AND cid != 'c''", "cnt > 12345678901", "type = 'a''b'", "", None, "cid = 201",
+             "cnt >= 2 AND nosuch = 1", "(cnt = 1)", "cnt % 2 = 1", "cnt = 1 AND NOT type = 'a'", "type = 'a\\'", "cnt <=> 1",
+             "cnt IN ('1')", "uid IN (1)", "cnt = 1 OR", "cnt LIKE '1'", "try_cast(cnt AS INT) = 1"]
+    df = spark.createDataFrame([(t,) for t in normal + other], "code STRING")
+    got = {r["code"]: r["f"] for r in df.select("code", normal_form(F.col("code")).alias("f")).collect()}
+    assert [t for t in normal + other if got[t] is not None] == normal
+    atoms = lambda t: [[(a["col"], a["made"], a["by"], a["op"], a["texts"] or a["numbers"]) for a in alt] for alt in got[t]]
+    assert atoms("type = 'x' OR cnt = 1") == [[("type", "text", None, "=", ["x"])], [("cnt", "number", None, "=", [1])]]
+    assert atoms(normal[7]) == [[("cnt", "mod", 3, "=", [0])]]
+    assert atoms(normal[8]) == [[("uid", "int", None, ">", [50]), ("cnt", "number", None, ">=", [3])]]
+    assert atoms(normal[9]) == [[("type", "text", None, "NOT LIKE", ["v%"])], [("seq", "number", None, "NOT IN", [1, -2])]]
+
+
+def test_posting_columns(spark):
+    cases = {"type = 'view' AND cnt >= 2": ("type", ["view"], 2, None, 0), "cnt = 3": ("", [""], 3, 3, 0),
+             "uid = 'a AND cnt = 1' AND type = 'v'": ("uid", ["a AND cnt = 1"], None, None, 1),
+             "type = 'view' AND type = 'click'": ("type", ["view"], None, None, 1), "cnt > 4 AND cnt < 9 AND cnt <> 6": ("", [""], 5, 8, 1),
+             "cid IN ('a', 'b', 'a') AND type <> 'x'": ("cid", ["a", "b"], None, None, 1), "cnt IN (7, 3)": ("", [""], 3, 7, 1),
+             "type LIKE 'v%' AND try_mod(cnt, 2) = 1": ("", [""], None, None, 2)}
+    df = spark.createDataFrame([(t,) for t in cases], "code STRING")
+    rows = df.select("code", *[c.alias(n) for n, c in posting_columns(normal_form(F.col("code"))[0]).items()]).collect()
+    assert {r["code"]: (r["__kind"], r["__keys"], r["__lo"], r["__hi"], len(r["__rest"])) for r in rows} == cases
