@@ -54,6 +54,7 @@ WORDS, NUM, DEN = 3, 90, 100
 FRAGMENTS = 4
 BITMAP_BITS = 67_108_859   # a prime near 2**26: 8 MB at any input size
 _FEW = 24    # n-grams of a fragment that a document may lack of its centre's for the list to be kept
+_BEFORE = 8   # preceding n-grams of a posting that tell whether a pair has been found before
 _SLICE_BYTES = 8 << 20
 _MIX = tuple(np.uint64(x) for x in (
     0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
@@ -222,13 +223,15 @@ def _judged_sets(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _postings(sets: DataFrame, freq: DataFrame, num: int, den: int) -> DataFrame:
-    """(g, rid, n, own) of the n-grams in each document's prefix that others have."""
+    """(g, rid, n, own, before) of the n-grams in each document's prefix that
+    others have; before holds the last ``_BEFORE`` of them that precede g."""
     heads = sets.select("rid", "n", "own", F.explode("head").alias("g")).join(freq, "g", "left")
     ordered = heads.groupBy("rid", "n", "own").agg(F.sort_array(F.collect_list(F.struct(
         _band(F.col("g"), num, den).alias("band"), F.coalesce("df", F.lit(1)).alias("df"), "g"))).alias("o"))
     prefix = F.expr(f"slice(o, 1, cast((n * {den - num}) div {den} + 1 AS int))")
-    return (ordered.select("rid", "n", "own", F.explode(prefix).alias("o")).where("o.df > 1")
-            .select("o.g", "rid", "n", "own"))
+    shared = F.transform(F.filter(prefix, lambda o: o["df"] > 1), lambda o: o["g"])
+    return (ordered.select("rid", "n", "own", shared.alias("gs")).select("*", F.posexplode("gs").alias("nth", "g"))
+            .select("g", "rid", "n", "own", F.expr(f"slice(gs, greatest(nth - {_BEFORE - 1}, 1), least(nth, {_BEFORE}))").alias("before")))
 
 
 def _possible(x: str, y: str, num: int, den: int) -> str:
@@ -248,6 +251,16 @@ def _alike(x: str, y: str, num: int, den: int) -> str:
             f"OR {den + num} * {apart} <= {den - num} * ({x}.n + {y}.n))")
 
 
+def _open_pairs(open_: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (x, y) of different components that share an n-gram.  Where both
+    also share one of the preceding n-grams, the pair has been found at that one:
+    the first n-gram that they share finds it in any case, the others seldom."""
+    return open_.alias("x").join(open_.alias("y"), F.expr(
+        f"x.g = y.g AND x.root < y.root AND {_possible('x', 'y', num, den)} AND {_alike('x', 'y', num, den)} "
+        "AND NOT arrays_overlap(x.before, y.before)")).select(
+        F.least("x.rid", "y.rid").alias("x"), F.greatest("x.rid", "y.rid").alias("y"))
+
+
 def jaccard_join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN,
                  id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row, and rid (``row_col``, or a
@@ -287,9 +300,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int =
     mixed = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g")
     open_ = placed.join(mixed, "g")
     open_ = staged(open_.join(centres, open_.rid == centres.of, "left").drop("of"), "ngram-open")
-    second = (open_.alias("x").join(open_.alias("y"), F.expr(
-        f"x.g = y.g AND x.root < y.root AND {_possible('x', 'y', num, den)} AND {_alike('x', 'y', num, den)}"))
-        .select(F.least("x.rid", "y.rid").alias("x"), F.greatest("x.rid", "y.rid").alias("y")).distinct())
+    second = _open_pairs(open_, num, den).distinct()
     tested = first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     second = staged(second.join(tested, ["x", "y"], "left_anti"), "ngram-pairs")
     more = _compared(second, sets).where(_linked(num, den)).select("x", "y")

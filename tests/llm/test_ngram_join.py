@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -53,6 +54,28 @@ def test_chain_of_links(spark, tmp_path):
     assert got(out, "doc_id", "n_shingles", "component_id") == brute(rows, 3, 90, 100)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_group_of_near_copies(spark, tmp_path, monkeypatch, seed):
+    """Copies that are near, but seldom near enough to link, in any order of the
+    rows: few pairs are formed, and each about once."""
+    rnd = random.Random(11)
+    base, vocabulary = [f"b{i}" for i in range(300)], [f"v{i}" for i in range(4000)]
+    texts = [" ".join(rnd.choice(vocabulary) if rnd.random() < 0.04 else w for w in base) for _ in range(250)]
+    rows = list(enumerate(texts))
+    random.Random(seed).shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    formed = []
+    pairs = ngram_join._open_pairs
+
+    def counted(*args):
+        formed.extend(map(tuple, pairs(*args).collect()))
+        return pairs(*args)
+    monkeypatch.setattr(ngram_join, "_open_pairs", counted)
+    out = ngram_join.jaccard_join(spark.read.parquet(str(tmp_path / "d")), 3, 90, 100)
+    assert got(out, "doc_id", "n_shingles", "component_id") == brute(sorted(rows), 3, 90, 100)
+    assert len(formed) < 3 * len(rows) and len(formed) <= 2 * len(set(formed))
+
+
 def test_empty(tables):
     assert got(ngram_join.jaccard_join(tables[1])) == []
 
