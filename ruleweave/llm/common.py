@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,16 +45,20 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
 
     Numbers of ``monotonically_increasing_id`` follow the splits, and these follow
     the cores that are registered when a job starts; so rows of a Parquet table are
-    numbered by file and place in the file, and any other rows are written once."""
+    numbered by file and place in the file, and any other rows (of a view, filter or
+    union, say) are written once, whole: give such an operator a table where that
+    counts."""
+    free = "_" * (1 + max(map(len, docs.columns)))   # names longer than any that is there
+    path_, index_, file_ = f"{free}path", f"{free}index", f"{free}file"
     try:
         if _is_file_scan(docs):
             meta = docs.metadataColumn("_metadata")
-            path, row = meta.getField("file_path").alias("__path"), meta.getField("row_index").alias("__index")
+            path, row = meta.getField("file_path").alias(path_), meta.getField("row_index").alias(index_)
             files = sorted(r[0] for r in docs.select(path).distinct().collect())
-            nth = docs.sparkSession.createDataFrame(list(enumerate(files)), "__file long, __path string")
-            return (docs.select("*", path, row).join(F.broadcast(nth), "__path")
+            nth = docs.sparkSession.createDataFrame(list(enumerate(files)), f"{file_} long, {path_} string")
+            return (docs.select("*", path, row).join(F.broadcast(nth), path_)
                     .select(*(F.col(f"`{c}`") for c in docs.columns),
-                            (F.shiftleft("__file", 36) + F.col("__index")).alias(name)))
+                            (F.shiftleft(file_, 36) + F.col(index_)).alias(name)))
     except AnalysisException:
         pass   # files without row numbers
     return staged(docs.withColumn(name, F.monotonically_increasing_id()), "numbered-rows")
@@ -110,6 +115,15 @@ def claim(owner: str, release) -> None:
             del _claims[other]
     _claims[owner] = release
     pa.default_memory_pool().release_unused()   # buffers of earlier tasks
+    _trim()
+
+
+def _trim() -> None:
+    """Gives freed memory back to the system, which the GNU allocator otherwise keeps."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):   # another allocator or system
+        pass
 
 
 def n_words(text: Column) -> Column:

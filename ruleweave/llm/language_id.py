@@ -19,7 +19,8 @@ documents of a slice at once.  Emissions are computed once per distinct word.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; so
 is everything when no labelled text can be learned from; ties go to the least
-language code; a null doc_id is neither held out nor learned from; rows
+language code; more than ``MAX_LANGS`` labels raise ValueError (none of them is
+left out silently); a null doc_id is neither held out nor learned from; rows
 repeated as a whole are predicted each; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -34,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, claim, map_arrow, table
+from .common import byte_slices, claim, map_arrow, staged, table
 
 TRAIN_DOCS, TRAIN_CHARS = 120, 3_000
-MAX_LANGS = 256
+MAX_LANGS = 1024
 FEATURES = 1 << 14
 SPAN, SEQUENCE = (4, 24), 48   # words of a spliced span, and of a training sequence
 STEPS, RATE, DECAY, SEED = 60, 0.15, 1e-4, 17
@@ -264,11 +265,17 @@ def fit(docs: DataFrame, per_lang: int = TRAIN_DOCS, id_col: str = "doc_id", tex
                         F.substring(F.col(text_col), 1, TRAIN_CHARS).alias("text")).where(
         "id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL "
         "AND pmod(crc32(cast(cast(id AS string) AS binary)), 3) <> 1")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = known.select("id", "lang").withColumn("nth", nth).where(F.col("nth") <= per_lang).drop("nth")
-    # at most per_lang * MAX_LANGS ids are broadcast, and so many texts come back
-    chosen = chosen.orderBy("lang").limit(per_lang * MAX_LANGS).distinct()
-    got = known.join(F.broadcast(chosen), ["id", "lang"]).distinct().limit(per_lang * MAX_LANGS).collect()
+    in_lang = Window.partitionBy("lang")
+    nth = F.row_number().over(in_lang.orderBy(F.xxhash64("id"), "id"))
+    chosen = staged(known.select("id", "lang").withColumn("nth", nth).where(F.col("nth") <= per_lang)
+                    .select("id", "lang").distinct(), "language-samples")
+    n_langs = chosen.select("lang").distinct().limit(MAX_LANGS + 1).count()
+    if n_langs > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages among the labels")
+    # at most per_lang * MAX_LANGS ids are broadcast; an id may have several texts
+    nth = F.row_number().over(in_lang.orderBy(F.xxhash64("id"), "id", "text"))
+    got = (known.join(F.broadcast(chosen), ["id", "lang"]).distinct().withColumn("nth", nth)
+           .where(F.col("nth") <= per_lang).collect())
     return train([(r["lang"], r["text"]) for r in got])
 
 

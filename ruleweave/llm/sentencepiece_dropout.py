@@ -92,8 +92,9 @@ def _place(i, j, end):
 class Codec:
     """One vocabulary with a dropout rate and a seed."""
 
-    def __init__(self, path: str, rate: float = RATE, seed: int = SEED):
+    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, remember: int = CACHE_PLACES):
         import sentencepiece
+        self.remember = remember
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         normal = [i for i in range(n)
@@ -334,7 +335,7 @@ class Codec:
 
     def encode_all(self, texts: list[str], ids: list) -> list[np.ndarray]:
         """Ids of each text; ``ids`` are the doc_ids."""
-        if self.place.n > CACHE_PLACES or len(self.units) > CACHE_PLACES // 13:
+        if self.place.n > self.remember or len(self.units) > self.remember // 13:
             self._forget()
         units, counts, keys = [], [], []
         for text, doc_id in zip(texts, ids, strict=True):
@@ -397,21 +398,25 @@ def _encoder(parameters: tuple, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("sentencepiece", _codecs.clear)
         codec = _codec(*parameters)
+        collecting = gc.isenabled()
         gc.disable()   # millions of small tuples, no cycles: its scans took a sixth of the time
-        for whole in batches:
-            for b in byte_slices(whole, "__text", _SLICE_BYTES):
-                texts = [x or "" for x in b.column("__text").to_pylist()]
-                ids = codec.encode_all(texts, b.column("__id").to_pylist())
-                back = [codec.decode(x) for x in ids]
-                ends = pa.array(np.cumsum([0] + [len(x) for x in ids], dtype=np.int32))
-                flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [*(b.column(c) for c in keep), pa.array([len(x) for x in ids], pa.int64()),
-                     pa.ListArray.from_arrays(ends, pa.array(flat)),
-                     pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string()),
-                     pa.array([x == y for x, y in zip(back, texts, strict=True)], pa.bool_())],
-                    names=[*keep, "n_tokens", "ids", "decoded_sha256", "lossless"])
-        gc.enable()
+        try:
+            for whole in batches:
+                for b in byte_slices(whole, "__text", min(_SLICE_BYTES, codec.remember)):
+                    texts = [x or "" for x in b.column("__text").to_pylist()]
+                    ids = codec.encode_all(texts, b.column("__id").to_pylist())
+                    back = [codec.decode(x) for x in ids]
+                    ends = pa.array(np.cumsum([0] + [len(x) for x in ids], dtype=np.int32))
+                    flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(b.column(c) for c in keep), pa.array([len(x) for x in ids], pa.int64()),
+                         pa.ListArray.from_arrays(ends, pa.array(flat)),
+                         pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string()),
+                         pa.array([x == y for x, y in zip(back, texts, strict=True)], pa.bool_())],
+                        names=[*keep, "n_tokens", "ids", "decoded_sha256", "lossless"])
+        finally:   # also where the task fails or stops reading
+            if collecting:
+                gc.enable()
     return run
 
 
@@ -426,15 +431,18 @@ def _decoder(parameters: tuple):
 
 
 def encode(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED,
-           id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+           id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None,
+           remember: int = CACHE_PLACES) -> DataFrame:
     """Columns ``keep`` (doc_id) of every row, n_tokens, ids, and of the decoded
-    ids their SHA-256 and whether they give the text back."""
+    ids their SHA-256 and whether they give the text back.  ``remember`` bounds
+    what a worker keeps (about 55 MB a million) and the bytes of text it takes at
+    once; less of it costs time only."""
     keep = [id_col] if keep is None else keep
     rows = docs.select(*keep, F.col(id_col).cast("long").alias("__id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     kinds = dict(rows.dtypes)
     schema = "".join(f"`{c}` {kinds[c]}, " for c in keep)
-    return map_arrow(rows, _encoder((path, rate, seed), keep),
+    return map_arrow(rows, _encoder((path, rate, seed, remember), keep),
                      schema + "n_tokens long, ids array<int>, decoded_sha256 string, lossless boolean")
 
 

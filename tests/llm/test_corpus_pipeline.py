@@ -52,6 +52,22 @@ def test_stages_against_brute_force(spark, tables):
     assert all(r["lossless"] for r in five.collect())
 
 
+def test_clashing_names(spark, tables):
+    """Columns with the names of the pipeline's own don't matter to any stage."""
+    own = ["__path", "__index", "__file", "_metadata", "__copy", "__text", "rid", "id", "times", "nth", "key1"]
+    docs = staged(tables[0].select(*DOCS).withColumns({n: c.F.lit("x") for n in own}), "clash")
+    for name, stage in c.STAGES[:-1]:
+        columns, rows = docs.columns, docs.count()
+        docs = staged(stage(spark, docs, ""), "t")
+        assert docs.columns == columns and 0 < docs.count() <= 3 * rows, name
+        assert docs.where(" AND ".join(f"`{n}` = 'x'" for n in own)).count() == docs.count()
+
+
+def test_least_score():
+    assert c.least_score(None) == 0 == c.least_score({"langs": ["en"]})
+    assert c.least_score({"langs": ["de", "en"]}) == 0.55 and 0.01 < c.least_score({"langs": ["x"] * 100}) < 0.11
+
+
 def test_empty(spark, tables):
     docs = tables[1]
     for _, stage in c.STAGES:
@@ -61,6 +77,6 @@ def test_empty(spark, tables):
 
 def test_registered():
     q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-    assert {int(x[2:].split("_")[0]) for x in q if x.startswith("op")} == set(range(1, 11)) and "pipeline" in q
+    assert {int(x[2:].split("_")[0]) for x in q if x.startswith("op")} == set(range(1, 14)) and "pipeline" in q
     assert "op9_exact_dedup" in o and set(o) <= set(q)
     assert [n for n, _ in c.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mixing", "sentencepiece"]
