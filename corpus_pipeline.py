@@ -5,7 +5,9 @@ written as Parquet and read again as the next stage's ``docs``.  All but the
 last return the columns of ``documents``.
 
 1. language ID: drops documents without a letter and those whose best language
-   has a mean marginal below ``LEAST_SCORE``;
+   isn't told from the others: of k learned languages, the best one's mean
+   marginal is 1/k at least, and has to be ``LEAST_LIFT`` of the way from there
+   to 1 (with one language, every document with a letter stays);
 2. exact dedup: of equal normalised texts, one row stays;
 3. n-gram Jaccard join (five words, 0.8): one row of each component stays, the
    one that the exact stage would prefer (most code points, least doc_id);
@@ -27,7 +29,8 @@ from ruleweave.llm import exact_dedup, language_id, mixing, ngram_join, sentence
 from ruleweave.llm.common import numbered, staged, table
 from ruleweave.llm.token_counts import vocabulary_path
 
-LEAST_SCORE = 0.3
+LEAST_LIFT = 0.1
+REMEMBERED = 1_000_000   # of the encoder, per worker: beside a heap that four stages have filled
 NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
 ORACLE_SQL: str | None = None   # three stages rest on hashes and a learned model
 
@@ -39,9 +42,15 @@ def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs)
-    rows = docs.select(F.struct(*docs.columns).alias("__all"), F.col("text").alias("__said"))
-    kept = language_id.predict(rows, model, ["__all"], text_col="__said")
-    return kept.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("__all.*")
+    docs = numbered(docs, "__row")
+    # only row numbers and texts go through the Python workers, and no text comes back
+    told = language_id.predict(docs.select("__row", "text"), model, ["__row"])
+    return _only(docs, told.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score(model))))
+
+
+def least_score(model: dict | None) -> float:
+    k = len(model["langs"]) if model else 1
+    return (1 + LEAST_LIFT * (k - 1)) / k if k > 1 else 0.0
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,13 +83,12 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.xxhash64(F.lit(mixing.SEED), text).alias("key2")).withColumn(
         "nth", F.row_number().over(Window.partitionBy(*same).orderBy("__row")))
     pair = dealt.alias("a").join(mine.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*same, "nth")])
-    times = pair.select("b.__row", "a.times").where("times > 0")
-    return (docs.join(times, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-            .select(*columns))
+    copies = pair.where("a.times > 0").select("b.__row", F.explode(F.sequence(F.lit(1), F.col("a.times")))).select("__row")
+    return docs.join(copies, "__row").select(*columns)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_dropout.encode(docs, vocabulary_path(sentencepiece_dropout.VOCABULARY))
+    return sentencepiece_dropout.encode(docs, vocabulary_path(sentencepiece_dropout.VOCABULARY), remember=REMEMBERED)
 
 
 STAGES = [
