@@ -229,6 +229,17 @@ def split_valid(spark: SparkSession, codes: Iterable[str | None]) -> tuple[list[
     return ok, bad
 
 
+def load_condition(spark: SparkSession, path: str) -> str:
+    """A rule text from a file that Spark can read (A6), as the static job takes
+    it at its start; the condition must be usable."""
+    lines = spark.read.text(path, wholetext=True).limit(2).collect()   # a rule is one short text
+    code = lines[0][0].strip() if len(lines) == 1 else None
+    reason = rejection_reason(spark, code)
+    if reason:
+        raise ValueError(f"{path}: {reason if code is not None else 'not one rule text'}")
+    return code
+
+
 def condition(code: str) -> Column:
     """One condition as a column; an unknown (null) outcome does not match."""
     return F.coalesce(F.expr(code), F.lit(False))

@@ -67,6 +67,29 @@ def with_time_tiles(versions: DataFrame, span: tuple) -> DataFrame:
             .withColumn("__time", F.explode(F.sequence(tile("__first"), tile("__last")))).drop("__first", "__last"))
 
 
+def rules_in_force(moments: DataFrame, versions: DataFrame, ts: str = "ts") -> DataFrame:
+    """The listing of the rules at given moments (D3, A11): each row of ``moments``
+    with every version in force at its ``ts``.  A moment looks its versions up by
+    time tile, so what is read follows the listing, not the length of the log."""
+    span = event_span(moments, ts)
+    if span is None:
+        return moments.join(versions, F.lit(False))
+    tiled = staged(with_time_tiles(versions, span), "version-tiles")
+    levels = sorted(r[0] for r in tiled.select("__level").distinct().collect())   # at most 10
+    if not levels:
+        return moments.join(versions, F.lit(False))
+    e = _with_times(moments, levels, ts)
+    on = [F.col("__t.level") == F.col("__level"), F.col("__t.tile") == F.col("__time"), versions_at(F.col(ts))]
+    return e.join(tiled, on).drop("__t", "__level", "__time")
+
+
+def _with_times(events: DataFrame, levels: list[int], ts: str) -> DataFrame:
+    """``events``, a row for each width of time tiles, with its tile (``__t``)."""
+    times = F.array(*[F.struct(F.lit(n).alias("level"), F.floor(F.col("__second") / F.lit(BASE ** n)).cast("long").alias("tile"))
+                      for n in levels])
+    return events.withColumn("__second", seconds(F.col(ts))).withColumn("__t", F.explode(times)).drop("__second")
+
+
 def _count_tile(cnt: Column) -> Column:
     return F.when(cnt < 1, -1).when(cnt >= 1, F.least(F.lit(_TOP), F.floor(F.log2(cnt) / 2))).cast("long")
 
@@ -142,10 +165,7 @@ def join_from_id(events: DataFrame, versions: DataFrame, first: str, span: tuple
         last = (block(start, k + 1) + 1) * ID_BASE - 1 if k < depth else block(F.lit(span_ids), k)
         run = F.when(after <= last, F.sequence(after, last)).otherwise(F.array().cast("array<bigint>"))
         wanted.append(F.transform(run, sized(k)))
-    times = F.array(*[F.struct(F.lit(n).alias("level"), F.floor(F.col("__second") / F.lit(BASE ** n)).cast("long").alias("tile"))
-                      for n in levels])
-    e = (events.withColumn("__second", seconds(F.col(ts))).withColumn("__t", F.explode(times))
-         .withColumn("__b", F.explode(F.concat(*wanted))).drop("__second"))
+    e = _with_times(events, levels, ts).withColumn("__b", F.explode(F.concat(*wanted)))
     on = [F.col("__t.level") == F.col("__level"), F.col("__t.tile") == F.col("__time"),
           F.col("__b.size") == F.col("__block.size"), F.col("__b.at") == F.col("__block.at"),
           F.col("id") >= F.col(first), versions_at(F.col(ts))]

@@ -275,6 +275,11 @@ def oracle_sql() -> dict[str, str]:
           "WHEN 5 THEN v.code IS NOT NULL AND c.type = regexp_extract(v.code, 'type = ''([a-z]+)''', 1) "
           "AND c.cnt >= TRY_CAST(regexp_extract(v.code, 'cnt >= ([0-9]+)', 1) AS INTEGER) "
           "ELSE false END",
+        "q23_rules_at_moments": cdc_base
+        + "SELECT d.ts, id, name, code, counts, status, topic_offset, pos, valid_from, valid_to FROM "
+          "(SELECT DISTINCT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS ts FROM events) d JOIN "
+          "(SELECT *, commit_ts AS valid_from, lead(commit_ts) OVER (PARTITION BY id ORDER BY topic_offset, pos) AS valid_to "
+          "FROM changes) v ON v.action = 'UPSERT' AND d.ts >= valid_from AND (valid_to IS NULL OR d.ts < valid_to)",
         "q19_rule_state_trace": cdc_base
         + "SELECT topic_offset, pos, id, action, delta, CAST(sum(delta) OVER (ORDER BY topic_offset, pos "
           "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS n_active FROM ("

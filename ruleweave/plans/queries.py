@@ -14,6 +14,7 @@ Levels of the reference and where they live:
 * rule texts that cannot be used (B15): q20
 * every event against the current rules (E2): q21
 * free rule texts (B14: double quotes, casts, numbers, modulo): q22
+* the rules themselves at given moments (D3, A11): q23
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.conditions import EXACT_NTH_RULE
 from ..operators import evaluate, history, rules
-from ..operators.asof import event_span
+from ..operators.asof import event_span, rules_in_force
 from ..operators.parse import parse_lines
 from ..operators.sequence import DEFAULT_BLOCK_SIZE, running_count
 from ..session import staged
@@ -196,6 +197,13 @@ def q22_free_conditions(spark, sf_dir):
     return pairs.select("seq", F.col("id").alias("rule_id"), "topic_offset", "pos")
 
 
+def q23_rules_at_moments(spark, sf_dir):
+    """The rules in force at the start of each day that has an event."""
+    days = ev_src.load_events(spark, sf_dir).select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).distinct()
+    listed = rules_in_force(days, derived_versions(spark, sf_dir))
+    return listed.select("ts", "id", "name", "code", "counts", "status", "topic_offset", "pos", "valid_from", "valid_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q01_parse_event_lines": q01_parse_event_lines,
     "q02_malformed_event_lines": q02_malformed_event_lines,
@@ -219,4 +227,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q20_rejected_rules": q20_rejected_rules,
     "q21_current_rules": q21_current_rules,
     "q22_free_conditions": q22_free_conditions,
+    "q23_rules_at_moments": q23_rules_at_moments,
 }

@@ -115,3 +115,12 @@ def test_many_rules_of_one_type(spark):
     index = asof.rule_index(rs.alternatives(), asof.event_span(counted))
     hits = evaluate.matched_pairs(counted, rs).count()
     assert hits == 1000 and met(counted, index) <= 2 * hits
+
+
+def test_rules_in_force(spark):
+    events, versions = made(5, 60, 200)
+    moments, rules = spark.createDataFrame(events, EVENT), spark.createDataFrame(versions, VERSION)
+    got = asof.rules_in_force(moments, rules).select("seq", "topic_offset").collect()
+    want = [(e[0], v[8]) for e in events if e[1] for v in versions if v[10] <= e[1] and (v[11] is None or e[1] < v[11])]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 1000
+    assert asof.rules_in_force(moments.limit(0), rules).count() == asof.rules_in_force(moments, rules.limit(0)).count() == 0

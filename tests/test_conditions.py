@@ -1,5 +1,6 @@
 """Rule conditions as SQL."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from ruleweave.functions.conditions import (EXACT_NTH_RULE, THRESHOLD_RULE, match_column,
@@ -82,3 +83,15 @@ def test_posting_columns(spark):
     df = spark.createDataFrame([(t,) for t in cases], "code STRING")
     rows = df.select("code", *[c.alias(n) for n, c in posting_columns(normal_form(F.col("code"))[0]).items()]).collect()
     assert {r["code"]: (r["__kind"], r["__keys"], r["__lo"], r["__hi"], len(r["__rest"])) for r in rows} == cases
+
+
+def test_load_condition(spark, tmp_path):
+    from ruleweave.functions.conditions import load_condition
+    (tmp_path / "rule.sql").write_text("type = 'view'\n  AND cnt >= 2\n")
+    code = load_condition(spark, str(tmp_path / "rule.sql"))
+    ev = spark.createDataFrame([("view", 2), ("view", 1), ("click", 5)], "type STRING, cnt BIGINT")
+    assert static_rule(ev, code).count() == 1
+    for name, text in (("bad.sql", "nosuch = 1"), ("empty.sql", " ")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(ValueError):
+            load_condition(spark, str(tmp_path / name))
