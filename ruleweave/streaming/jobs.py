@@ -9,7 +9,8 @@
   the running count and the offers of the static rule (level 1).
 * S2 ``start_rule_changes``: the rule change feed parsed and appended to a
   Parquet change table, one folder per micro-batch.  A folder counts as
-  committed once Spark has written its ``_SUCCESS`` marker; a committed folder
+  committed once it holds the marker that the job writes after it, whatever the
+  session's settings for Spark's own ``_SUCCESS`` are; a committed folder
   is never written again, so a reader sees whole batches only.
 * S3 ``start_offers``: S1 + ``foreachBatch``: each micro-batch of counted events
   is written once and read back, joined with the rule versions known when the
@@ -99,9 +100,17 @@ def _batch_path(root: str, batch_id: int) -> str:
     return os.path.join(root, f"batch_id={batch_id}")
 
 
+COMMITTED = "_COMMITTED"   # names with an underscore are no data to Spark's readers
+
+
+def _commit(spark: SparkSession, folder: str) -> None:
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{COMMITTED}")
+    marker.getFileSystem(spark._jsc.hadoopConfiguration()).create(marker, True).close()
+
+
 def committed_batches(spark: SparkSession, table_path: str) -> list[str]:
     """Folders of ``table_path`` whose micro-batch is written to the end."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/batch_id=*/_SUCCESS")
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/batch_id=*/{COMMITTED}")
     found = marker.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marker)
     return sorted(s.getPath().getParent().toString() for s in found or [])
 
@@ -116,6 +125,7 @@ def start_rule_changes(cdc_lines: DataFrame, table_path: str, checkpoint: str |
         path = _batch_path(table_path, batch_id)
         if not any(p.endswith(f"/batch_id={batch_id}") for p in committed_batches(spark, table_path)):
             batch.write.mode("overwrite").parquet(path)
+            _commit(spark, path)
 
     q = (changes.writeStream.foreachBatch(write)
          .option("checkpointLocation", checkpoint or checkpoint_location(spark, "rule_changes")))

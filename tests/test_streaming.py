@@ -102,7 +102,7 @@ def test_rule_table_reads_committed_batches_only(spark, run_dir):
     one = committed_batches(spark, table)
     n = read_rule_changes(spark, table).count()
     shutil.copytree(one[0].removeprefix("file:"), f"{table}/batch_id=77")
-    for f in ("_SUCCESS", "._SUCCESS.crc"):
+    for f in ("_COMMITTED", "._COMMITTED.crc"):
         if os.path.exists(f"{table}/batch_id=77/{f}"):
             os.remove(f"{table}/batch_id=77/{f}")
     assert committed_batches(spark, table) == one and read_rule_changes(spark, table).count() == n
