@@ -45,6 +45,64 @@ def test_route_is_cheapest():
         assert cost(cells, distinct, flows) == best
 
 
+def test_route_of_many_passes_is_cheapest():
+    """Beyond eight passes: few distinct words with many copies beside many words,
+    against every split."""
+    cells = {("0", 0): 6, ("0,1", 0): 20, ("0,1", 1): 20, ("1", 1): 4}
+    for distinct in ({"0": 6, "0,1": 1, "1": 1}, {"0": 1, "0,1": 2, "1": 4}):
+        for quotas in ([40, 50], [30, 5], [78, 72], [20, 61]):
+            flows = m.route(cells, distinct, quotas)
+            assert [sum(f for (_, s), f in flows.items() if s == k) for k in (0, 1)] == quotas
+            best = min(cost(cells, distinct, {("0", 0): a, ("0,1", 0): quotas[0] - a, ("1", 1): b, ("0,1", 1): quotas[1] - b})
+                       for a in range(min(18, quotas[0]) + 1) for b in range(min(12, quotas[1]) + 1)
+                       if quotas[0] - a <= 60 and quotas[1] - b <= 60)
+            assert cost(cells, distinct, flows) == best
+
+
+def test_route_of_many_patterns():
+    """Beyond 4,096 patterns: all of them enter, none is used twice while another
+    one that serves the same sources is unused."""
+    n = 5000
+    names = [f"p{i}" for i in range(n)]
+    cells = {(p, s): 2 for i, p in enumerate(names) for s in (i % 7, 7 + i % 3)}
+    distinct = dict.fromkeys(names, 2)
+    sizes = [sum(w for (_, s), w in cells.items() if s == k) for k in range(10)]
+    flows = m.route(cells, distinct, [size // 2 for size in sizes])
+    assert [sum(f for (_, s), f in flows.items() if s == k) for k in range(10)] == [s // 2 for s in sizes]
+    taken = Counter()
+    for (p, _), f in flows.items():
+        taken[p] += f
+    assert max(taken.values()) == 2   # half of either side: every text once
+
+
+def test_many_copies_and_sources(spark):
+    """A text of 300 copies in two of 5,000 sources; blocks of a few rows."""
+    data = [(i, f"w{i} x", f"s{i:05d}") for i in range(5000)] + [
+        (10000 + i, "hot text here", f"s{i % 2:05d}") for i in range(300)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    out = m.mix(docs).collect()
+    taken, target = Counter(), {}
+    for r in out:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert len(out) == 5300 and len(target) == 5000
+    assert all(abs(taken[s] - t) <= 1 for s, t in target.items())
+
+
+def test_blocks_and_shuffled_joins_agree(tables, monkeypatch):
+    """Small blocks deal other documents, but the same words to every source."""
+    def words_of(out):
+        total = Counter()
+        for r in out.collect():
+            total[r["source"]] += r["taken"]
+        return total
+    want = words_of(m.mix(tables[0]))
+    monkeypatch.setattr(m, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(m, "BROADCAST_ROWS", 0)
+    assert words_of(m.mix(tables[0])) == want
+
+
 def test_mix(tables, rows):
     out = m.mix(tables[0])
     a, b = got(out), got(m.mix(tables[0]))
