@@ -7,13 +7,21 @@ when the count (0 when no row) reaches the rule's ``counts``.
 
 Here all lookups of a batch become one plan:
 
-1. the distinct lookup keys ``(uid, cid, type, range)`` of the candidates (many
-   events share a key), written once;
-2. the history rows meet the distinct ranges of their event type and are counted
-   per (uid, cid, type, range), with map-side combine before any shuffle: a key
-   with very many history rows leaves each task as one row per range.  The
-   overall range prunes the Parquet scan;
-3. a left join of the keys with the counts; a missing key counts 0.
+1. the distinct lookups ``(uid, cid, type, range)`` of the candidates (many
+   events share one), written once.  History rows of other (uid, cid, type) go;
+   equal rows are counted before any shuffle, the overall range prunes the scan;
+2. each history row gets the rank of its start among the distinct range starts of
+   its key (a running sum in time order), so a row starts inside a range when its
+   rank isn't below the range's own;
+3. rows are filed under the nodes of a binary indexed tree over these ranks, and a
+   range reads the nodes that make up "this rank or above": each row is met in just
+   one of them.  Both numbers are at most the logarithm of the ranges of one key;
+4. a running sum in the order of the ends gives, per node, the rows that end by the
+   range's end; they are added up per lookup.  A lookup without rows counts 0.
+
+So the work is that of the rows and the lookups, however many ranges there are: no
+history row meets a range.  Both running sums are cut into blocks of time for keys
+with very many rows (``sequence.running_sum``).
 
 ``rule.sql`` names a registered history metric (a DataFrame with columns
 ``uid, cid, type, start_time, end_time``), never free SQL per event.  The
@@ -24,11 +32,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staged
+from .asof import seconds
+from .sequence import DEFAULT_BLOCK_SIZE, running_sum
 
+EVENT_KEY = ["uid", "cid", "type"]
 KEY_COLS = ["uid", "cid", "type", "start_time", "end_time"]
 
 
@@ -36,26 +47,69 @@ def _ts(col: str):
     return F.col(col).try_cast("timestamp_ntz")
 
 
-def history_counts(keys: DataFrame, history: DataFrame, bounds: tuple | None = None) -> DataFrame:
+def _millis(ts: Column) -> Column:
+    # rises with the time; a block of 2^20 of them is about 17 minutes
+    return seconds(ts) * 1000
+
+
+def _nodes_of(rank: Column) -> Column:
+    """Tree nodes that a row of this rank is filed under."""
+    bits = F.sequence(F.lit(0), F.length(F.bin(rank)) - 1)
+    held = F.filter(bits, lambda k: F.call_function("shiftright", rank, k).bitwiseAND(F.lit(1)) == 1)
+    return F.transform(held, lambda k: F.call_function("shiftleft", F.call_function("shiftright", rank, k), k))
+
+
+def _nodes_from(rank: Column, last: Column) -> Column:
+    """Tree nodes that together hold the ranks from ``rank`` on, up to ``last``."""
+    one = F.lit(1).cast("long")
+    steps = F.sequence(F.lit(0), F.length(F.bin(last)))
+    size = lambda k: F.call_function("shiftleft", one, k)
+    up = F.transform(steps, lambda k: F.call_function(
+        "shiftleft", F.call_function("shiftright", rank + size(k) - 1, k), k))
+    return F.filter(F.array_distinct(up), lambda n: n <= last)
+
+
+def history_counts(keys: DataFrame, history: DataFrame, bounds: tuple | None = None,
+                   block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
     """``keys(uid, cid, type, start_time, end_time)`` (range bounds as text or
     timestamps) → same columns + ``hist_cnt``: number of history rows of that
     (uid, cid, type) whose interval lies inside the range, both ends inclusive.
-    Keys without history rows get 0."""
-    k = staged(keys.select(*KEY_COLS).distinct(), "history-keys")
-    ranges = (k.select(F.col("type").alias("r_type"), "start_time", "end_time").distinct()
-              .withColumn("__lo", _ts("start_time")).withColumn("__hi", _ts("end_time")))
-    h = history.select("uid", "cid", "type", F.col("start_time").alias("h_start"),
-                       F.col("end_time").alias("h_end"))
+    Keys without history rows, with a null or with a bound that is no time get 0."""
+    k = staged(keys.select(*KEY_COLS).distinct()
+               .withColumns({"__lo": _ts("start_time"), "__hi": _ts("end_time")}), "history-keys")
+    wanted = k.dropna(subset=[*EVENT_KEY, "__lo", "__hi"]).select(*EVENT_KEY, "__lo", "__hi").distinct()
+    h = history.select(*EVENT_KEY, F.col("start_time").alias("h_start"), F.col("end_time").alias("h_end"))
     if bounds is not None:
         lo, hi = bounds
         lo_c = F.lit(lo.isoformat(sep=" ")).cast("timestamp_ntz")
         hi_c = F.lit(hi.isoformat(sep=" ")).cast("timestamp_ntz")
         h = h.where((F.col("h_start") >= lo_c) & (F.col("h_end") <= hi_c))
-    inside = h.join(ranges, (F.col("type") == F.col("r_type")) & (F.col("h_start") >= F.col("__lo"))
-                    & (F.col("h_end") <= F.col("__hi")))
-    found = inside.groupBy(*KEY_COLS).agg(F.count(F.lit(1)).alias("hist_cnt"))
-    return (k.join(found, KEY_COLS, "left")
-            .withColumn("hist_cnt", F.coalesce("hist_cnt", F.lit(0)).cast("long")))
+    found = (h.dropna().join(wanted.select(*EVENT_KEY).distinct(), EVENT_KEY, "left_semi")
+             .groupBy(*EVENT_KEY, "h_start", "h_end").agg(F.count(F.lit(1)).alias("n")))
+
+    # ranks of starts: a range start comes before the rows of its own time
+    starts = wanted.select(*EVENT_KEY, F.col("__lo").alias("t"), F.lit(0).alias("kind")).distinct()
+    at_start = (found.withColumnsRenamed({"h_start": "t"}).withColumn("kind", F.lit(1))
+                .unionByName(starts, allowMissingColumns=True).withColumn("ms", _millis(F.col("t"))))
+    ranked = staged(running_sum(at_start, EVENT_KEY, ["t", "kind"], "rank", (F.col("kind") == 0).cast("long"),
+                                "ms", block_size).where("rank > 0").drop("ms"), "history-ranks")
+    ranges = (wanted.join(ranked.where("kind = 0").select(*EVENT_KEY, F.col("t").alias("__lo"), "rank"),
+                          [*EVENT_KEY, "__lo"])
+              .join(starts.groupBy(*EVENT_KEY).agg(F.count(F.lit(1)).alias("last")), EVENT_KEY)
+              .withColumn("node", F.explode(_nodes_from(F.col("rank"), F.col("last")))))
+
+    # rows by end, per node: a range comes after the rows that end with it
+    rows = (ranked.where("kind = 1").withColumn("node", F.explode(_nodes_of(F.col("rank"))))
+            .groupBy(*EVENT_KEY, "node", F.col("h_end").alias("t")).agg(F.sum("n").alias("n")))
+    at_end = (rows.withColumn("kind", F.lit(0))
+              .unionByName(ranges.select(*EVENT_KEY, "node", F.col("__hi").alias("t"), "__lo", F.lit(1).alias("kind"),
+                                         F.lit(0).cast("long").alias("n")), allowMissingColumns=True)
+              .withColumn("ms", _millis(F.col("t"))))
+    inside = (running_sum(at_end, [*EVENT_KEY, "node"], ["t", "kind"], "upto", F.col("n"), "ms", block_size)
+              .where("kind = 1").groupBy(*EVENT_KEY, "__lo", F.col("t").alias("__hi"))
+              .agg(F.sum("upto").alias("hist_cnt")))
+    return (k.join(inside, [*EVENT_KEY, "__lo", "__hi"], "left")
+            .select(*KEY_COLS, F.coalesce("hist_cnt", F.lit(0)).cast("long").alias("hist_cnt")))
 
 
 def range_bounds(versions: DataFrame) -> tuple | None:

@@ -232,6 +232,11 @@ def oracle_sql() -> dict[str, str]:
           f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sticky "
           f"FROM counted c JOIN ver v ON {IN_FORCE}) WHERE sticky",
         "q14_history_range_count": hist + "SELECT uid, cid, type, start_time, end_time, hist_cnt FROM hc",
+        "q24_history_before_events": _with(EV, HIST)
+        + "SELECT k.uid, k.cid, k.type, k.start_time, k.end_time, CAST(count(h.uid) AS BIGINT) AS hist_cnt "
+          "FROM (SELECT DISTINCT uid, cid, type, ts - INTERVAL 7 DAY AS start_time, ts AS end_time FROM ev) k "
+          "LEFT JOIN hist h ON h.uid = k.uid AND h.cid = k.cid AND h.type = k.type "
+          "AND h.start_time >= k.start_time AND h.end_time <= k.end_time GROUP BY ALL",
         "q15_history_gate": hist + "SELECT * FROM dec",
         "q16_dynamic_rules_history": hist
         + f"SELECT seq, uid, rule_id, {_s(DYNAMIC_ACTION)} AS action, {_s(DYNAMIC_DETAIL)} AS detail "

@@ -15,6 +15,7 @@ Levels of the reference and where they live:
 * every event against the current rules (E2): q21
 * free rule texts (B14: double quotes, casts, numbers, modulo): q22
 * the rules themselves at given moments (D3, A11): q23
+* history counts of as many ranges as events (C4, E3): q24
 """
 
 from __future__ import annotations
@@ -143,6 +144,15 @@ def q14_history_range_count(spark, sf_dir):
                                   history.range_bounds(rs.versions))
 
 
+def q24_history_before_events(spark, sf_dir):
+    """The history of the event's key in the week up to it: about as many distinct
+    ranges as events."""
+    ev = ev_src.load_events(spark, sf_dir)
+    keys = ev.select(*EVENT_KEY, (F.col("ts") - F.expr("INTERVAL 7 DAYS")).alias("start_time"),
+                     F.col("ts").alias("end_time"))
+    return history.history_counts(keys, ev_src.load_history(spark, sf_dir), block_size=BLOCK_SIZE)
+
+
 def history_decisions(spark, sf_dir):
     rs, pairs = _strict_candidates(spark, sf_dir)
     cand = pairs.select("seq", "uid", "cid", "type", "cnt", F.col("id").alias("rule_id"),
@@ -228,4 +238,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q21_current_rules": q21_current_rules,
     "q22_free_conditions": q22_free_conditions,
     "q23_rules_at_moments": q23_rules_at_moments,
+    "q24_history_before_events": q24_history_before_events,
 }
