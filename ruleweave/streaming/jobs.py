@@ -7,6 +7,8 @@
   restarts through the checkpoint (RocksDB state store).
 * ``start_line_counts``: text lines → parsed events, a table of malformed lines,
   the running count and the offers of the static rule (level 1).
+* ``start_daily_counts``: the count within each day (G12), with the last days of a
+  key as its state.
 * S2 ``start_rule_changes``: the rule change feed parsed and appended to a
   Parquet change table, one folder per micro-batch.  A folder counts as
   committed once it holds the marker that the job writes after it, whatever the
@@ -79,6 +81,70 @@ def counted_stream(events: DataFrame, order: Sequence[str] = ("seq",)) -> DataFr
         RunningCount(order, schema.fieldNames()), schema, "append", "none")
 
 
+EPOCH = 719163   # ordinal of 1970-01-01
+
+
+class DailyCount(StatefulProcessor):
+    """Running count of one (uid, cid, type) within each day.  The count of a day goes
+    once the key has an event ``keep_days`` or more days later, so a key holds at most
+    ``keep_days`` counts; a key without further events keeps its last ones.  (Spark's time
+    to live of states runs on the wall clock, and has available-now queries never end.)"""
+
+    def __init__(self, order: Sequence[str], columns: Sequence[str], keep_days: int):
+        self.order, self.columns, self.keep_days = list(order), list(columns), keep_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.days = handle.getMapState("days", "day INT", "cnt BIGINT")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
+        seen = {int(day[0]): int(cnt[0]) for day, cnt in self.days.iterator()}   # keep_days entries at most
+        oldest = max(seen) - self.keep_days + 1 if seen else None
+        day = batch["day"].map(lambda d: d.toordinal() - EPOCH)
+        batch["cnt"] = (batch.groupby(day).cumcount() + 1 + day.map(seen).fillna(0).astype("int64")).astype("Int64")
+        if oldest is not None:
+            batch.loc[day < oldest, "cnt"] = pd.NA
+        last = batch.groupby(day)["cnt"].last().dropna()
+        newest = max([*seen, *last.index], default=None)
+        for d, cnt in last.items():
+            if d > newest - self.keep_days:
+                self.days.updateValue((int(d),), (int(cnt),))
+        for d in seen:
+            if d <= newest - self.keep_days:
+                self.days.removeKey((d,))
+        yield batch[self.columns]
+
+    def close(self) -> None:
+        pass
+
+
+def daily_counted_stream(events: DataFrame, order: Sequence[str] = ("seq",), keep_days: int = 2) -> DataFrame:
+    """Stream of events → same + ``day`` and ``cnt``, the running count of the
+    event's key on its day.  An event of a day whose count is gone has ``cnt`` null."""
+    ship_package(events.sparkSession)
+    dated = events.withColumn("day", F.to_date("ts"))
+    fields = dated.schema.fields + [T.StructField("cnt", T.LongType())]
+    return dated.where("day IS NOT NULL").groupBy(*KEY).transformWithStateInPandas(
+        DailyCount(order, [f.name for f in fields], keep_days), T.StructType(fields), "append", "none")
+
+
+def start_daily_counts(events: DataFrame, out_path: str, checkpoint: str | None = None, keep_days: int = 2,
+                       trigger: dict | None = None, order: Sequence[str] = ("seq",)):
+    """The daily count as a job, appended to Parquet (file sink, exactly once)."""
+    spark = events.sparkSession
+    return (daily_counted_stream(events, order, keep_days).writeStream.format("parquet").option("path", out_path)
+            .option("checkpointLocation", checkpoint or checkpoint_location(spark, "daily_counts"))
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def read_daily_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Days kept by the daily count, as ``(uid, cid, type, day, cnt)``."""
+    st = spark.read.format("statestore").option("stateVarName", "days").load(checkpoint)
+    return st.select(*[F.col(f"key.{k}").alias(k) for k in KEY],
+                     F.date_from_unix_date(F.col("user_map_key.day")).alias("day"),
+                     F.col("user_map_value.cnt").alias("cnt"))
+
+
 def read_count_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """Current content of S1's count state (C3) as ``(uid, cid, type, cnt)``,
     read with Spark's state-store data source from the query checkpoint."""
@@ -235,6 +301,7 @@ def start_configured_counts(spark: SparkSession, conf: Mapping[str, str], out_pa
                              trigger or settings, order)
 
 
-__all__ = ["RunningCount", "counted_stream", "start_counts", "start_rule_changes", "start_offers",
+__all__ = ["RunningCount", "counted_stream", "start_counts",
+           "DailyCount", "daily_counted_stream", "start_daily_counts", "read_daily_state", "start_rule_changes", "start_offers",
            "start_line_counts", "start_configured_counts", "offers_for_batch", "read_rule_changes",
            "committed_batches", "read_count_state", "checkpoint_location"]

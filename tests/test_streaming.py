@@ -12,8 +12,8 @@ from ruleweave.sources.cdc import HISTORY_METRIC, demo_rule_lines
 from ruleweave.sources.events import events_from_table
 from ruleweave.sources.events import event_lines, load_history
 from ruleweave.streaming.jobs import (KAFKA_ORDER, checkpoint_location, committed_batches, read_count_state,
-                                     read_rule_changes, start_configured_counts, start_counts, start_offers,
-                                     start_rule_changes)
+                                     read_daily_state, read_rule_changes, start_configured_counts, start_counts,
+                                     start_daily_counts, start_offers, start_rule_changes)
 
 
 @pytest.fixture(scope="module")
@@ -69,6 +69,41 @@ def test_s1_restart_same_checkpoint(spark, run_dir, event_files):
     assert _same(spark.read.parquet(f"{base}/out"), Q.counted_events(spark, SF0001))
 
 
+def test_daily_counts_equal_batch(spark, run_dir, event_files):
+    """Four micro-batches give q18; only the last days of a key stay in the state."""
+    from pyspark.sql import Window
+    out = f"{run_dir}/daily"
+    start_daily_counts(_stream(spark, event_files, f"{run_dir}/events/*"), f"{out}/out", f"{out}/ckpt",
+                       keep_days=2).awaitTermination()
+    got = spark.read.parquet(f"{out}/out")
+    ev = events_from_table(spark.read.parquet(f"{SF0001}/events.parquet")).withColumn("day", F.to_date("ts"))
+    want = ev.withColumn("cnt", F.row_number().over(
+        Window.partitionBy("uid", "cid", "type", "day").orderBy("seq")).cast("long"))
+    assert _same(got.select(*want.columns), want) and got.where("cnt > 1").count() > 10
+    assert _same(got.where("type = 'view' AND cnt > 2").select("seq", "uid", "cid", "type", "day", "cnt"),
+                 Q.q18_daily_threshold(spark, SF0001))
+    newest = Window.partitionBy("uid", "cid", "type")
+    kept = (want.groupBy("uid", "cid", "type", "day").agg(F.max("cnt").alias("cnt"))
+            .withColumn("last", F.max("day").over(newest)).where("day > date_sub(last, 2)").drop("last"))
+    state = read_daily_state(spark, f"{out}/ckpt")
+    assert _same(state, kept) and state.count() < want.select("uid", "cid", "type", "day").distinct().count()
+
+
+def test_daily_counts_of_late_events(spark, run_dir):
+    """An event of a kept day goes on counting; one of a day that is gone has no count."""
+    import datetime as dt
+    at = lambda day: dt.datetime(2024, 1, day, 12)
+    rows = [[(1, at(1)), (2, at(1)), (3, at(2))], [(4, at(2)), (5, at(1)), (6, at(9))], [(7, at(2)), (8, at(9)), (9, at(8))]]
+    schema = "seq long, ts timestamp_ntz, uid string, cid string, type string"
+    for i, part in enumerate(rows):
+        (spark.createDataFrame([(n, t, "u", None, "view") for n, t in part], schema).coalesce(1)
+         .write.parquet(f"{run_dir}/late/in/part{i}"))
+        stream = spark.readStream.schema(schema).parquet(f"{run_dir}/late/in/*")
+        start_daily_counts(stream, f"{run_dir}/late/out", f"{run_dir}/late/ckpt").awaitTermination()
+    got = {r.seq: r.cnt for r in spark.read.parquet(f"{run_dir}/late/out").collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 2, 5: 3, 6: 1, 7: None, 8: 2, 9: 1}
+
+
 def test_s2_s3_equal_batch(spark, run_dir, event_files):
     demo_rule_lines(spark).coalesce(1).write.json(f"{run_dir}/cdc")
     cdc = spark.readStream.schema(CDC_LINE).json(f"{run_dir}/cdc")
