@@ -14,4 +14,4 @@ def test_contract_keys():
     registered beside them."""
     q, o = entry_mod.queries(), entry_mod.oracle_sql()
     own = {n for n in q if n.startswith("q")}
-    assert len(own) == 23 and own <= set(o) <= set(q)
+    assert len(own) == 24 and own <= set(o) <= set(q)
